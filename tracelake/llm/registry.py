@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, mixing
+from tracelake.llm import exact_dedup, mixing, packing, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": warc.op3_warc,
+        "op4_token_files": token_files.op4_token_files,
+        "op6_pack": packing.op6_pack,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
