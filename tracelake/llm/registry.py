@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, mixing, packing, token_files, warc
+from tracelake.llm import exact_dedup, mixing, packing, substring_dedup, token_files, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op6_pack": packing.op6_pack,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
