@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, mixing, packing, substring_dedup, token_files, warc
+from tracelake.llm import exact_dedup, jaccard_join, mixing, packing, substring_dedup, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op3_warc": warc.op3_warc,
         "op4_token_files": token_files.op4_token_files,
         "op6_pack": packing.op6_pack,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+    return {"op1_jaccard_join": jaccard_join.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
