@@ -17,48 +17,54 @@ from pyspark.sql import functions as F
 
 #: Bits of one chunk of a bitmap (256 KB); a bitmap has at most MAX_CHUNKS of them (64 MB).
 CHUNK_BITS, MAX_CHUNKS = 21, 256
+#: Bits that a hash sets, and bits of the bitmap for each hash below the bound.
+PROBES, BITS_PER_HASH = 5, 32
 #: Counters of a count table (one byte each when broadcast), and pieces in which it is added up.
 COUNT_BITS, COUNT_PIECES = 21, 16
 
 
-def _places(hashes: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << CHUNK_BITS) - 1)
-    chunk = (hashes >> np.uint64(40)) & np.uint64(chunks - 1)
-    return chunk.astype(np.int64), (hashes & mask).astype(np.int64), ((hashes >> np.uint64(19)) & mask).astype(np.int64)
+def _chunk(hashes: np.ndarray, chunks: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) & np.uint64(chunks - 1)).astype(np.int64)
+
+
+def _bit(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th bit of each hash within its chunk."""
+    step = (hashes >> np.uint64(21)) | np.uint64(1)
+    return ((hashes + np.uint64(i) * step + np.uint64(i * i)) & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
 
 
 class Bitmap:
-    """Two bits a hash within one chunk."""
+    """PROBES bits a hash within one chunk."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits  # uint8 [chunks, bytes]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        chunk, a, b = _places(hashes, len(self.bits))
-        flat, base = self.bits.reshape(-1), chunk << (CHUNK_BITS - 3)
-        hit = (flat[base + (a >> 3)] >> (a & 7).astype(np.uint8)) & 1
-        at = np.flatnonzero(hit)
-        out = np.zeros(hashes.size, bool)
-        out[at] = (flat[base[at] + (b[at] >> 3)] >> (b[at] & 7).astype(np.uint8)) & 1
+        flat, out = self.bits.reshape(-1), np.zeros(hashes.size, bool)
+        at = np.arange(hashes.size)
+        for i in range(PROBES):  # each probe looks only at what the probes before have left
+            h = hashes[at]
+            bit = _bit(h, i)
+            at = at[(flat[(_chunk(h, len(self.bits)) << (CHUNK_BITS - 3)) + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+        out[at] = True
         return out
 
 
 def bitmap(hashes: DataFrame, column: str, rows: int):
     """Broadcast Bitmap of a long column; sized by ``rows`` up to the fixed bound."""
     chunks = 1
-    while chunks < MAX_CHUNKS and chunks << CHUNK_BITS < 16 * rows:
+    while chunks < MAX_CHUNKS and chunks << CHUNK_BITS < BITS_PER_HASH * rows:
         chunks *= 2
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            chunk, a, b = _places(h, chunks)
+            chunk = _chunk(h, chunks)
             for c in np.unique(chunk).tolist():
                 bits = parts.setdefault(c, np.zeros(1 << CHUNK_BITS, bool))
-                of = chunk == c
-                bits[a[of]] = True
-                bits[b[of]] = True
+                for i in range(PROBES):
+                    bits[_bit(h[chunk == c], i)] = True
         for c, bits in parts.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
