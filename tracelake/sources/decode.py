@@ -1,4 +1,4 @@
-"""Frames to packets: link to transport layer as column expressions, applications in an Arrow UDF.
+"""Frames to packets: link to transport layer as column expressions, applications in a map over Arrow batches.
 
 Headers lie at offsets that other header fields give, so they are read from a hex text of the frame's first
 bytes by expressions that Spark compiles.  Only payloads that can hold a known application, and IPv6
@@ -11,6 +11,7 @@ import hashlib
 import ipaddress
 import re
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ APP = """dns struct<is_query:boolean,id:int,questions:array<struct<name:string,t
 http struct<summary:string,host:string,method_or_status:string,has_authorization:boolean>, ssh struct<banner:string,proto:string>,
 tls struct<handshake:string,version:string,sni:string,cipher_suite:string,ja3:string,ja3_hash:string,ja3s:string,ja3s_hash:string>,
 dhcp struct<message_type:string,xid:bigint,client_mac:string,client_ip:string,your_ip:string,server_ip:string,requested_ip:string,server_id:string,client_hostname:string>,
-src string, dst string"""
+app string, src string, dst string"""
 
 
 # ---------------------------------------------------------------- applications
@@ -275,13 +276,27 @@ def app_info(kind: str | None, sport: int, dport: int, m: bytes) -> dict:
     return {}
 
 
-def _applications(payload: pa.Array, kind: pa.Array, sport: pa.Array, dport: pa.Array, src: pa.Array, dst: pa.Array) -> pa.Array:
-    text = lambda raw: None if raw is None else str(ipaddress.ip_address(raw))
-    rows = [
-        (app_info(k, s, d, bytes(m)) if m else {}) | {"src": text(a), "dst": text(b)}
-        for m, k, s, d, a, b in zip(*(c.to_pylist() for c in (payload, kind, sport, dport, src, dst)))
-    ]
-    return pa.array(rows, to_arrow_type(T.StructType.fromDDL(APP)))
+def _with_applications(headers: DataFrame) -> DataFrame:
+    """``headers`` with a (APP) in place of the columns it is made from.
+
+    A map over batches rather than a UDF, so that no filter from above is pushed into the header expressions
+    and repeats them.
+    """
+    inputs = ["payload", "tkind", "sp", "dp", "src6", "dst6", "is_arp"]
+    kept = [f for f in headers.schema if f.name not in inputs or f.name == "tkind"]
+    out = T.StructType.fromDDL(APP)
+    arrow, names = to_arrow_type(out), [f.name for f in kept]  # made here: workers have no session to read DDL with
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda raw: None if raw is None else str(ipaddress.ip_address(raw))
+        for batch in batches:
+            rows = []
+            for m, k, s, d, a, b, is_arp in zip(*(batch.column(c).to_pylist() for c in inputs)):
+                found = app_info(k, s, d, m) if m else {}
+                rows.append(found | {"app": next(iter(found), "arp" if is_arp else None), "src": text(a), "dst": text(b)})
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, arrow)], names=[*names, "a"])
+
+    return headers.mapInArrow(run, T.StructType([*kept, T.StructField("a", out)]))
 
 
 # ---------------------------------------------------------------- headers
@@ -350,31 +365,34 @@ def decode(frames: DataFrame) -> DataFrame:
     df = df.withColumns({"sp": F.when(c("thl").isNotNull() & c("ok"), _u(c("l4"), 2)).cast("int"), "dp": F.when(c("thl").isNotNull() & c("ok"), _u(c("l4") + 2, 2)).cast("int")})
     payload = F.when(c("size") > 0, _bytes(c("l4") + c("thl"), c("size")))
     six = lambda at: F.when(v6 & c("ok"), _bytes(c("l3") + at, 16))
-    applications = F.arrow_udf(_applications, T.StructType.fromDDL(APP))
-    df = df.withColumn("a", applications(payload, c("tk"), c("sp"), c("dp"), six(8), six(24)))
-
     arp_at = F.when(c("t0") == 0x8100, 18).otherwise(14)
     is_arp = c("ok") & (F.when(c("t0") == 0x8100, _u(16, 2)).otherwise(c("t0")) == 0x0806) & (c("frame_len") >= arp_at + 28)
     is_arp = F.coalesce(is_arp & (_u(arp_at, 2) == 1) & (_u(arp_at + 2, 2) == 0x0800) & (_u(arp_at + 4, 2) == 0x0604), F.lit(False))
     operation = F.when(_u(arp_at + 6, 2) == 1, "request").when(_u(arp_at + 6, 2) == 2, "reply").otherwise(F.concat(F.lit("op-"), _u(arp_at + 6, 2).cast("string")))
-    app = F.when(c("a.dns").isNotNull(), "dns").when(c("a.dhcp").isNotNull(), "dhcp").when(c("a.ssh").isNotNull(), "ssh").when(c("a.tls").isNotNull(), "tls").when(c("a.http").isNotNull(), "http").when(is_arp, "arp")
     flag = lambda bit: F.shiftright(_u(c("l4") + 13, 1), bit).bitwiseAND(F.lit(1)) == 1
     flags = F.struct(flag(1).alias("syn"), flag(4).alias("ack"), flag(0).alias("fin"), flag(2).alias("rst"), flag(3).alias("psh"), flag(5).alias("urg"))
     kind, code = _u(c("l4"), 1), _u(c("l4") + 1, 1)
     s = lambda when, **f: F.when(when, F.struct(*[v.alias(n) for n, v in f.items()]))
     ip = s(
-        c("ok") & c("ip_ok"), src=F.coalesce("a.src", _dotted(c("l3") + 12)), dst=F.coalesce("a.dst", _dotted(c("l3") + 16)), version=F.when(v6, 6).otherwise(4), protocol=c("proto"),
+        c("ok") & c("ip_ok"), src=_dotted(c("l3") + 12), dst=_dotted(c("l3") + 16), version=F.when(v6, 6).otherwise(4), protocol=c("proto"),
         ttl=F.when(v6, _u(c("l3") + 7, 1)).otherwise(_u(c("l3") + 8, 1)), total_len=F.least("total", F.lit(65535)),
     )
-    made = df.select(
+    headers = df.select(
         "frame_no", "file_ord", "ts_ms", "ts_us", "frame_len", "orig_len", c("ok").alias("decode_ok"),
         s(c("ok"), src=_mac(6), dst=_mac(0), ethertype=c("t0")).alias("eth"), F.when(c("ok"), c("vlan")).alias("vlan"), ip.alias("ip"), c("tk").alias("tkind"),
         s(c("tk") == "tcp", src_port=c("sp"), dst_port=c("dp"), seq=_u(c("l4") + 4, 4), ack=_u(c("l4") + 8, 4), window=_u(c("l4") + 14, 2), payload_len=c("size"), flags=flags).alias("tcp"),
         s(c("tk") == "udp", src_port=c("sp"), dst_port=c("dp"), length=c("ulen"), payload_len=c("size")).alias("udp"),
         s(c("tk") == "icmp", version=F.when(v6, 6).otherwise(4), type=kind, code=code, summary=F.when(v6, _summary(kind, code, _ICMP6, "icmp6")).otherwise(_summary(kind, code, _ICMP4, "icmp"))).alias("icmp"),
-        F.when(c("tk") == "other", c("proto")).alias("other_protocol"), app.alias("app"), "a.dns", "a.http", "a.ssh", "a.tls",
-        s(app == "arp", operation=operation, sender_mac=_mac(arp_at + 8), sender_ip=_dotted(arp_at + 14), target_mac=_mac(arp_at + 18), target_ip=_dotted(arp_at + 24)).alias("arp"),
-        "a.dhcp", F.when(app == "arp", F.greatest(F.coalesce("size", F.lit(0)), F.lit(28))).otherwise(F.coalesce("size", F.lit(0))).alias("payload_len"),
+        F.when(c("tk") == "other", c("proto")).alias("other_protocol"),
+        s(is_arp, operation=operation, sender_mac=_mac(arp_at + 8), sender_ip=_dotted(arp_at + 14), target_mac=_mac(arp_at + 18), target_ip=_dotted(arp_at + 24)).alias("arp"),
+        F.coalesce("size", F.lit(0)).alias("size"), payload.alias("payload"), "sp", "dp", six(8).alias("src6"), six(24).alias("dst6"), is_arp.alias("is_arp"),
+    )
+    found = _with_applications(headers)
+    address = F.when(c("a.src").isNull(), c("ip")).otherwise(c("ip").withField("src", c("a.src")).withField("dst", c("a.dst")))
+    arp = c("a.app") == "arp"
+    made = found.select(
+        "frame_no", "file_ord", "ts_ms", "ts_us", "frame_len", "orig_len", "decode_ok", "eth", "vlan", address.alias("ip"), "tkind", "tcp", "udp", "icmp", "other_protocol",
+        c("a.app").alias("app"), "a.dns", "a.http", "a.ssh", "a.tls", F.when(arp, c("arp")).alias("arp"), "a.dhcp", F.when(arp, F.greatest("size", F.lit(28))).otherwise(c("size")).alias("payload_len"),
     )
     want = T.StructType.fromDDL(PACKET)
     return made.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in want])
