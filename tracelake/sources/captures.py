@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from tracelake.schema import FRAME
 
@@ -193,8 +193,8 @@ class _Reader(DataSourceReader):
             yield from _rows(partition.path, partition.number, self.lenient)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Files that have come into a folder since the last batch, in order of name."""
+class _Stream(DataSourceStreamReader):
+    """Files that have come into a folder since the last batch, in order of name; a task reads each."""
 
     def __init__(self, options):
         self.path, self.lenient = options["path"], options.get("lenient", "false").lower() == "true"
@@ -202,14 +202,16 @@ class _Stream(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"last": "", "files": 0}
 
-    def read(self, start):
-        new = [f for f in _listed(self.path) if f > start["last"]]
-        rows = (r for i, f in enumerate(new) for r in _rows(f, start["files"] + i, self.lenient))
-        return rows, {"last": new[-1] if new else start["last"], "files": start["files"] + len(new)}
+    def latestOffset(self):
+        files = _listed(self.path)
+        return {"last": files[-1] if files else "", "files": len(files)}
 
-    def readBetweenOffsets(self, start, end):
+    def partitions(self, start, end):
         files = [f for f in _listed(self.path) if start["last"] < f <= end["last"]]
-        return (r for i, f in enumerate(files) for r in _rows(f, start["files"] + i, self.lenient))
+        return [_File(f, start["files"] + i) for i, f in enumerate(files)]
+
+    def read(self, partition):
+        yield from _rows(partition.path, partition.number, self.lenient)
 
 
 @dataclass
@@ -263,7 +265,7 @@ class CaptureSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options)
 
     def writer(self, schema, overwrite):
