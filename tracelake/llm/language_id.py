@@ -23,8 +23,9 @@ from tracelake.llm.common import mix, slices, text_bytes
 
 #: Labelled rows a language that are fitted, at most.
 FIT_ROWS = 200
+BUCKET_BITS = 12
 #: Hash buckets of each n-gram order, and the orders in bytes.
-BUCKETS, ORDERS = 1 << 13, (1, 2, 3, 4)
+BUCKETS, ORDERS = 1 << BUCKET_BITS, (1, 2, 3, 4)
 #: Share of the fitted rows that only weighs the bits.
 WEIGHED = 0.2
 #: Below this score a prediction counts as ambiguous.
@@ -70,7 +71,7 @@ def gram_places(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
             return
         h = h[:n] * _ODD + data[order - 1 :] + np.uint64(1)
         inside = row[:n] == row[order - 1 :]
-        place = (mix(h) >> np.uint64(64 - 13)).astype(np.int64) + (order - 1) * BUCKETS
+        place = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + (order - 1) * BUCKETS
         yield place[inside], row[:n][inside]
 
 
@@ -119,24 +120,28 @@ def fit(counts: np.ndarray, labels: list[str], rounds: int = 80) -> Model | None
         return None
     code = codewords(len(languages))
     y = code[[languages.index(x) for x in labels]].astype(np.float64)
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    scale = 1.0 / np.sqrt(np.maximum((share**2).mean(axis=0), 1e-12))  # frequent and rare n-grams weigh alike
-    x = (share * scale).astype(np.float32) / np.sqrt(DIMENSIONS / 8)
+    x = counts.astype(np.float32, copy=False)  # turned into scaled shares in place: the table is not held twice
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    squares = np.zeros(x.shape[1])
+    for row in x:
+        squares += row.astype(np.float64) ** 2
+    scale = (1.0 / np.sqrt(np.maximum(squares / len(x), 1e-12) * (DIMENSIONS / 8))).astype(np.float32)
+    x *= scale  # frequent and rare n-grams weigh alike
     held = np.arange(len(labels)) % round(1 / WEIGHED) == 0 if len(labels) >= 10 else np.zeros(len(labels), bool)
-    train = ~held
-    group = np.array([languages.index(z) for z in labels])[train]
-    even = (1.0 / np.bincount(group, minlength=len(languages))[group])[:, None]
-    even /= even.mean()
+    use = (~held)[:, None]
+    group = np.array([languages.index(z) for z in labels])
+    even = use / np.maximum(np.bincount(group[~held], minlength=len(languages)), 1)[group][:, None]
+    even /= even.sum() / len(labels)
     w, b = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1])
     step_w, step_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds if len(languages) > 1 else 0):
-        pull = y[train] * even / (1.0 + np.exp(np.clip(y[train] * (x[train] @ w + b), -30, 30)))
-        step_w = 0.9 * step_w + (x[train].T @ pull.astype(np.float32)) / train.sum() - 1e-4 * w
+        pull = y * even / (1.0 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
+        step_w = 0.9 * step_w + (x.T @ pull.astype(np.float32)) / len(labels) - 1e-4 * w
         step_b = 0.9 * step_b + pull.mean(axis=0)
         w, b = w + 0.5 * step_w, b + 0.5 * step_b
-    right = ((x[held] @ w + b) * y[held] > 0).mean(axis=0) if held.any() else np.ones(code.shape[1])
+    right = ((x @ w + b) * y > 0)[held].mean(axis=0) if held.any() else np.ones(code.shape[1])
     weight = np.clip(2 * right - 1, 0.05, 1.0)
-    coefficients = (w * scale[:, None] / np.sqrt(DIMENSIONS / 8)).astype(np.float32)
+    coefficients = w * scale[:, None]
     return Model(languages, code.astype(np.float64), weight, coefficients, b)
 
 
@@ -172,7 +177,9 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     counts = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r.place, "<u2")] = np.frombuffer(r.times, "<u4")
-    return fit(counts, [r.lang for r in rows])
+    labels = [r.lang for r in rows]
+    del rows
+    return fit(counts, labels)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
