@@ -18,12 +18,16 @@ BROADCAST_ROWS = 400_000
 
 
 # ---------------------------------------------------------------- shared folder
+_own: list[str] = []  # this machine's folder, made once, for sessions without a shared one (tests)
+
+
 def workspace(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only where that is unset, one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tracelake-"))
+        base = _own[0]
     return f"{base.rstrip('/')}/tracelake-{uuid.uuid4().hex}"
 
 
@@ -35,13 +39,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` written to the shared folder, marked for broadcast only if its counted rows allow it.
 
-    Beyond ``rows`` the same join runs as a shuffle join, so nothing depends on the side being small.
+    ``weight`` is what one row counts, for rows that hold arrays.  Beyond ``rows`` the same join runs as a
+    shuffle join, so nothing depends on the side being small.
     """
     kept = materialize(df, name)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    size = kept.count() if weight is None else kept.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= rows else kept
 
 
 def text_or_empty(name: str = "text") -> Column:
