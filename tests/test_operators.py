@@ -199,3 +199,12 @@ def test_queries_match_their_sql(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["ts_unix_ms", "rule", "severity", "src", "detail"] and os.path.exists(os.path.dirname(entry.__file__))
+
+
+def test_report_objects(spark, alerts):
+    row = reports.diff_report(alerts, alerts.where("rule = 'x'")).first()
+    assert (row.module, row.gone, row.new, len(row.only_before), len(row.only_after)) == ("diff", 2, 0, 2, 0)
+    lines = spark.createDataFrame([('{"event_type":"alert","alert":{}}',), ("x",)], "value string")
+    row = reports.import_report(eve.convert_eve(lines), "eve", 1, ["value"]).first()
+    assert (row.alerts_kept, row.parse_errors, row.truncated, len(row.alerts)) == (1, 1, False, 1)
+    assert reports.detect_report(alerts, 9).first().packets == 9

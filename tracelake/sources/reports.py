@@ -74,3 +74,22 @@ def detect_report(alerts: DataFrame, packets: int, pack: str | None = None, supp
     """A report object in one row: meant for alert sets of one document's size."""
     listed = alerts.agg(F.sort_array(F.collect_list(F.struct(*ALERT_COLUMNS))).alias("alerts"))
     return listed.select(F.lit("detect").alias("module"), F.lit(packets).cast("long").alias("packets"), F.lit(pack).cast("string").alias("rules_pack"), "alerts", F.lit(suppressed).cast("long").alias("suppressed_by_cooldown"))
+
+
+def import_report(converted: DataFrame, source: str, max_alerts: int | None = None, order: list[str] = ()) -> DataFrame:
+    """Counters of an import with its alerts in one row; for alert sets of one document's size."""
+    from tracelake.sources.eve import import_counters, kept_alerts
+
+    counters = import_counters(converted, max_alerts, order)
+    listed = kept_alerts(converted, max_alerts, order).agg(F.sort_array(F.collect_list(F.struct(*ALERT_COLUMNS))).alias("alerts"))
+    return counters.join(F.broadcast(listed)).select(F.lit("import").alias("module"), F.lit(source).alias("source"), *counters.columns, "alerts")  # one row each
+
+
+def diff_report(before: DataFrame, after: DataFrame, mode: str = "full") -> DataFrame:
+    """The difference of two alert sets as one object."""
+    from tracelake.operators.diff import diff_alerts
+
+    parts = diff_alerts(before, after, mode)
+    side = lambda name: parts[name].agg(F.sort_array(F.collect_list(F.struct("key", "count", "sample"))).alias(name))
+    out = parts["totals"].join(F.broadcast(side("only_before"))).join(F.broadcast(side("only_after")))  # one row each
+    return out.select(F.lit("diff").alias("module"), F.lit(mode).alias("key_mode"), "*")
