@@ -5,8 +5,10 @@ hash.  Two sets within the threshold share a shingle among the first few of both
 grouped as inverted lists.  Two relations between sets keep the lists from being compared pair by pair:
 
 * equal sets are one class, represented by its smallest id;
-* a set that is highly similar to an already answered one, its pivot (two equal pairs of minhashes, then an
+* a set that is highly similar to an already answered one, its pivot (an equal pair of minhashes, then an
   exact check), takes over the pivot's component, and no pair inside one such component is formed again.
+  The pivot of sets with equal minhashes is the one whose shingles are the most common: what copies were
+  made from, or the copy nearest to it.  Those it leaves open get a pivot of their own in the next round.
   Only pairs across components are looked for in the lists.
 
 Within a list, entries are sorted by set size and cut into blocks; by the positions at which the shingle
@@ -29,6 +31,8 @@ from tracelake.llm.sketches import count_places, count_table
 
 #: Entries of an inverted list in one block.
 LIST_BLOCK = 64
+#: Rounds in which pivots answer for sets like them.
+PIVOT_ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)
 
@@ -81,7 +85,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - -(-num * n // den) + 1, 0)
 
 
-_RECORD = "doc_id long, n_shingles long, s1 long, s2 long, prefix binary, m0 long, m1 long, m2 long, m3 long"
+_RECORD = "doc_id long, n_shingles long, s1 long, s2 long, central double, prefix binary, m0 long, m1 long, m2 long, m3 long"
 
 
 def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -106,11 +110,13 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for i in range(4):
                     one, two = (np.minimum.reduceat(mix(h ^ np.uint64(_SEEDS[j])), begin[full]) for j in (2 * i, 2 * i + 1))
                     mins[i, full] = mix(one * _ODD + two)
-            order = np.lexsort((h, counts.value[count_places(h)], row))
+            level = counts.value[count_places(h)]
+            central = np.bincount(row, level, minlength=sizes.size) / np.maximum(sizes, 1)
+            order = np.lexsort((h, level, row))
             ordered, cut = h[order], prefix_length(sizes, num, den)
             prefix = [ordered[a : a + c].tobytes() for a, c in zip(begin.tolist(), cut.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in sums), pa.array(prefix, pa.binary()), *(pa.array(x.view(np.int64)) for x in mins)],
+                [batch.column("doc_id"), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in sums), pa.array(central), pa.array(prefix, pa.binary()), *(pa.array(x.view(np.int64)) for x in mins)],
                 names=[c.split()[0] for c in _RECORD.split(", ")],
             )
 
@@ -153,6 +159,35 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return materialize(joined.mapInArrow(check, "a long, b long").distinct(), "checked")
 
 
+# ---------------------------------------------------------------- pivots
+def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return keys.withColumn("label", F.col("doc_id"))
+    named = labels.select(F.col("id").alias("doc_id"), "component")
+    return keys.join(named, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _answered_by_pivots(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of sets with the pivots of their minhash groups: at most one pair a set, key and round."""
+    keys = classes.select("doc_id", "central", F.posexplode(F.array("m0", "m1", "m2", "m3")).alias("j", "m"))
+    links, labels = None, None
+    for n in range(PIVOT_ROUNDS):
+        labelled = _labelled(keys, labels)
+        best = F.max_by(F.struct("doc_id", "label"), F.struct("central", -F.col("doc_id"))).alias("p")
+        pivots = labelled.groupBy("j", "m").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = labelled.join(pivots, ["j", "m"])
+        near = met.where("label <> p.label").select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b")).distinct()
+        checked = _checked(rows, near, k, num, den)
+        links = checked if links is None else links.unionByName(checked)
+        labels = components(links)
+        if n + 1 < PIVOT_ROUNDS:  # what the pivot's component hasn't taken in stays open
+            group = pivots.select("j", "m", F.col("p.doc_id").alias("doc_id"))
+            reached = _labelled(group, labels).select("j", "m", F.col("label").alias("pivot_label"))
+            left = _labelled(keys, labels).join(reached, ["j", "m"]).where("label <> pivot_label")
+            keys = materialize(left.select("doc_id", "central", "j", "m"), "open")
+    return links, labels
+
+
 # ---------------------------------------------------------------- inverted lists
 def list_pairs(rep: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one list, sorted by n, that differ in label and pass the size and position bounds."""
@@ -268,18 +303,13 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     usable = records.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
     classes = usable.groupBy(same).agg(
-        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), *[F.first(m).alias(m) for m in ("m0", "m1", "m2", "m3")]
+        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("central").alias("central"), *[F.first(m).alias(m) for m in ("m0", "m1", "m2", "m3")]
     )
     classes = materialize(classes, "classes")
     member = usable.join(classes.select(*same, F.col("doc_id").alias("b")), same).where("doc_id <> b")
     equal = materialize(member.select(F.col("doc_id").alias("a"), "b").distinct(), "equal")
 
-    keys = classes.select("doc_id", F.posexplode(F.array("m0", "m1", "m2", "m3")).alias("j", "m"))
-    pivots = keys.groupBy("j", "m").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = keys.join(pivots, ["j", "m"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    answered = _checked(rows, near, k, num, den)
-
-    labels = components(answered)
+    answered, labels = _answered_by_pivots(rows, classes, k, num, den)
     across = _checked(rows, _candidates(classes, labels, num, den), k, num, den)
     found = components(answered.unionByName(across).unionByName(equal))
     return records.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
