@@ -17,7 +17,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SEED = "mix-1"
 #: Rows of all sources together for each key range.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -63,7 +63,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), text), 11) + F.lit(0.5)) / F.lit(float(2**53))
     key = F.lit(1.0) - F.exp(F.log(draw) / quality_weight(text))  # 1 - exp(-e), e the exponential key
     base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "keys")
-    parts = max(8, -(-base.count() // rows_per_range))
+    parts = max(64, -(-base.count() // rows_per_range))
     name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
     keyed = base.select("*", name.alias("name"), F.least(F.floor(F.col("key") * parts), F.lit(parts - 1)).cast("int").alias("range"))
     ranges = materialize(keyed.groupBy("name", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "ranges")
