@@ -104,23 +104,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     so they should repeat its text too.  Only doc_id and text are read.
     """
     starts = repeated_windows(docs, window)
-    spans = materialize(starts.groupBy("doc_id").agg(F.collect_set("at").alias("starts")), "spans")
+    sets = starts.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # runs of repeated windows, by their first and last starts: the maximal repeats
+    begins = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    spans = sets.select("doc_id", begins.alias("begins"), ends.alias("ends"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = rows.join(small_side(spans, "spans"), "doc_id", "left")
+    joined = rows.join(small_side(spans, "spans", weight=1 + F.size("begins")), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, total, removed = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
+            for text, begins, ends in zip(batch.column("text"), batch.column("begins"), batch.column("ends")):
                 words = (text.as_py() or "").encode().split()  # bytes.split cuts at exactly those six characters
                 total.append(len(words))
                 gone = 0
-                if starts.is_valid and len(starts):
-                    cover = np.zeros(len(words) + window + 1, np.int64)
-                    at = np.asarray(starts.values.to_numpy(zero_copy_only=False), np.int64)
-                    at = at[at + window <= len(words)]
-                    cover[at] += 1
-                    cover[at + window] -= 1
+                if begins.is_valid:
+                    cover = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(cover, np.minimum(begins.values.to_numpy(zero_copy_only=False), len(words)), 1)
+                    np.add.at(cover, np.minimum(ends.values.to_numpy(zero_copy_only=False) + window, len(words)), -1)
                     stay = np.cumsum(cover)[: len(words)] == 0
                     gone = len(words) - int(stay.sum())
                     words = [w for w, s in zip(words, stay.tolist()) if s]
@@ -128,7 +130,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.select("doc_id", "text", "begins", "ends").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
