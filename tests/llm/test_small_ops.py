@@ -371,6 +371,28 @@ def test_codewords():
         assert len({tuple(r) for r in code}) == n and apart[~np.eye(n, dtype=bool)].min() >= (1 if n == 2 else 2)
 
 
+@pytest.mark.parametrize("n", [5, 10])
+def test_every_language_is_fitted(spark, n):
+    rng, names = random.Random(n), [f"l{i:02}" for i in range(n)]
+    vocabulary = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for _ in names]
+    for a, b in zip(vocabulary[::5], vocabulary[1::5]):
+        a[:9] = b[:9]  # a language that isn't fitted is taken for its neighbour
+    rows = [(i, " ".join(rng.choices(vocabulary[i % n], k=30)), names[i % n]) for i in range(30 * n)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=20)
+    assert model.languages == names
+    fresh = [(i, " ".join(rng.choices(vocabulary[i % n], k=30)), names[i % n]) for i in range(10 * n)]
+    got = language_id.predict(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    right = {name: sum(r.lang == name == r.lang_pred for r in got) for name in names}
+    assert min(right.values()) >= 9, right
+
+
+def test_weighing_is_by_language():
+    for n in (4, 5, 10):
+        assert language_id.weighing(np.tile(np.arange(n), 20)).reshape(20, n).sum(axis=0).tolist() == [4] * n
+    assert not language_id.weighing(np.array([0, 1, 2, 0, 1, 2])).any()
+    assert language_id.weighing(np.array([0, 0, 1, 0, 0, 0])).tolist() == [False] * 5 + [True]
+
+
 def test_language_id(spark, sf, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = language_id.op5_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()

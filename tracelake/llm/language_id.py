@@ -26,7 +26,7 @@ FIT_ROWS = 200
 BUCKET_BITS = 12
 #: Hash buckets of each n-gram order, and the orders in bytes.
 BUCKETS, ORDERS = 1 << BUCKET_BITS, (1, 2, 3, 4)
-#: Share of the fitted rows that only weighs the bits.
+#: Share of each language's sampled rows that only weighs the bits.
 WEIGHED = 0.2
 #: Below this score a prediction counts as ambiguous.
 AMBIGUOUS = 0.55
@@ -113,6 +113,15 @@ class Model:
         return chance.argmax(axis=1), chance.max(axis=1)
 
 
+def weighing(group: np.ndarray) -> np.ndarray:
+    """Which rows only weigh the bits: the last of every 1 / WEIGHED rows of each group; small groups are fitted whole."""
+    rank = np.zeros(group.size, int)
+    for g in np.unique(group):
+        rank[group == g] = np.arange((group == g).sum())
+    every = round(1 / WEIGHED)
+    return rank % every == every - 1
+
+
 def fit(counts: np.ndarray, labels: list[str], rounds: int = 80) -> Model | None:
     """Logistic bit classifiers by full-batch gradient steps on n-gram shares (rows of ``counts``)."""
     languages = sorted(set(labels))
@@ -127,9 +136,9 @@ def fit(counts: np.ndarray, labels: list[str], rounds: int = 80) -> Model | None
         squares += row.astype(np.float64) ** 2
     scale = (1.0 / np.sqrt(np.maximum(squares / len(x), 1e-12) * (DIMENSIONS / 8))).astype(np.float32)
     x *= scale  # frequent and rare n-grams weigh alike
-    held = np.arange(len(labels)) % round(1 / WEIGHED) == 0 if len(labels) >= 10 else np.zeros(len(labels), bool)
-    use = (~held)[:, None]
     group = np.array([languages.index(z) for z in labels])
+    held = weighing(group)
+    use = (~held)[:, None]
     even = use / np.maximum(np.bincount(group[~held], minlength=len(languages)), 1)[group][:, None]
     even /= even.sum() / len(labels)
     w, b = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1])
