@@ -216,6 +216,19 @@ def test_quality_counts(docs, texts, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_judges_short_texts(spark):
+    rng, common = random.Random(5), quality.COMMON["en"]
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400)]
+    often = [1 / (i + 1) for i in range(len(common))]  # as frequent words are in prose
+    text = lambda n, share: " ".join(rng.choices(common, often)[0] if rng.random() < share else rng.choice(rare) for _ in range(n))
+    rows = [(i, text(600, 0.4), "en") for i in range(20)]
+    sizes = (55, 70, 90, 119, 150)
+    rows += [(100 + n, text(n, 0.4), "en") for n in sizes] + [(1000 + n, text(n, 0.0), "en") for n in sizes]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    # at 55 words good texts and the limit lie within a sampling error of each other: only junk is sure
+    assert all(got[100 + n].kept for n in sizes[1:]) and not any(got[1000 + n].kept for n in sizes)
+
+
 def test_distance_is_jensen_shannon(spark):
     from pyspark.sql import functions as F
 
