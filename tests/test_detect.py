@@ -153,6 +153,28 @@ def test_watch(spark, sf, tmp_path):
     assert seen[0]["traffic"]["packets"] == packets.count() and seen[0]["recent"] and defaultdict(int, {r["key"]: r["count"] for r in seen[0]["by_rule"]})["rare_port"] > 0
 
 
+@pytest.mark.parametrize("limits", [False, True])
+def test_watch_carries_over(spark, sf, tmp_path, limits):
+    from tracelake.operators.stats import alerts_by, traffic_stats
+    from tracelake.streaming.detect import watch
+
+    packets = packet_view(spark.read.parquet(f"{sf}/events.parquet")).where("frame_no < 400")
+    rule = {"id": "pairs", "once": "per_src" if limits else "none", "when": {"field": "tcp.flags.syn", "eq": True}, "correlate": {"window_secs": 86400, "unique_field": "tcp.dst_port", "unique_count": 2}}
+    cfg = rl.DetectConfig(syn_scan_ports=2, host_sweep_hosts=2, dns_unique_names=2, tcp_rst_count=2, dhcp_discover_count=2, window_ms=5 * 86_400_000, cooldown_ms=86_400_000 if limits else 0, custom_rules=tuple(rl.compile_rules([rule])))
+    seen, source = [], spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet
+    (tmp_path / "in").mkdir()
+    for parts in ((0, 1), (2,)):  # two batches, and a third after a restart
+        for i in parts:
+            packets.where(f"frame_no >= {i * 134} and frame_no < {(i + 1) * 134}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = watch(source(str(tmp_path / "in")), seen.append, cfg, checkpoint=str(tmp_path / "ck"), availableNow=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    want = detect(packets, cfg)
+    assert [s["batch"] for s in seen] == [0, 1, 2] and seen[-1]["traffic"] == traffic_stats(packets).first().asDict()
+    assert seen[-1]["by_severity"] == [r.asDict() for r in alerts_by(want, "severity").collect()]
+    assert seen[-1]["by_rule"] == [r.asDict() for r in alerts_by(want, "rule", 8).collect()]
+
+
 def test_capture_stream(spark, tmp_path):
     from tracelake.sources.captures import register, write_capture
 
