@@ -5,12 +5,13 @@ logits decode to the codeword with the least loss, weighted by how well each bit
 was not fitted on.  The margin to the second codeword gives the score and flags ambiguous texts.
 
 The classifiers are fitted on a sample of at most FIT_ROWS labelled rows a language (the documented bound);
-its n-gram counts are made on the executors, over whole texts.  Prediction reads every whole text.
+its n-gram counts are made on the executors, over whole texts, and reach the driver as sparse rows.
+Prediction reads every whole text, in blocks of BLOCK_BYTES, so that a text of any length needs few arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +19,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm.common import mix, slices, text_bytes
 
 #: Labelled rows a language that are fitted, at most.
 FIT_ROWS = 200
-BUCKET_BITS = 12
+BUCKET_BITS = 13
 #: Hash buckets of each n-gram order, and the orders in bytes.
 BUCKETS, ORDERS = 1 << BUCKET_BITS, (1, 2, 3, 4)
+#: Bytes whose n-grams are looked up at once.
+BLOCK_BYTES = 1 << 17
 #: Share of each language's sampled rows that only weighs the bits.
 WEIGHED = 0.2
 #: Below this score a prediction counts as ambiguous.
@@ -53,26 +57,45 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- n-grams
-def gram_places(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of each n-gram, one order after the other; ASCII capitals count as small letters.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[48:58] = 48
+_FOLD[9:14] = 32
 
-    Digits and white space of any length of one byte fall together, so that layout says little.
+
+def gram_places(data: np.ndarray, offsets: np.ndarray, block: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, row) of each n-gram, block by block and in it one order after the other, rows ascending.
+
+    ASCII capitals count as small letters; digits fall together, and so does white space of one byte, so that
+    layout says little.  A block reads over its end by what its last n-grams need, within the same text.
     """
-    fold = np.arange(256, dtype=np.uint8)
-    fold[65:91] += 32
-    fold[48:58] = 48
-    fold[9:14] = 32
-    data = fold[data].astype(np.uint64)
-    row = np.repeat(np.arange(offsets.size - 1), np.diff(offsets))
-    h = np.zeros(data.size, np.uint64)
-    for order in ORDERS:
-        n = data.size - order + 1
-        if n <= 0:
-            return
-        h = h[:n] * _ODD + data[order - 1 :] + np.uint64(1)
-        inside = row[:n] == row[order - 1 :]
-        place = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + (order - 1) * BUCKETS
-        yield place[inside], row[:n][inside]
+    for a in range(0, data.size, block):
+        b = min(a + block, data.size)
+        part = _FOLD[data[a : b + max(ORDERS) - 1]].astype(np.uint64)
+        first, last = (int(np.searchsorted(offsets, x, "right")) - 1 for x in (a, b - 1))
+        inner = np.clip(offsets[first : last + 2], a, b) - a
+        row = np.repeat(np.arange(first, last + 1), np.diff(inner))
+        room = offsets[row + 1] - np.arange(a, b)  # bytes left in the text
+        h = np.zeros(b - a, np.uint64)
+        for order in ORDERS:
+            n = min(b - a, part.size - order + 1)
+            if n <= 0:
+                break
+            h = h[:n] * _ODD + part[order - 1 : order - 1 + n] + np.uint64(1)
+            inside = room[:n] >= order
+            place = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + (order - 1) * BUCKETS
+            yield place[inside], row[:n][inside]
+
+
+def has_letter(data: np.ndarray, offsets: np.ndarray, block: int = BLOCK_BYTES) -> np.ndarray:
+    """Which texts have a letter; a long text is read in pieces, and no further than its first letter."""
+    found = np.zeros(offsets.size - 1, bool)
+    for i, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        at = lo
+        while at < hi and not found[i]:  # pieces overlap by the bytes of a character that may be cut
+            found[i] = _LETTER.search(data[at : min(hi, at + block + 3)].tobytes().decode(errors="ignore")) is not None
+            at += block
+    return found
 
 
 DIMENSIONS = BUCKETS * len(ORDERS)
@@ -88,21 +111,18 @@ class Model:
     coefficients: np.ndarray  # [DIMENSIONS, bits]
     bias: np.ndarray  # [bits]
 
-    def logits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of each text's bits, and its number of bytes."""
-        data, offsets = text_bytes(column)
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Logits of each text's bits, from its UTF-8 bytes."""
         total = np.zeros((offsets.size - 1, self.bias.size), np.float64)
         count = np.zeros(offsets.size - 1)
         for place, row in gram_places(data, offsets):
             if place.size:
                 starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                for a in range(0, starts.size, 256):  # a few rows at a time keeps the gathered weights small
-                    s = starts[a : a + 256]
-                    end = starts[a + 256] if a + 256 < starts.size else row.size
-                    gathered = self.coefficients[place[s[0] : end]]
-                    total[row[s]] += np.add.reduceat(gathered, s - s[0], axis=0, dtype=np.float64)
-                count += np.bincount(row, minlength=count.size)
-        return total / np.maximum(count, 1)[:, None] + self.bias, np.diff(offsets)
+                ends = np.append(starts[1:], row.size)
+                found, ones = self.coefficients.take(place, axis=0), np.ones(place.size, np.float32)
+                total[row[starts]] += [ones[a:b] @ found[a:b] for a, b in zip(starts.tolist(), ends.tolist())]  # adds up rows
+                count[row[starts]] += ends - starts
+        return total / np.maximum(count, 1)[:, None] + self.bias
 
     def decode(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score): softmax over the negative weighted logistic losses, 0 to 1."""
@@ -122,36 +142,45 @@ def weighing(group: np.ndarray) -> np.ndarray:
     return rank % every == every - 1
 
 
-def fit(counts: np.ndarray, labels: list[str], rounds: int = 80) -> Model | None:
-    """Logistic bit classifiers by full-batch gradient steps on n-gram shares (rows of ``counts``)."""
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = 100) -> Model | None:
+    """Logistic bit classifiers by gradient steps on n-gram shares, each on some rows of every language.
+
+    ``counts`` has the n-grams (place, times) of each row, the languages by turns; rows stay sparse.
+    """
     languages = sorted(set(labels))
     if not languages:
         return None
     code = codewords(len(languages))
     y = code[[languages.index(x) for x in labels]].astype(np.float64)
-    x = counts.astype(np.float32, copy=False)  # turned into scaled shares in place: the table is not held twice
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    squares = np.zeros(x.shape[1])
-    for row in x:
-        squares += row.astype(np.float64) ** 2
-    scale = (1.0 / np.sqrt(np.maximum(squares / len(x), 1e-12) * (DIMENSIONS / 8))).astype(np.float32)
-    x *= scale  # frequent and rare n-grams weigh alike
+    rows = [(place, (times / max(1, times.sum())).astype(np.float32)) for place, times in counts]
+    squares = np.zeros(DIMENSIONS)
+    for place, value in rows:
+        squares[place] += value.astype(np.float64) ** 2
+    scale = (1.0 / np.sqrt(np.maximum(squares / len(labels), 1e-12) * (DIMENSIONS / 8))).astype(np.float32)
+    rows = [(place, (value * scale[place])[:, None]) for place, value in rows]  # frequent and rare n-grams weigh alike
     group = np.array([languages.index(z) for z in labels])
     held = weighing(group)
-    use = (~held)[:, None]
-    even = use / np.maximum(np.bincount(group[~held], minlength=len(languages)), 1)[group][:, None]
-    even /= even.sum() / len(labels)
+    even = 1 / (np.bincount(group[~held], minlength=len(languages))[group] * len(set(group[~held].tolist())))  # every language weighs alike
     w, b = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1])
     step_w, step_b = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(rounds if len(languages) > 1 else 0):
-        pull = y * even / (1.0 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
-        step_w = 0.9 * step_w + (x.T @ pull.astype(np.float32)) / len(labels) - 1e-4 * w
-        step_b = 0.9 * step_b + pull.mean(axis=0)
+
+    def answer(i: int) -> np.ndarray:
+        place, value = rows[i]
+        return (w.take(place, axis=0) * value).sum(axis=0) + b
+
+    parts = np.array_split(np.flatnonzero(~held), max(1, len(labels) // (10 * len(languages))))
+    for n in range(steps if len(languages) > 1 else 0):
+        step_w = 0.9 * step_w - 1e-4 * w
+        step_b = 0.9 * step_b
+        for i in parts[n % len(parts)].tolist():
+            place, value = rows[i]
+            pull = y[i] * even[i] * len(parts) / (1.0 + np.exp(np.clip(y[i] * answer(i), -30, 30)))
+            step_w[place] += value * pull.astype(np.float32)
+            step_b += pull
         w, b = w + 0.5 * step_w, b + 0.5 * step_b
-    right = ((x @ w + b) * y > 0)[held].mean(axis=0) if held.any() else np.ones(code.shape[1])
-    weight = np.clip(2 * right - 1, 0.05, 1.0)
-    coefficients = w * scale[:, None]
-    return Model(languages, code.astype(np.float64), weight, coefficients, b)
+    right = np.array([answer(i) * y[i] > 0 for i in np.flatnonzero(held).tolist()]).reshape(-1, code.shape[1])
+    weight = np.clip(2 * (right.mean(axis=0) if len(right) else np.ones(code.shape[1])) - 1, 0.05, 1.0)
+    return Model(languages, code.astype(np.float64), weight, w * scale[:, None], b)
 
 
 # ---------------------------------------------------------------- Spark
@@ -168,55 +197,66 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
-            rows = np.concatenate([np.zeros(0, np.int64), *(p + r * DIMENSIONS for p, r in gram_places(data, offsets))])
-            key, n = np.unique(rows, return_counts=True)
-            cut = np.searchsorted(key, np.arange(batch.num_rows + 1) * DIMENSIONS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("lang"),
-                    batch.column("n"),
-                    pa.array([(key[a:b] % DIMENSIONS).astype("<u2").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                    pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                ],
-                names=["lang", "n", "place", "times"],
-            )
-
-    rows = sample.mapInArrow(count, "lang string, n int, place binary, times binary").collect()  # fit_rows a language
+            places, times = [], []
+            for lo, hi in zip(offsets.tolist(), offsets[1:].tolist()):
+                total = np.zeros(DIMENSIONS, np.int64)
+                for place, _ in gram_places(data[lo:hi], np.array([0, hi - lo])):
+                    total += np.bincount(place, minlength=DIMENSIONS)
+                found = np.flatnonzero(total)
+                places.append(found.astype("<u2").tobytes())
+                times.append(total[found].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(places, pa.binary()), pa.array(times, pa.binary())], names=["lang", "n", "place", "times"])
+
+    rows = sample.mapInArrow(count, "lang string, n int, place binary, times binary").collect()  # fit_rows a language, sparse
     rows.sort(key=lambda r: (r.n, r.lang))
-    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r.place, "<u2")] = np.frombuffer(r.times, "<u4")
-    labels = [r.lang for r in rows]
-    del rows
-    return fit(counts, labels)
+    return fit([(np.frombuffer(r.place, "<u2"), np.frombuffer(r.times, "<u4")) for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous.
+_NEW = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
-    lang_pred is ``und``, with score 0, for a null text and one without any letter, and for all texts if
-    no language was learned.  Only text is looked at.  Further columns pass through; of those that have a
-    result's name, the result's stays.
+
+def _judged(docs: DataFrame, model: Model | None, result: Callable, schema: Callable[[list], list]) -> DataFrame:
+    """``result`` of each batch of ``docs`` with its languages, scores and ambiguity.
+
+    Columns go by their place, c0, c1 and so on, so that none can clash; each row is sent once.
+    ``schema`` turns the fields of those columns into the fields of the result.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "lang_pred string, score double, ambiguous boolean"])
+    text = f"c{docs.columns.index('text')}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches):
-            text = batch.column("text")
-            letters = np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in text], bool)
+        for batch in slices(batches, text):
+            data, offsets = text_bytes(batch.column(text))
             if m is None:
-                best, score, letters = np.zeros(len(text), int), np.zeros(len(text)), np.zeros(len(text), bool)
+                best, score, letters = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             else:
-                best, score = m.decode(m.logits(text)[0])
-            said = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best, letters)]
+                letters = has_letter(data, offsets)
+                best, score = m.decode(m.logits(data, offsets))
+            said = np.array([m.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist())], object)
             score = np.where(letters, score, 0.0)
-            new = [pa.array(said, pa.string()), pa.array(score), pa.array(letters & (score < AMBIGUOUS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "lang_pred", "score", "ambiguous"])
+            yield result(batch, said, score, letters & (score < AMBIGUOUS))
+
+    return plain.mapInArrow(run, T.StructType(schema(plain.schema.fields)))
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with lang_pred, score and ambiguous.
+
+    lang_pred is ``und``, with score 0, for a null text and one without any letter, and for all texts if
+    no language was learned; so an empty table stays empty.  Only text is looked at: repeated rows get equal
+    answers, and equal losses decode to the language that comes first by code point.  A text of any length is
+    read whole.  Further columns pass through; of those that have a result's name, the result's stays.
+    """
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
 
-    return docs.select(*names).mapInArrow(run, schema)
+    def added(batch, said, score, ambiguous):
+        new = [pa.array(said, pa.string()), pa.array(score), pa.array(ambiguous)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+
+    found = _judged(docs.select(*names), model, added, lambda fields: [*fields, *_NEW])
+    return found.toDF(*names, "lang_pred", "score", "ambiguous")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -229,15 +269,29 @@ def fitted(docs: DataFrame) -> Model | None:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found without ambiguity, with their own columns."""
-    model = fitted(docs)
-    # predictions are keyed by place in the row, so columns of any name pass unchanged
-    packed = docs.select(F.col("text"), F.struct(*docs.columns).alias("row"))
-    kept = predict(packed, model).where(f"lang_pred <> '{UNKNOWN}' and not ambiguous")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs`` whose language is found without ambiguity, with their own columns.
+
+    Null and empty texts, and those without a letter, go.  Repeated rows stay or go together; a null doc_id
+    makes no difference.  Columns of any further name pass unchanged.
+    """
+
+    def kept(batch, said, score, ambiguous):
+        return batch.filter(pa.array((said != UNKNOWN) & ~ambiguous))
+
+    return _judged(docs, fitted(docs), kept, lambda fields: fields).toDF(*docs.columns)
+
+
+def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous): as ``predict``, without sending the texts back."""
+
+    def answered(batch, said, score, ambiguous):
+        return pa.RecordBatch.from_arrays([batch.column("c0"), pa.array(said, pa.string()), pa.array(score), pa.array(ambiguous)], names=["doc_id", *_NEW.names])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return _judged(rows, model, answered, lambda _: [T.StructField("doc_id", T.LongType()), *_NEW])
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = predict(docs.select(F.col("doc_id").cast("long"), "text"), fitted(docs))
+    found = predictions(docs, fitted(docs))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
