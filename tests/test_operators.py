@@ -78,7 +78,7 @@ def test_eve_times(spark):
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want long")
     from pyspark.sql import functions as F
 
-    assert df.where(text.eve_millis(F.col("t")) != F.col("want")).collect() == []
+    assert text.with_eve_millis(df, "t", "got").where("got <> want").collect() == []
     z = spark.createDataFrame([("1695016221.532140", 1695016221532), ("-", 0), ("", 0), ("nan", 0), ("-5", 0), ("7.9999", 7999), (" 5 ", 5000)], "t string, want long")
     assert z.where(text.zeek_millis(F.col("t")) != F.col("want")).collect() == []
 

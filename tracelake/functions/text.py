@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,27 +22,25 @@ def rfc3339(ms: Column) -> Column:
 _EVE = r"^\s*(\d{1,4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{1,2}):(\d{1,2})[^.+\-Zz]*(?:\.(\d*)[^+\-Zz]*)?([Zz]|[+-]\d{2}:\d{2}|[+-]\d{4}|[+-]\d{2})\s*$"
 
 
-def bound(value: Column, f) -> Column:
-    """f(value), with value computed once: an array of one, transformed."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def eve_millis(text: Column) -> Column:
-    """Epoch ms of ``2017-04-07T22:24:37.251547+0100`` and its kin; 0 without a valid time and zone."""
-    parts = F.struct(*[F.regexp_extract(text, _EVE, i).alias(f"p{i}") for i in range(1, 9)])
-
-    def value(p: Column) -> Column:
-        n = lambda i: p[f"p{i}"].try_cast("int")
-        day = F.datediff(F.try_make_timestamp_ntz(n(1), n(2), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date"), F.lit("1970-01-01").cast("date")) + n(3) - 1
-        zone = F.replace(p["p8"], F.lit(":"), F.lit(""))
-        sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-        offset = F.when(F.lower(zone) == "z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0)) * 60))
-        seconds = day.cast("long") * 86400 + n(4) * 3600 + n(5) * 60 + n(6) - offset
-        millis = F.rpad(F.substring(p["p7"], 1, 3), 3, "0").try_cast("int")
-        valid = n(2).between(1, 12) & n(3).between(1, 31) & (n(4) <= 23) & (n(5) <= 59) & (n(6) <= 60) & (seconds >= 0)
-        return F.when(valid, seconds * 1000 + F.coalesce(millis, F.lit(0)))
-
-    return F.coalesce(bound(parts, value), F.lit(0)).cast("long")
+def with_eve_millis(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with epoch ms of ``2017-04-07T22:24:37.251547+0100`` and its kin; 0 without a valid time and zone.
+
+    Step by step, so that each part is computed once and the generated code stays small.
+    """
+    c, names = F.col, rows.columns
+    part = lambda i: F.get("__p", F.lit(i - 1))
+    n = lambda i: c(f"__{i}")
+    rows = rows.select("*", F.when(c(text).rlike(_EVE), F.split(F.regexp_replace(text, _EVE, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")).alias("__p"))
+    rows = rows.select(*names, *[part(i).cast("int").alias(f"__{i}") for i in range(1, 7)], F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("int").alias("__ms"), F.replace(part(8), F.lit(":"), F.lit("")).alias("__z"))
+    month = F.try_make_timestamp_ntz(n(1), n(2), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")  # null for no month
+    # +hhmm as a number; Z has none
+    zone = F.rpad(F.substring("__z", 2, 4), 4, "0").try_cast("int")
+    shift = F.when(F.startswith("__z", F.lit("-")), -1).otherwise(1) * (F.floor(zone / 100) * 3600 + zone % 100 * 60)
+    rows = rows.select(*names, "__ms", F.unix_date(month).alias("__m"), *[f"__{i}" for i in range(3, 7)], F.coalesce(shift, F.lit(0)).alias("__s"))
+    valid = n(3).between(1, 31) & (n(4) <= 23) & (n(5) <= 59) & (n(6) <= 60)
+    seconds = F.when(valid, (c("__m") + n(3) - 1).cast("long") * 86400 + n(4) * 3600 + n(5) * 60 + n(6) - c("__s"))
+    rows = rows.select(*names, "__ms", seconds.alias("__secs"))
+    return rows.select(*names, F.when(c("__secs") >= 0, c("__secs") * 1000 + F.coalesce("__ms", F.lit(0))).otherwise(F.lit(0)).cast("long").alias(out))
 
 
 def zeek_millis(text: Column) -> Column:

@@ -1,8 +1,10 @@
 """Detection: packets to alerts.
 
-One scan turns each packet into the signals of all enabled rules; one shuffle by (rule, key) and one fold
-judge them all; a second, over the few alerts, applies once-per-source limits of correlated rules and the
-cooldown.  Rules are judged in event time, and nothing is capped.
+Each packet is turned into the signals of the enabled rules, by three ways.  Rules without state fire by
+themselves, without a shuffle; rules that fire at the first packet of a key take a grouped minimum, combined
+before the shuffle; the others are dealt by (rule, key) and folded.  A further step, over the few alerts,
+applies once-per-source limits of correlated rules and the cooldown.  Rules are judged in event time, and
+nothing is capped.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.network import flag_label, question_text
 from tracelake.functions.rule_language import CustomRule, DetectConfig, compile_predicate, detail_column, display, field_column, limited_detail
-from tracelake.operators.anchored import EVERY, FIRST, FOREVER, REARM, anchored
-from tracelake.schema import ALERT_COLUMNS
+from tracelake.operators.anchored import EVERY, FIRST, FOREVER, REARM, anchored, first_per_key
+from tracelake.schema import ALERT, ALERT_COLUMNS
 
 #: Built-in rules in the order in which one packet's alerts come.
 BUILT_IN = (
@@ -22,6 +24,9 @@ BUILT_IN = (
 )
 LEGACY_TLS = ("SSL3", "TLS1.0", "TLS1.1")
 
+#: How a rule is judged.
+ALONE, ONCE, FOLDED = "alone", "once", "folded"
+
 _SIGNAL = "struct<rule_ord:int,sub_ord:int,rule:string,severity:string,src:string,key:string,val:string,fires:boolean,window:bigint,least:bigint,least_unique:bigint,mode:int,detail:string>"
 
 
@@ -44,8 +49,18 @@ def _window_text(window_ms: int | None) -> str:
     return f"{window_ms // 1000}s" if window_ms % 1000 == 0 else f"{window_ms}ms" if window_ms < 1000 else f"{window_ms / 1000:g}s"
 
 
-def signals(cfg: DetectConfig) -> Column:
-    """An array of the signals that one packet gives to the enabled rules."""
+def _way(window=FOREVER, least=0, least_unique=0, mode=FIRST, **_) -> str:
+    if mode == EVERY and least <= 1 and not least_unique:
+        return ALONE
+    return ONCE if mode == FIRST and window == FOREVER and least == 1 and not least_unique else FOLDED
+
+
+def signals(cfg: DetectConfig, *ways: str) -> Column | None:
+    """An array of the signals that one packet gives to the enabled rules (judged in one of ``ways``, if given).
+
+    None where there is no such rule.
+    """
+    ways = ways or (ALONE, ONCE, FOLDED)
     c = F.col
     src, dst, flags = c("ip.src"), c("ip.dst"), c("tcp.flags")
     window, within = FOREVER if cfg.window_ms is None else cfg.window_ms, _window_text(cfg.window_ms)
@@ -63,7 +78,8 @@ def signals(cfg: DetectConfig) -> Column:
     def add(rule: str, severity: str, when: Column, **kw) -> None:
         kw.setdefault("src", src)
         kw.setdefault("key", kw["src"])
-        one.append((rule, when, _signal(n[rule], rule, severity, **kw)))
+        if _way(**kw) in ways:
+            one.append((rule, when, _signal(n[rule], rule, severity, **kw)))
 
     add("tcp_syn_scan", "high", probe, val=port, window=window, least_unique=cfg.syn_scan_ports, detail=_text("SYN to {unique} distinct destination ports within ", within))
     add("tcp_host_sweep", "high", probe, val=dst, window=window, least_unique=cfg.host_sweep_hosts, detail=_text("SYN to {unique} distinct hosts within ", within))
@@ -82,14 +98,16 @@ def signals(cfg: DetectConfig) -> Column:
     add("dhcp_discover_flood", "medium", (c("app") == "dhcp") & (c("dhcp.message_type") == "discover"), src=client, window=window, least=cfg.dhcp_discover_count, detail=_text("{count} DHCP discovers within ", within))
     add("dns_nxdomain_burst", "medium", dns & ~c("dns.is_query") & (c("dns.rcode") == 3) & dst.isNotNull(), src=dst, window=window, least=cfg.dns_nxdomain_count, detail=_text("{count} NXDOMAIN responses within ", within))
     for i, rule in enumerate(cfg.custom_rules):
-        one.append((rule.id, compile_predicate(rule.when), _custom(len(BUILT_IN) + i, rule)))
+        way, signal = _custom(len(BUILT_IN) + i, rule)
+        if way in ways:
+            one.append((rule.id, compile_predicate(rule.when), signal))
     enabled = [F.when(when, signal) for rule, when, signal in one if rule.lower() not in cfg.disabled]
-    out = F.array_compact(F.array(*enabled)) if enabled else F.array().cast(f"array<{_SIGNAL}>")
+    out = [F.array_compact(F.array(*enabled))] if enabled else []
 
-    def questions(rule: str, make) -> Column:
+    def questions(rule: str, way: str, make) -> list[Column]:
         each = F.transform(c("dns.questions"), lambda q, i: F.when(make(q, i)[0], make(q, i)[1]))
         found = F.coalesce(F.when(query, F.array_compact(each)), F.array().cast(f"array<{_SIGNAL}>"))
-        return F.array().cast(f"array<{_SIGNAL}>") if rule in cfg.disabled else found
+        return [] if rule in cfg.disabled or way not in ways else [found]
 
     long_name = lambda q, i: (
         F.octet_length(q["name"]) >= cfg.dns_long_name,
@@ -99,40 +117,58 @@ def signals(cfg: DetectConfig) -> Column:
         F.lit(True),
         _signal(n["dns_query_volume"], "dns_query_volume", "high", src=src, key=src, sub=i, val=q["name"], fires=i == F.size("dns.questions") - 1, least_unique=cfg.dns_unique_names, detail=F.lit("{unique} unique DNS query names observed (possible enumeration/tunneling)")),
     )
-    return F.concat(out, questions("dns_long_name", long_name), questions("dns_query_volume", volume))
+    out += questions("dns_long_name", ALONE, long_name) + questions("dns_query_volume", FOLDED, volume)
+    return F.concat(*out) if out else None
 
 
 def _source() -> Column:
     return F.coalesce("ip.src", "eth.src", F.lit("unknown"))
 
 
-def _custom(order: int, rule: CustomRule) -> Column:
+def _custom(order: int, rule: CustomRule) -> tuple[str, Column]:
+    """How the rule is judged, and its signal."""
     src, detail = _source(), detail_column(rule.detail)
     if rule.correlate is None:
         key = {"none": src, "once": F.lit("*"), "per_src": src}[rule.once]
-        return _signal(order, rule.id, rule.severity, src=src, key=key, least=1, mode=EVERY if rule.once == "none" else FIRST, detail=detail)
+        limits = {"least": 1, "mode": EVERY if rule.once == "none" else FIRST}
+        return _way(**limits), _signal(order, rule.id, rule.severity, src=src, key=key, detail=detail, **limits)
     corr = rule.correlate
     a, b = F.coalesce("ip.src", F.lit("unknown")), F.coalesce("ip.dst", F.lit("unknown"))
     key = {"src": a, "dst": b, "pair": _text(a, "->", b), "all": F.lit("*")}[corr.track]
     val = display(*field_column(corr.unique_field)) if corr.unique_field else None
-    return _signal(
-        order, rule.id, rule.severity, src=src, key=key, val=val, window=corr.window_secs * 1000, least=corr.count or 1, least_unique=corr.unique_count or 0,
-        mode=REARM if rule.once == "none" else EVERY, detail=F.replace(detail, F.lit("{window_secs}"), F.lit(str(corr.window_secs))),
-    )
+    limits = {"window": corr.window_secs * 1000, "least": corr.count or 1, "least_unique": corr.unique_count or 0, "mode": REARM if rule.once == "none" else EVERY}
+    detail = F.replace(detail, F.lit("{window_secs}"), F.lit(str(corr.window_secs)))
+    return _way(**limits), _signal(order, rule.id, rule.severity, src=src, key=key, val=val, detail=detail, **limits)
 
 
 ORDER = ["ts", "file_ord", "frame_no", "rule_ord", "sub_ord"]
+_PLACE = "ts long, file_ord int, frame_no long, rule_ord int, sub_ord int"
 
 
 def detect(packets: DataFrame, cfg: DetectConfig | None = None, with_order: bool = False) -> DataFrame:
     """Alerts (ALERT) of decoded packets; ``with_order`` keeps the columns that order them."""
     cfg = cfg or DetectConfig()
-    given = packets.where("decode_ok").select(F.col("ts_ms").alias("ts"), "file_ord", "frame_no", F.explode(signals(cfg)).alias("s"))
-    rows = given.select("ts", "file_ord", "frame_no", "s.*")
-    # a rule without state fires by itself: it needs no shuffle
-    alone = (F.col("mode") == EVERY) & (F.col("least") <= 1) & (F.col("least_unique") == 0)
-    stateless = rows.where(alone).select("*", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("uniq"), F.lit(None).cast("string").alias("opening"))
-    fired = anchored(rows.where(~alone), group=["rule", "key"], order=["ts", "file_ord", "frame_no", "sub_ord"]).unionByName(stateless)
+
+    def given(way: str) -> DataFrame | None:
+        found = signals(cfg, way)
+        if found is None:
+            return None
+        rows = packets.where("decode_ok").select(F.col("ts_ms").alias("ts"), "file_ord", "frame_no", F.explode(found).alias("s"))
+        return rows.select("ts", "file_ord", "frame_no", "s.*")
+
+    first = lambda rows: rows.select("*", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("uniq"), F.col("val").alias("opening"))
+    order = ["ts", "file_ord", "frame_no", "sub_ord"]
+    judged = {
+        ALONE: first,
+        ONCE: lambda rows: first(first_per_key(rows, ["rule", "key"], order)),
+        FOLDED: lambda rows: anchored(rows, group=["rule", "key"], order=order),
+    }
+    parts = [judge(rows) for way, judge in judged.items() if (rows := given(way)) is not None]
+    if not parts:
+        return packets.sparkSession.createDataFrame([], ALERT if not with_order else f"{_PLACE}, {ALERT}")
+    fired = parts[0]
+    for part in parts[1:]:
+        fired = fired.unionByName(part)
     dynamic = F.col("detail").contains("{")
     counted = F.replace(F.replace(F.col("detail"), F.lit("{count}"), F.col("n").cast("string")), F.lit("{unique}"), F.col("uniq").cast("string"))
     counted = F.replace(counted, F.lit("{opening}"), F.coalesce("opening", F.lit("-")))
@@ -163,7 +199,8 @@ def _judged(alerts: DataFrame, key: Column, window: int) -> DataFrame:
 
 
 def _first(alerts: DataFrame, key: Column) -> DataFrame:
-    return _judged(alerts, key, FOREVER)
+    rows = alerts.withColumn("__key", key)
+    return first_per_key(rows, ["rule", "__key"], ORDER).select(*alerts.columns)
 
 
 def cooldown(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
@@ -171,6 +208,13 @@ def cooldown(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
     return _judged(alerts, F.col("src"), cooldown_ms - 1) if cooldown_ms > 0 else alerts
 
 
+def suppressed(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
+    """(rule, src, kept, suppressed): how many alerts the cooldown lets through and how many it holds back."""
+    before = alerts.groupBy("rule", "src").agg(F.count(F.lit(1)).alias("n"))
+    after = cooldown(alerts, cooldown_ms).groupBy("rule", "src").agg(F.count(F.lit(1)).alias("kept"))
+    return before.join(after, ["rule", "src"]).select("rule", "src", "kept", (F.col("n") - F.col("kept")).alias("suppressed"))
+
+
 def ordered_alerts(alerts: DataFrame) -> DataFrame:
     """Alerts without packet order (imports, files) given one: time, then text."""
     return alerts.select(F.col("ts_unix_ms").alias("ts"), F.lit(0).alias("file_ord"), F.lit(0).cast("long").alias("frame_no"), F.lit(0).alias("rule_ord"), F.lit(0).alias("sub_ord"), *ALERT_COLUMNS)

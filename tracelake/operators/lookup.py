@@ -24,37 +24,60 @@ def allowed_addresses(targets: list[str], exclude: list[str] = ()) -> Callable[[
     return lambda address: in_network(address, list(targets)) & ~in_network(address, list(exclude))
 
 
-def in_ranges(rows: DataFrame, address: str, ranges: DataFrame, how: str = "left_semi", prefix: int = 16) -> DataFrame:
-    """Semi or anti join of IPv4 addresses with a table of ranges (low, high), of any size.
+def _blocks(ranges: DataFrame) -> DataFrame:
+    """The aligned blocks (bits, block) that ranges (low, high) are made of: two of each size at most."""
+    sized = ranges.where("low <= high").select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
+    first, end = F.expr("shiftright(low + shiftleft(1L, bits) - 1, bits)"), F.expr("shiftright(high + 1, bits)")
+    sized = sized.select("bits", first.alias("first"), end.alias("end")).where("first < end")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    edges = F.array_compact(F.array(F.when(odd("first"), F.col("first")), F.when(odd("end"), F.col("end") - 1)))
+    return sized.select("bits", F.explode(edges).alias("block")).distinct()
 
-    Each range is filed under the /``prefix`` blocks that it meets and each address under its own, so the
-    join is an equality join on the block with a check of the range, not a nested loop.  A range wider than
-    a block is filed under a number of blocks, 65,536 at most.
+
+def in_number_ranges(rows: DataFrame, number: Column, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of numbers of 32 bits with a table of ranges (low, high), of any size.
+
+    Ranges are cut into aligned blocks; the distinct numbers are looked up among the blocks of each size that
+    there is, 33 at most, by equality, and the rows by number.  Nothing is compared with every range.
     """
-    shift = 32 - prefix
-    filed = ranges.select("low", "high", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright("high", shift))).alias("block"))
-    merged = filed.distinct()
-    number = v4_number(F.col(address))
-    keyed = rows.withColumn("__n", number).withColumn("__block", F.shiftright("__n", shift))
-    found = keyed.join(merged, (F.col("__block") == F.col("block")) & F.col("__n").between(F.col("low"), F.col("high")), how)
-    return found.drop("__n", "__block")
+    blocks = _blocks(ranges)
+    sizes = [r.bits for r in blocks.select("bits").distinct().collect()]  # 33 at most
+    keyed = rows.withColumn("__n", number)
+    if not sizes:
+        return (rows if how == "left_anti" else rows.where("false"))
+    numbers = keyed.select("__n").where("__n is not null").distinct()
+    filed = numbers.select("__n", F.explode(F.array(*[F.lit(b) for b in sorted(sizes)])).alias("bits"))
+    found = filed.withColumn("block", F.expr("shiftright(__n, bits)")).join(blocks, ["bits", "block"], "left_semi").select("__n").distinct()
+    return keyed.join(found, "__n", how).select(*rows.columns)
+
+
+def in_ranges(rows: DataFrame, address: str, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of IPv4 addresses with a table of ranges (low, high); other text lies in none."""
+    return in_number_ranges(rows, v4_number(F.col(address)), ranges, how)
 
 
 def cidr_ranges(spark, networks: list[str]) -> DataFrame:
+    """IPv4 networks as ranges; IPv6 networks have no numbers here (``allowed_addresses`` takes both)."""
     nets = [ipaddress.ip_network(n, strict=False) for n in networks]
-    return spark.createDataFrame([(n.with_prefixlen, int(n.network_address), int(n.broadcast_address)) for n in nets if n.version == 4], "cidr string, low long, high long")
+    if six := [str(n) for n in nets if n.version == 6]:
+        raise ValueError(f"IPv6 networks can't be number ranges: {', '.join(six)}")
+    return spark.createDataFrame([(n.with_prefixlen, int(n.network_address), int(n.broadcast_address)) for n in nets], "cidr string, low long, high long")
 
 
 def expand_hosts(targets: DataFrame, exclude: DataFrame, max_hosts: int | None = None) -> DataFrame:
     """Host addresses (host, number) of IPv4 target ranges (low, high), less the excluded ones, distinct.
 
-    Network and broadcast addresses of ranges of more than two addresses are no hosts.
+    Network and broadcast addresses of ranges of more than two addresses are no hosts.  ``max_hosts`` counts
+    what is left after the exclusions.
     """
     wide = F.col("high") - F.col("low") > 1
-    hosts = targets.select(F.explode(F.sequence(F.when(wide, F.col("low") + 1).otherwise(F.col("low")), F.when(wide, F.col("high") - 1).otherwise(F.col("high")))).alias("number"))
-    if max_hosts is not None and hosts.limit(max_hosts + 1).count() > max_hosts:
+    inner = targets.select(F.when(wide, F.col("low") + 1).otherwise(F.col("low")).alias("low"), F.when(wide, F.col("high") - 1).otherwise(F.col("high")).alias("high"))
+    step = 1 << 12  # a wide range is cut first, so that no row holds all of it
+    parts = inner.select("high", F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("low"))
+    n = F.explode(F.sequence("low", F.least(F.col("low") + (step - 1), "high"))).alias("number")
+    left = in_number_ranges(parts.select(n).distinct(), F.col("number"), exclude, "left_anti")
+    if max_hosts is not None and left.limit(max_hosts + 1).count() > max_hosts:
         raise ValueError(f"the scope has more than {max_hosts} hosts")
     n = F.col("number")
     text = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
-    out = hosts.distinct().withColumn("host", text)
-    return in_ranges(out, "host", exclude, "left_anti").select("host", "number")
+    return left.select(text.alias("host"), "number")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import json
 import time
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelake.operators.lookup import allowed_addresses, cidr_ranges, expand_hosts
 
@@ -55,8 +57,26 @@ class Scope:
         return allowed_addresses(list(self.targets), list(self.exclude))
 
     def hosts(self, spark) -> DataFrame:
-        """The scope's IPv4 hosts (host, number)."""
-        return expand_hosts(cidr_ranges(spark, list(self.targets)), cidr_ranges(spark, list(self.exclude)), self.max_hosts).orderBy("number")
+        """The scope's hosts (host, number), IPv4 first; number is null for an IPv6 host.
+
+        More than ``max_hosts`` after the exclusions, or none, is an error.
+        """
+        four, six = ([t for t in names if ipaddress.ip_network(t, strict=False).version == v] for names, v in ((self.targets, 4), (self.targets, 6)))
+        out4, out6 = ([t for t in self.exclude if ipaddress.ip_network(t, strict=False).version == v] for v in (4, 6))
+        hosts = expand_hosts(cidr_ranges(spark, four), cidr_ranges(spark, out4), self.max_hosts)
+        # IPv6 networks can't be filed as ranges of longs; the cap bounds what is listed
+        gone = [ipaddress.ip_network(n, strict=False) for n in out6]
+        listed = (a for t in six for a in ipaddress.ip_network(t, strict=False).hosts() if not any(a in g for g in gone))
+        few = sorted(set(itertools.islice(listed, self.max_hosts + 1)))
+        total = len(few) + hosts.count()
+        if total > self.max_hosts:
+            raise ValueError(f"the scope has more than {self.max_hosts} hosts")
+        if not total:
+            raise ScopeError("no hosts remain after the exclusions")
+        more = spark.createDataFrame([(i, str(a)) for i, a in enumerate(few)], "place int, host string")
+        both = hosts.select("host", "number", F.lit(-1).alias("place")).unionByName(more.select("host", F.lit(None).cast("long").alias("number"), "place"))
+        return both.orderBy("place", "number").select("host", "number")
+
 
 
 @dataclass

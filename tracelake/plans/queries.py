@@ -11,6 +11,7 @@ from tracelake.functions import network, text
 from tracelake.functions.filter_language import capture_filter
 from tracelake.functions.rule_language import DetectConfig, compile_predicate, compile_rules
 from tracelake.operators import captures, detect, diff, lookup, siem, stats, timeline
+from tracelake.plans import frames
 from tracelake.schema import ALERT_COLUMNS, PACKET_SQL, packet_view
 from tracelake.sources import eve, zeek
 
@@ -236,6 +237,9 @@ st AS (SELECT rule, src, rn, ts, ts AS last, true AS fire FROM ev WHERE rn = 1
   UNION ALL SELECT e.rule, e.src, e.rn, e.ts, CASE WHEN e.ts - s.last >= {2 * DAY} THEN e.ts ELSE s.last END, e.ts - s.last >= {2 * DAY} FROM st s JOIN ev e ON e.rule = s.rule AND e.src = s.src AND e.rn = s.rn + 1)
 SELECT DISTINCT ts AS ts_unix_ms, rule, src FROM st WHERE fire"""
 
+QUERIES["cooldown_suppressed"] = lambda spark, d: detect.suppressed(detect.ordered_alerts(_event_alerts(spark, d)), 2 * DAY)
+SQL["cooldown_suppressed"] = SQL["cooldown"].replace("SELECT DISTINCT ts AS ts_unix_ms, rule, src FROM st WHERE fire", "SELECT rule, src, count(*) FILTER (fire) AS kept, count(*) FILTER (NOT fire) AS suppressed FROM st GROUP BY 1, 2")
+
 QUERIES["detect_all"] = lambda spark, d: detect.detect(packets(spark, d), DetectConfig(syn_scan_ports=3, host_sweep_hosts=3, dns_unique_names=3, icmp_echo_count=2, tcp_rst_count=2, dhcp_discover_count=5, dns_nxdomain_count=3, window_ms=7 * DAY, cooldown_ms=DAY))
 
 # ---------------------------------------------------------------- alert sets
@@ -305,13 +309,14 @@ SQL["cidr_filter"] = _with(f"SELECT frame_no FROM pkt WHERE src IS NOT NULL AND
 
 
 def _ranges(spark, d) -> DataFrame:
-    """A range of 16 addresses for each seventh user, filed from the users table."""
-    users = _table(spark, d, "events").select("user_id").where("user_id % 7 = 0").distinct()
-    low = F.lit(10 * 256**3) + F.col("user_id") * 16
-    return users.select(low.alias("low"), (low + 15).alias("high"))
+    """A range of one, two or six addresses for each user of the events."""
+    u = F.col("user_id")
+    users = _table(spark, d, "events").select("user_id").distinct()
+    low = F.lit(10 * 256**3) + u * 3 + u % 2
+    return users.select(low.alias("low"), (low + F.when(u % 10 == 0, 5).otherwise(u % 2)).alias("high"))
 
 
-_RANGE_SQL = "(SELECT 1 FROM events e WHERE e.user_id % 7 = 0 AND {0} BETWEEN e.user_id * 16 AND e.user_id * 16 + 15)".format(_NUM)
+_RANGE_SQL = "(SELECT 1 FROM (SELECT DISTINCT user_id AS u FROM events) WHERE {0} BETWEEN u * 3 + u % 2 AND u * 3 + u % 2 + CASE WHEN u % 10 = 0 THEN 5 ELSE u % 2 END)".format(_NUM)
 QUERIES["range_semi_join"] = lambda spark, d: lookup.in_ranges(packets(spark, d).select("frame_no", F.col("ip.src").alias("src")), "src", _ranges(spark, d)).select("frame_no")
 SQL["range_semi_join"] = _with(f"SELECT frame_no FROM pkt WHERE src IS NOT NULL AND EXISTS {_RANGE_SQL}")
 QUERIES["range_anti_join"] = lambda spark, d: lookup.in_ranges(packets(spark, d).select("frame_no", F.col("ip.src").alias("src")), "src", _ranges(spark, d), "left_anti").select("frame_no")
@@ -320,13 +325,13 @@ SQL["range_anti_join"] = _with(f"SELECT frame_no FROM pkt WHERE src IS NULL OR N
 
 @_query("cidr_expand")
 def _(spark, d):
-    n = _ranges(spark, d)
-    out = n.select((F.col("low") + 3).alias("low"), (F.col("low") + 4).alias("high"))
-    return lookup.expand_hosts(n, out)
+    users = _table(spark, d, "events").select("user_id").distinct()
+    low = F.lit(10 * 256**3) + F.col("user_id") * 16
+    return lookup.expand_hosts(users.select(low.alias("low"), (low + 15).alias("high")), users.select((low + 3).alias("low"), (low + 4).alias("high")))
 
 
 SQL["cidr_expand"] = """SELECT '10.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS host, n + 167772160 AS number FROM (
-  SELECT DISTINCT u * 16 + i AS n FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 7 = 0), range(1, 15) r(i) WHERE i NOT IN (3, 4))"""
+  SELECT DISTINCT u * 16 + i AS n FROM (SELECT DISTINCT user_id AS u FROM events), range(1, 15) r(i) WHERE i NOT IN (3, 4))"""
 
 
 def _frames(spark, d) -> DataFrame:
@@ -380,6 +385,8 @@ QUERIES["eve_counters"] = lambda spark, d: eve.import_counters(eve.convert_eve(_
 SQL["eve_counters"] = f"""WITH {_EVE_SQL}, r AS (SELECT *, sum((outcome = 'kept')::INTEGER) OVER (ORDER BY event_id) AS n FROM v),
 s AS (SELECT coalesce(min(event_id) FILTER (outcome = 'kept' AND n = 101), 9223372036854775807) AS stop FROM r)
 SELECT count(*) AS lines_read, least(count(*) FILTER (outcome = 'kept'), 100) AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, count(*) FILTER (outcome = 'kept') > 100 AS truncated FROM r, s WHERE event_id <= stop"""
+QUERIES["eve_totals"] = lambda spark, d: eve.import_counters(eve.convert_eve(_eve_lines(spark, d), ["alert", "anomaly"]))
+SQL["eve_totals"] = f"WITH {_EVE_SQL} SELECT count(*) AS lines_read, count(*) FILTER (outcome = 'kept') AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, false AS truncated FROM v"
 QUERIES["eve_generic"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_lines(spark, d), ["DNS"]))
 SQL["eve_generic"] = f"WITH {_EVE_SQL} SELECT ts_unix_ms, 'suricata:event:dns' AS rule, 'info' AS severity, src, 'Suricata event_type=dns' AS detail FROM v WHERE outcome = 'skipped'"
 
@@ -420,3 +427,7 @@ SELECT ts_unix_ms, 'zeek:weird:' || name AS rule, CASE k % 3 WHEN 0 THEN 'medium
 QUERIES["escape_text"] = lambda spark, d: _table(spark, d, "pages").select("page_id", F.md5(text.escape_html(F.col("html"))).alias("html_md5"), F.md5(text.truncated(text.escape_cell(F.col("html")), 240)).alias("cell_md5"))
 SQL["escape_text"] = r"""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS html_md5,
   md5(CASE WHEN length(c) > 240 THEN substr(c, 1, 240) || '…' ELSE c END) AS cell_md5 FROM (SELECT page_id, html, replace(regexp_replace(html, '[\r\n]+', ' ', 'g'), '|', '\|') AS c FROM pages)"""
+
+# ---------------------------------------------------------------- frames
+QUERIES.update(frames.QUERIES)
+SQL.update(frames.SQL)

@@ -5,27 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import bound, eve_millis, suricata_severity, truncated
+from tracelake.functions.text import suricata_severity, truncated, with_eve_millis
 from tracelake.schema import ALERT_COLUMNS
 
 DETAIL = 400
 
 
-def _get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("v", path, kind)
+#: The keys that matter, each as the value it has: one walk over an event, and one over its alert object.
+_EVENT = ("event_type", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "timestamp", "alert", "anomaly")
+_ALERT = ("signature", "category", "action", "signature_id", "gid", "severity")
 
 
-def _is_text(path: str) -> Column:
-    return F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", _get(path))
+def _keys(value: Column, names: tuple[str, ...]) -> Column:
+    """A struct of an object's values; null for anything that is no object."""
+    return F.try_variant_get(value, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
 
 
-def _number(path: str) -> Column:
-    """A whole number, or a text that is one; null for anything else."""
-    return F.coalesce(F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "BIGINT", _get(path, "bigint")), _is_text(path).try_cast("bigint"))
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
-def _port(path: str) -> Column:
-    return F.coalesce(F.concat(F.lit(":"), _number(path).cast("string")), F.lit(""))
+def _text(value: Column) -> Column:
+    """A text; null for a value of any other kind."""
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _whole(value: Column) -> Column:
+    return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def _port(value: Column) -> Column:
+    """``:port`` of a whole number, or of a text that is one; else nothing."""
+    number = F.coalesce(_whole(value), _text(value).try_cast("bigint"))
+    return F.coalesce(F.concat(F.lit(":"), number.cast("string")), F.lit(""))
 
 
 def convert_eve(lines: DataFrame, event_types: list[str] = ("alert",)) -> DataFrame:
@@ -37,43 +49,39 @@ def convert_eve(lines: DataFrame, event_types: list[str] = ("alert",)) -> DataFr
     wanted = [t.strip().lower() for t in event_types if t.strip()]
     if not wanted:
         raise ValueError("at least one event type is needed")
-    typed = lambda name, t: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.alert.{name}", "variant")).isin(t, "VOID"), F.lit(True))
-    sound = F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.alert", "variant")), F.lit("OBJECT"))
-    for name in ("signature", "category", "action"):
-        sound = sound & typed(name, "STRING")
-    for name in ("signature_id", "gid", "severity"):
-        sound = sound & typed(name, "BIGINT")
-    fields = {
-        "kind": F.coalesce(F.lower(_is_text("$.event_type")), F.lit("")), "sound": F.coalesce(sound, F.lit(False)),
-        "src": F.coalesce(_is_text("$.src_ip"), F.lit("unknown")), "dst": F.coalesce(_is_text("$.dest_ip"), F.lit("-")), "proto": F.coalesce(_is_text("$.proto"), F.lit("-")),
-        "app": F.coalesce(_is_text("$.app_proto"), F.lit("-")), "sport": _port("$.src_port"), "dport": _port("$.dest_port"), "ts": F.coalesce(_is_text("$.timestamp"), F.lit("")),
-        "sid": F.coalesce(_get("$.alert.signature_id", "bigint"), F.lit(0)), "gid": F.coalesce(_get("$.alert.gid", "bigint"), F.lit(1)), "level": _get("$.alert.severity", "bigint"),
-        "sig": _get("$.alert.signature"), "cat": F.coalesce(_is_text("$.alert.category"), F.lit("-")), "action": F.coalesce(_is_text("$.alert.action"), F.lit("-")),
-        "odd": F.coalesce(_is_text("$.anomaly.type"), _is_text("$.anomaly.event"), F.lit("anomaly")),
-    }
-
-    def judge(e: Column) -> Column:
-        def alert(rule: Column, severity: Column, detail: Column) -> Column:
-            return F.struct(eve_millis(e["ts"]).alias("ts_unix_ms"), rule.alias("rule"), severity.alias("severity"), e["src"].alias("src"), truncated(detail, DETAIL).alias("detail"))
-
-        lit, kind, sid = F.lit, e["kind"], e["sid"].cast("string")
-        text = F.concat(
-            F.coalesce(e["sig"], F.concat(lit("suricata signature "), sid)), lit(" | cat="), e["cat"], lit(" action="), e["action"], lit(" "), e["proto"], lit(" "), e["src"], e["sport"],
-            lit(" -> "), e["dst"], e["dport"], lit(" app="), e["app"],
-        )
-        odd = F.concat(lit("Suricata anomaly type="), e["odd"], lit(" "), e["proto"], lit(" "), e["src"], lit(" -> "), e["dst"])
-        made = (
-            F.when(kind == "alert", alert(F.concat(lit("suricata:"), e["gid"].cast("string"), lit(":"), sid), suricata_severity(e["level"]), text))
-            .when(kind == "anomaly", alert(F.concat(lit("suricata:anomaly:"), e["odd"]), lit("low"), odd))
-            .otherwise(alert(F.concat(lit("suricata:event:"), kind), lit("info"), F.concat(lit("Suricata event_type="), kind)))
-        )
-        outcome = F.when(~kind.isin(wanted), "skipped").when((kind == "alert") & ~e["sound"], "error").otherwise("kept")
-        return F.struct(outcome.alias("outcome"), F.when(outcome == "kept", made).alias("alert"))
-
-    rows = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
-    event = F.struct(*[c.alias(n) for n, c in fields.items()])
-    rows = rows.withColumn("__r", F.when(F.col("v").isNotNull(), bound(event, judge)))
-    return rows.select(*lines.columns, F.coalesce("__r.outcome", F.lit("error")).alias("outcome"), F.col("__r.alert").alias("alert"))
+    lit, c = F.lit, F.col
+    # each step names what the next one reads, so that nothing is computed twice
+    rows = lines.where(F.trim("value") != "").select(F.struct(*lines.columns).alias("row"), F.try_parse_json("value").alias("v"))
+    rows = rows.select("row", c("v").isNotNull().alias("json"), _keys(c("v"), _EVENT).alias("e"))
+    rows = rows.select("row", "json", "e", F.coalesce(F.lower(_text(c("e.event_type"))), lit("")).alias("kind"))
+    rows = rows.select("row", "json", "e", "kind", F.when(c("kind") == "alert", _keys(c("e.alert"), _ALERT)).alias("a"))
+    typed = lambda name, kind: _kind(c(f"a.{name}")).isin(kind, "VOID")
+    sound = c("a").isNotNull()
+    for name, kind in (*((n, "STRING") for n in ("signature", "category", "action")), *((n, "BIGINT") for n in ("signature_id", "gid", "severity"))):
+        sound = sound & typed(name, kind)
+    outcome = F.when(~c("json"), "error").when(~c("kind").isin(wanted), "skipped").when((c("kind") == "alert") & ~sound, "error").otherwise("kept")
+    rows = rows.select("row", "e", "kind", "a", outcome.alias("outcome"))
+    dash = lambda value: F.coalesce(_text(value), lit("-"))
+    odd = _keys(c("e.anomaly"), ("type", "event"))
+    rows = rows.select(
+        "row", "outcome", "kind", "e.timestamp", "e.src_port", "e.dest_port", F.coalesce(_text(c("e.src_ip")), lit("unknown")).alias("src"), dash(c("e.dest_ip")).alias("dst"),
+        dash(c("e.proto")).alias("proto"), dash(c("e.app_proto")).alias("app"), "a", F.coalesce(_whole(c("a.signature_id")), lit(0)).cast("string").alias("sid"),
+        F.when(c("kind") == "anomaly", F.coalesce(_text(odd["type"]), _text(odd["event"]), lit("anomaly"))).alias("odd"),
+    )
+    alert = F.concat(
+        F.coalesce(_text(c("a.signature")), F.concat(lit("suricata signature "), "sid")), lit(" | cat="), dash(c("a.category")), lit(" action="), dash(c("a.action")), lit(" "), "proto", lit(" "), "src",
+        _port(c("src_port")), lit(" -> "), "dst", _port(c("dest_port")), lit(" app="), "app",
+    )
+    anomaly = F.concat(lit("Suricata anomaly type="), "odd", lit(" "), "proto", lit(" "), "src", lit(" -> "), "dst")
+    rule = F.concat(lit("suricata:"), F.coalesce(_whole(c("a.gid")), lit(1)).cast("string"), lit(":"), "sid")
+    by_kind = lambda a, b, other: F.when(c("kind") == "alert", a).when(c("kind") == "anomaly", b).otherwise(other)
+    rows = rows.select(
+        "row", "outcome", F.coalesce(_text(c("timestamp")), lit("")).alias("timestamp"), by_kind(rule, F.concat(lit("suricata:anomaly:"), "odd"), F.concat(lit("suricata:event:"), "kind")).alias("rule"),
+        by_kind(suricata_severity(_whole(c("a.severity"))), lit("low"), lit("info")).alias("severity"), "src", by_kind(alert, anomaly, F.concat(lit("Suricata event_type="), "kind")).alias("detail"),
+    )
+    rows = with_eve_millis(rows, "timestamp", "ts_unix_ms")
+    made = F.struct("ts_unix_ms", "rule", "severity", "src", truncated(c("detail"), DETAIL).alias("detail"))
+    return rows.select(*[c("row").getField(n).alias(n) for n in lines.columns], "outcome", F.when(c("outcome") == "kept", made).alias("alert"))
 
 
 def kept_alerts(converted: DataFrame, max_alerts: int | None = None, order: list[str] = ()) -> DataFrame:
