@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +19,15 @@ BROADCAST_ROWS = 400_000
 
 
 # ---------------------------------------------------------------- shared folder
-_own: list[str] = []  # this machine's folder, made once, for sessions without a shared one (tests)
+_own: list[str] = []  # this machine's folder, made once, for local sessions without a shared one (tests)
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, one of this machine."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset, and all runs on this machine, one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tracelake-"))
         base = _own[0]
@@ -36,7 +39,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.written_at = path
+    return kept
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
@@ -73,7 +86,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - lo
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:

@@ -32,32 +32,18 @@ def _suspects(docs: DataFrame, prefix_chars: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, hash_all: bool = False) -> DataFrame:
-    """``docs`` with keep_id, group_size, kept and full_hash.
-
-    Texts are equal when identical after no change; a null text counts as empty.  The row with the largest
-    doc_id stays.  A row whose doc_id is null stays only in a group without any id.  Rows that repeat both
-    doc_id and text are one document given twice: both carry the same decision and both count in
-    group_size (``kept_rows`` tells how many rows carry kept_id).  full_hash (SHA-256, lower-case hex) is
-    null for rows that the cheaper steps have settled, unless ``hash_all``.  Any further columns of
-    ``docs`` pass through; of those that have the name of a result column, the result's stays.
-    """
-    extra = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "full_hash", "kept_rows")]
-    rows = docs.select(*extra)
-    keys = small_side(_suspects(rows, prefix_chars).withColumn("suspect", F.lit(True)), "suspects")
-    # the working columns sit in one struct, so that no column of docs can clash with them
+def _decided(docs: DataFrame, prefix_chars: int, hash_all: bool) -> DataFrame:
+    """(row, keep_id, group_size, kept, full_hash, kept_rows): row holds all columns of ``docs``, so none can clash."""
+    keys = small_side(_suspects(docs, prefix_chars).withColumn("suspect", F.lit(True)), "suspects")
+    full = F.sha2(F.coalesce("row.text", F.lit("")), 256)
     marked = (
-        rows.select(
-            F.struct(*extra).alias("row"),
+        docs.select(
+            F.struct(*docs.columns).alias("row"),
             F.octet_length(text_or_empty()).alias("len"),
             F.xxhash64(F.substring(text_or_empty(), 1, prefix_chars)).alias("head"),
         )
         .join(keys, ["len", "head"], "left")
-        .select(
-            "row",
-            "suspect",
-            (F.sha2(F.coalesce("row.text", F.lit("")), 256) if hash_all else F.when(F.col("suspect"), F.sha2(F.coalesce("row.text", F.lit("")), 256))).alias("full_hash"),
-        )
+        .select("row", "suspect", (full if hash_all else F.when(F.col("suspect"), full)).alias("full_hash"))
     )
     groups = (
         marked.where("suspect")
@@ -67,10 +53,9 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, hash_all: boo
         .agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", "id").alias("kept_rows"))
         .where("group_size > 1")
     )
-    joined = marked.join(small_side(groups, "groups"), "full_hash", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("row.doc_id")).otherwise(F.col("keep_id"))
-    return joined.select(
-        *[F.col("row").getField(c).alias(c) for c in extra],
+    return marked.join(small_side(groups, "groups"), "full_hash", "left").select(
+        "row",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("row.doc_id")).alias("kept"),
@@ -79,12 +64,34 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, hash_all: boo
     )
 
 
+_RESULTS = ("keep_id", "group_size", "kept", "full_hash", "kept_rows")
+
+
+def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, hash_all: bool = False) -> DataFrame:
+    """``docs`` with keep_id, group_size, kept and full_hash.
+
+    Texts are equal when identical after no change; a null text counts as empty.  The row with the largest
+    doc_id stays.  A row whose doc_id is null stays only in a group without any id.  Rows that repeat both
+    doc_id and text are one document given twice: both carry the same decision and both count in
+    group_size (``kept_rows`` tells how many rows carry kept_id).  full_hash (SHA-256, lower-case hex) is
+    null for rows that the cheaper steps have settled, unless ``hash_all``.  Texts of any length are only
+    hashed.  Any further columns of ``docs`` pass through; of those that have the name of a result column,
+    the result's stays.
+    """
+    own = [c for c in docs.columns if c not in _RESULTS]
+    return _decided(docs, prefix_chars, hash_all).select(*[F.col("row").getField(c).alias(c) for c in own], *_RESULTS)
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with their own columns; one row where rows repeat."""
-    kept = exact_dedup(docs).where("kept")
-    once = kept.where("kept_rows = 1 and doc_id is not null").select(*docs.columns)
-    again = kept.where("kept_rows > 1 or doc_id is null").withColumn("same", F.sha2(text_or_empty(), 256))
-    return once.unionByName(again.dropDuplicates(["doc_id", "same"]).select(*docs.columns))
+    """The rows of ``docs`` that exact_dedup keeps, with their own columns, whatever their names.
+
+    Where the row that stays is given more than once, or a group has no id at all, one row stays: of rows
+    that differ in further columns, the one whose columns come first as JSON text.
+    """
+    kept = _decided(docs, PREFIX_CHARS, False).where("kept")
+    again = (F.col("group_size") > 1) & ((F.col("kept_rows") > 1) | F.col("row.doc_id").isNull())
+    repeated = kept.where(again).groupBy("full_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.where(~again).select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -318,10 +318,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their group, with their own columns."""
+    """The rows of ``docs`` that are the smallest doc_id of their group, with their own columns.
+
+    Rows without a link, without a word or without doc_id all stay; rows that repeat the smallest doc_id stay too.
+    """
     found = similar_components(docs.select("doc_id", "text"), k, num, den)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_side(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # columns of any name pass in it
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
