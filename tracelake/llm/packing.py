@@ -85,7 +85,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
         encode, high = encoder(vocabulary), TaskContext.get().partitionId() << 36
         full = 0
         doc_ids, rests, crcs, sizes = [], [], [], []
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             pieces = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, ids.dtype.type(end_id)).astype("<u4")

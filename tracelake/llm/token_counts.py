@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
         if model_file not in _counters:  # one a worker
             _counters[model_file] = WordCounts(zipf_pieces(model_file))
         counter = _counters[model_file]
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             words = [(t.as_py() or "").encode().split() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(counter.totals(words), pa.int64())],

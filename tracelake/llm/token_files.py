@@ -29,61 +29,109 @@ MAGIC = b"TLPFOR1\n"
 BLOCK = 512
 #: Share of a block's ids that the packed width must cover.
 COVERED = 0.9
-_HEAD, _TAIL = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
+_HEAD, _TAIL = np.dtype([("low", "<u4"), ("width", "u1"), ("patches", "<u2")]), struct.Struct("<QQQQ8s")
 
 
 # ---------------------------------------------------------------- blocks
-def encode_blocks(ids: np.ndarray, covered: float = COVERED) -> list[bytes]:
-    """Blocks of BLOCK ids; the last may be shorter."""
-    out: list[bytes] = []
+_BITS = np.concatenate([np.full(max(1, 1 << b >> 1), b, np.uint8) for b in range(17)])  # of each number below 65536
+
+
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    high = values >> np.uint32(16)
+    return np.where(high > 0, _BITS[high] + np.uint8(16), _BITS[values & np.uint32(0xFFFF)])
+
+
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values (a multiple of 8 each) as rows of bytes, ``width`` bits a value, low bits first."""
+    eights = values.reshape(-1, 8).astype(np.uint64)
+    words = np.zeros((len(eights), width // 8 + 2), np.uint64)
+    for j in range(8):  # eight values fill ``width`` bytes
+        k, shift = divmod(width * j, 64)
+        words[:, k] |= eights[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, k + 1] |= eights[:, j] >> np.uint64(64 - shift)
+    return words.view(np.uint8)[:, :width].reshape(len(values), -1)
+
+
+def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values from rows of bytes (a multiple of ``width`` each)."""
+    n = packed.size // width if width else 0
+    words = np.zeros((n, width // 8 + 2), np.uint64)
+    words.view(np.uint8)[:, :width] = packed.reshape(n, width)
+    out, mask = np.empty((n, 8), np.uint32), np.uint64((1 << width) - 1)
+    for j in range(8):
+        k, shift = divmod(width * j, 64)
+        value = words[:, k] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[:, k + 1] << np.uint64(64 - shift)
+        out[:, j] = value & mask
+    return out.reshape(len(packed), -1)
+
+
+def _spread(starts: np.ndarray, length: int) -> np.ndarray:
+    return starts[:, None] + np.arange(length)
+
+
+def encode_blocks(ids: np.ndarray, covered: float = COVERED) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, start of each block) of ``ids`` in blocks of BLOCK; the last may be shorter."""
+    parts, starts, at = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], 0
     whole = ids.size // BLOCK * BLOCK
     for rows in (ids[:whole].reshape(-1, BLOCK), ids[whole:].reshape(1, -1)):
         if not rows.size:
             continue
+        size = rows.shape[1]
         low = rows.min(axis=1)
         left = (rows - low[:, None]).astype(np.uint32)
-        bits = np.zeros(left.shape, np.uint8)
-        for b in range(int(left.max()).bit_length()):
-            bits[left >= 1 << b] = b + 1
-        nth = max(0, -(-int(covered * 1000) * rows.shape[1] // 1000) - 1)
-        width = np.partition(bits, nth, axis=1)[:, nth]
-        packed: list = [None] * len(rows)
-        for w in np.unique(width):
+        bits = _bit_lengths(left)
+        nth = max(0, -(-int(covered * 1000) * size // 1000) - 1)
+        width = np.partition(bits, nth, axis=1)[:, nth].astype(np.int64)
+        row, place = np.nonzero(bits > width[:, None])
+        patches = np.bincount(row, minlength=len(rows))
+        plain = (width * size + 7) // 8
+        length = _HEAD.itemsize + plain + 6 * patches
+        begin = np.cumsum(length) - length
+        out = np.zeros(int(length.sum()), np.uint8)
+        head = np.empty(len(rows), _HEAD)
+        head["low"], head["width"], head["patches"] = low, width, patches
+        out[_spread(begin, _HEAD.itemsize)] = head.view(np.uint8).reshape(len(rows), -1)
+        for w in np.unique(width[width > 0]).tolist():
             of = np.flatnonzero(width == w)
-            cut = (left[of][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            for i, row in zip(of, np.packbits(cut.astype(np.uint8).reshape(len(of), -1), axis=1, bitorder="little")):
-                packed[i] = row.tobytes()
-        patched = bits > width[:, None]
-        for i in range(len(rows)):
-            at = np.flatnonzero(patched[i])
-            out.append(_HEAD.pack(int(low[i]), int(width[i]), at.size) + packed[i] + at.astype("<u2").tobytes() + left[i, at].astype("<u4").tobytes())
-    return out
+            values = np.zeros((len(of), -(-size // 8) * 8), np.uint32)
+            values[:, :size] = left[of] & np.uint32((1 << w) - 1)
+            n = (w * size + 7) // 8
+            out[_spread(begin[of] + _HEAD.itemsize, n)] = _pack(values, w)[:, :n]
+        if row.size:
+            rank = np.arange(row.size) - (np.cumsum(patches) - patches)[row]
+            tail = (begin + _HEAD.itemsize + plain)[row]
+            out[_spread(tail + 2 * rank, 2)] = place.astype("<u2").view(np.uint8).reshape(-1, 2)
+            out[_spread(tail + 2 * patches[row] + 4 * rank, 4)] = left[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts.append(out)
+        starts.append(begin + at)
+        at += out.size
+    return np.concatenate(parts), np.concatenate(starts)
 
 
 def decode_blocks(data: bytes, starts: np.ndarray, total: int) -> np.ndarray:
     """The ids of consecutive blocks; starts are relative to data, total is the number of ids in them."""
-    out = np.empty(total, np.uint32)
-    by_width: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    patches = []
-    for k, s in enumerate(starts.tolist()):
-        low, width, n = _HEAD.unpack_from(data, s)
-        size = min(BLOCK, total - k * BLOCK)
-        by_width.setdefault((width, size), []).append((k, s + _HEAD.size, low))
-        if n:
-            patches.append((k, low, s + _HEAD.size + (width * size + 7) // 8, n))
-    for (width, size), blocks in by_width.items():
-        n = (width * size + 7) // 8
-        raw = np.frombuffer(b"".join(data[s : s + n] for _, s, _ in blocks), np.uint8).reshape(len(blocks), n)
-        bits = np.unpackbits(raw, axis=1, bitorder="little", count=width * size).reshape(len(blocks), size, width)
-        ids = np.zeros((len(blocks), size), np.uint32)
-        for b in range(width):
-            ids |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-        ids += np.array([low for _, _, low in blocks], np.uint32)[:, None]
-        for (k, _, _), row in zip(blocks, ids):
-            out[k * BLOCK : k * BLOCK + size] = row
-    for k, low, s, n in patches:
-        at = np.frombuffer(data, "<u2", n, s)
-        out[k * BLOCK + at.astype(np.int64)] = np.frombuffer(data, "<u4", n, s + 2 * n) + np.uint32(low)
+    raw, out = np.frombuffer(data, np.uint8), np.empty(total, np.uint32)
+    head = np.ascontiguousarray(raw[_spread(starts, _HEAD.itemsize)]).view(_HEAD).reshape(-1)
+    width, patches = head["width"].astype(np.int64), head["patches"].astype(np.int64)
+    size = np.minimum(BLOCK, total - np.arange(starts.size) * BLOCK)
+    body, plain = starts + _HEAD.itemsize, (width * size + 7) // 8
+    for w, n in {(w, n) for w, n in zip(width.tolist(), size.tolist())}:
+        of = np.flatnonzero((width == w) & (size == n))
+        eights, stored = -(-n // 8), (w * n + 7) // 8
+        packed = np.zeros((of.size, w * eights), np.uint8)
+        packed[:, :stored] = raw[_spread(body[of], stored)]
+        values = _unpack(packed, w)[:, :n] if w else np.zeros((of.size, n), np.uint32)
+        out[_spread(of * BLOCK, n)] = values + head["low"][of][:, None]
+    if patches.any():
+        block = np.repeat(np.arange(starts.size), patches)
+        rank = np.arange(block.size) - (np.cumsum(patches) - patches)[block]
+        tail = (body + plain)[block]
+        place = np.ascontiguousarray(raw[_spread(tail + 2 * rank, 2)]).view("<u2").reshape(-1)
+        value = np.ascontiguousarray(raw[_spread(tail + 2 * patches[block] + 4 * rank, 4)]).view("<u4").reshape(-1)
+        out[block * BLOCK + place] = value + head["low"][block]
     return out
 
 
@@ -93,7 +141,7 @@ class TokenFileWriter:
     def __init__(self, stream, covered: float = COVERED):
         self.stream, self.covered = stream, covered
         self.stream.write(MAGIC)
-        self.at, self.ids, self.starts = len(MAGIC), 0, []
+        self.at, self.ids, self.blocks, self.starts = len(MAGIC), 0, 0, [np.zeros(0, np.int64)]
         self.doc_ids, self.sizes, self.waiting, self.n_waiting = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -108,19 +156,20 @@ class TokenFileWriter:
         ids = np.concatenate([*self.waiting, np.zeros(0, np.int64)])
         cut = ids.size if last else ids.size // BLOCK * BLOCK
         for a in range(0, cut, 256 * BLOCK):
-            for block in encode_blocks(ids[a : min(cut, a + 256 * BLOCK)], self.covered):
-                self.starts.append(self.at)
-                self.stream.write(block)
-                self.at += len(block)
+            data, starts = encode_blocks(ids[a : min(cut, a + 256 * BLOCK)], self.covered)
+            self.starts.append(starts + self.at)
+            self.stream.write(data.tobytes())
+            self.at += data.size
+        self.blocks += -(-cut // BLOCK)
         self.ids += cut
         self.waiting, self.n_waiting = [ids[cut:]], ids.size - cut
 
     def close(self) -> None:
         self._flush(True)
         null = [d is None for d in self.doc_ids]
-        for part in (np.array(self.starts, "<u8"), np.array([d or 0 for d in self.doc_ids], "<i8"), np.array(null, "u1"), np.array(self.sizes, "<u8")):
+        for part in (np.concatenate(self.starts).astype("<u8"), np.array([d or 0 for d in self.doc_ids], "<i8"), np.array(null, "u1"), np.array(self.sizes, "<u8")):
             self.stream.write(part.tobytes())
-        self.stream.write(_TAIL.pack(len(self.starts), len(self.doc_ids), self.ids, self.at, MAGIC))
+        self.stream.write(_TAIL.pack(self.blocks, len(self.doc_ids), self.ids, self.at, MAGIC))
         self.stream.close()
 
 
@@ -167,7 +216,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number, writer = encoder(vocabulary), TaskContext.get().partitionId(), None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             if writer is None:
                 path, stream = new_file(folder, f"part-{number:06d}", ".tok")
                 writer = TokenFileWriter(stream, covered)

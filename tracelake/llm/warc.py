@@ -192,7 +192,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_revisit_bytes
             writer.close()
             done.append((path, len(writer.ids), writer.plain))
 
-        for batch in slices(batches, "html"):
+        for batch in slices(batches, "html", 2 << 20):
             for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
                     path, stream = new_file(folder, f"bundle-{number:06d}-{len(done):04d}", ".warc.zst")
