@@ -183,5 +183,28 @@ def test_capture_stream(spark, tmp_path):
     write_capture(table(spark, f.syn_scan(5)), str(folder), single=True)
     query = spark.readStream.format("capture").load(str(folder)).writeStream.format("memory").queryName("caps").option("checkpointLocation", str(tmp_path / "ck")).start()
     query.processAllAvailable()
+    (early,) = folder.glob("*.pcap")
+    early.with_name("a-" + early.name).write_bytes(early.read_bytes())  # a file whose name comes before what was read
+    query.processAllAvailable()
     query.stop()
-    assert spark.table("caps").count() == 5
+    assert spark.table("caps").count() == 10
+
+
+def test_no_rule(spark, sf):
+    from tracelake.streaming.detect import detect_stream
+
+    packets, none = packet_view(spark.read.parquet(f"{sf}/events.parquet")), rl.DetectConfig(disabled=frozenset(BUILT_IN))
+    assert detect(packets, none).count() == 0
+    with pytest.raises(ValueError):
+        detect_stream(packets, none)
+
+
+def test_state_expires(spark, sf, tmp_path):
+    from tracelake.streaming.detect import detect_stream
+
+    packets = packet_view(spark.read.parquet(f"{sf}/events.parquet")).where("frame_no < 100")
+    packets.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = detect_stream(spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in")), state_ttl_ms=3_600_000)
+    query = stream.writeStream.format("memory").queryName("brief").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None and sorted(map(tuple, spark.table("brief").collect())) == sorted(map(tuple, detect(packets).collect()))

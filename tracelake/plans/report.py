@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -90,13 +91,133 @@ def bar_chart(rows: list[tuple[str, int]], width: int = 480) -> str:
 def to_html(pack: Pack, template: str = "full") -> str:
     body = [f"<h1>{html.escape(pack.title)}</h1>"]
     if pack.histogram:
-        body.append(bar_chart([(str(h["ts_unix_ms"]), h["packets"]) for h in pack.histogram]))
+        body.append(packet_chart(pack.histogram))
+    if pack.by_severity:
+        body.append(bar_chart([(r["key"], r["count"]) for r in pack.by_severity]))
+    if pack.timeline:
+        body.append(event_rail(pack.timeline))
     for name, head, rows in _sections(pack, template):
         cells = lambda tag, r: "".join(f"<{tag}>{html.escape(str(x))}</{tag}>" for x in r)
         body.append(f"<h2>{html.escape(name)}</h2><table><tr>{cells('th', head)}</tr>" + "".join(f"<tr>{cells('td', r)}</tr>" for r in rows) + "</table>")
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(pack.title)}</title></head><body>{"".join(body)}</body></html>'
 
 
+def packet_chart(histogram: list[dict], width: int = 640, height: int = 120) -> str:
+    """A column for each time bucket (ts_unix_ms, packets) as SVG."""
+    most = max((h["packets"] for h in histogram), default=0) or 1
+    step = width / max(1, len(histogram))
+    columns = []
+    for i, h in enumerate(histogram):
+        tall = max(1, (height - 20) * h["packets"] / most)
+        columns.append(f'<rect x="{i * step:.1f}" y="{height - 10 - tall:.1f}" width="{max(2, step - 2):.1f}" height="{tall:.1f}"><title>{h["ts_unix_ms"]}: {h["packets"]} packets</title></rect>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}" role="img" aria-label="Packets over time">{"".join(columns)}</svg>'
+
+
+def event_rail(events: list[dict], width: int = 640) -> str:
+    """A dot for each event (ts_unix_ms, kind, title) at its place in time, as SVG."""
+    times = [e["ts_unix_ms"] for e in events]
+    span = max(1, max(times, default=0) - min(times, default=0))
+    dots = "".join(
+        f'<circle class="{html.escape(str(e["kind"]))}" cx="{10 + (width - 20) * (e["ts_unix_ms"] - min(times)) / span:.1f}" cy="20" r="4"><title>{html.escape(str(e["title"]))}</title></circle>' for e in events
+    )
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} 40" role="img" aria-label="Events"><line x1="10" y1="20" x2="{width - 10}" y2="20"/>{dots}</svg>'
+
+
+def section(title: str, value: dict | None) -> str:
+    """A Markdown section with a value as JSON, and how much is in its usual lists."""
+    if value is None:
+        return f"## {title}\n\n_Not provided._\n\n"
+    out = f"## {title}\n\n```json\n{json.dumps(value, indent=2)}\n```\n\n"
+    for key, label in (("open", "Open ports reported"), ("alerts", "Alerts raised")):
+        if isinstance(value.get(key), list):
+            out += f"- {label}: **{len(value[key])}**\n\n"
+    if isinstance(found := value.get("results"), list):
+        is_open = sum(isinstance(r, dict) and r.get("state") == "open" for r in found)
+        out += f"- Enum results: **{len(found)}** (openish **{is_open}**)\n\n"
+    return out
+
+
+def _inline(text: str) -> str:
+    bold = re.sub(r"\*\*(.*?)\*\*", r"<strong>\1</strong>", html.escape(text, quote=False).replace('"', "&quot;"))
+    parts = bold.split("`")
+    return "".join(f"<code>{p}</code>" if i % 2 else p for i, p in enumerate(parts))
+
+
+def markdown_to_html(text: str) -> str:
+    """The part of Markdown that reports use: two heads, lists, tables, code blocks, rules, bold and code."""
+    plain = lambda x: html.escape(x, quote=False).replace('"', "&quot;")
+    closing = {"list": "</ul>", "table": "</table>", "code": "</code></pre>"}
+    out: list[str] = []
+    block: str | None = None
+
+    def enter(kind: str | None, opening: str = "") -> bool:
+        """Close the open block unless it is ``kind``; whether a new one was opened."""
+        nonlocal block
+        if block == kind:
+            return False
+        if block:
+            out.append(closing[block])
+        if kind:
+            out.append(opening)
+        block = kind
+        return True
+
+    for line in text.splitlines():
+        if line.startswith("```"):
+            enter(None) if block == "code" else enter("code", "<pre><code>")
+        elif block == "code":
+            out.append(plain(line))
+        elif line.startswith("|"):
+            if "---" not in line:
+                tag = "th" if enter("table", "<table>") else "td"
+                out.append("<tr>" + "".join(f"<{tag}>{plain(c.strip())}</{tag}>" for c in line.strip().strip("|").split("|")) + "</tr>")
+        elif line.startswith("- "):
+            enter("list", "<ul>")
+            out.append(f"<li>{_inline(line[2:])}</li>")
+        else:
+            enter(None)
+            head = re.match(r"(##?) (.*)", line)
+            if head:
+                out.append(f"<h{len(head[1])}>{plain(head[2])}</h{len(head[1])}>")
+            elif line.startswith("---"):
+                out.append("<hr/>")
+            elif line.strip():
+                out.append(f'<p class="meta">{_inline(line)}</p>')
+    enter(None)
+    return "\n".join(out) + "\n"
+
+
+def board(snapshot: dict, source: str = "-", pack: str | None = None, elapsed_secs: float = 0.0, status: str = "running", top_ports: list[dict] = (), session: dict | None = None) -> str:
+    """A snapshot of ``streaming.detect.watch`` as text for a terminal."""
+    t = snapshot["traffic"]
+    rate = t.get("packets", 0) / elapsed_secs if elapsed_secs > 0 else 0.0
+    counts = lambda rows: "  ".join(f"{r['key']}={r['count']}" for r in rows)
+    lines = [
+        "Tracelake live board",
+        f"status={status:<10} source={source}  pack={pack or '-'}",
+        f"elapsed={elapsed_secs:.1f}s  pps={rate:.1f}  packets={t.get('packets', 0)}  bytes={t.get('bytes', 0)}  alerts={sum(r['count'] for r in snapshot['by_severity'])}",
+        "proto  " + " ".join(f"{p}={t.get(p, 0)}" for p in ("tcp", "udp", "icmp", *stats.APPS)),
+    ]
+    if snapshot["by_severity"]:
+        lines.append("severity: " + counts(snapshot["by_severity"]))
+    if snapshot["by_rule"]:
+        lines.append("rules: " + counts(snapshot["by_rule"][:8]))
+    if top_ports:
+        lines.append("top dst ports: " + "  ".join(f"{r['key']}:{r['count']}" for r in top_ports[:6]))
+    if session:
+        lines.append(f"session ticket={session.get('ticket_id', '-')}  notes={len(session.get('notes', []))}  operators={', '.join(session.get('operators', []))}")
+    lines.append("recent alerts:")
+    lines += [f"  [{a['severity']:<8}] {a['rule']:<22} src={a['src']} — {a['detail']}" for a in snapshot["recent"]] or ["  (none yet)"]
+    return "\n".join(lines) + "\n"
+
+
+def preview(alerts: DataFrame, n: int = 20) -> list[str]:
+    """The first ``n`` alerts in time as lines, and how many more there are."""
+    rows = alerts.orderBy("ts_unix_ms", "rule", "src", "detail").limit(n).collect()
+    more = alerts.count() - len(rows)
+    return [f"[{r.severity}] {r.rule} src={r.src} — {r.detail}" for r in rows] + ([f"... {more} more alerts"] if more > 0 else [])
+
+
 def stats_text(row: dict) -> str:
     """A traffic_stats row as text."""
     return "\n".join(f"{k:>8}: {v}" for k, v in row.items())

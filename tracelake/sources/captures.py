@@ -193,22 +193,33 @@ class _Reader(DataSourceReader):
             yield from _rows(partition.path, partition.number, self.lenient)
 
 
+def _stamped(path: str) -> list[tuple[int, str]]:
+    """(modification time in ns, path) of the capture files at a path, the oldest first."""
+    system, _ = _filesystem(path)
+    return sorted((system.get_file_info(_filesystem(f)[1]).mtime_ns or 0, f) for f in _listed(path))
+
+
 class _Stream(DataSourceStreamReader):
-    """Files that have come into a folder since the last batch, in order of name; a task reads each."""
+    """Files that have come into a folder since the last batch; a task reads each.
+
+    They are told by modification time, then name, so a file may have any name.  Move files in when complete.
+    """
 
     def __init__(self, options):
         self.path, self.lenient = options["path"], options.get("lenient", "false").lower() == "true"
 
     def initialOffset(self):
-        return {"last": "", "files": 0}
+        return {"time": -1, "last": "", "files": 0}
 
     def latestOffset(self):
-        files = _listed(self.path)
-        return {"last": files[-1] if files else "", "files": len(files)}
+        files = _stamped(self.path)
+        time, last = files[-1] if files else (-1, "")
+        return {"time": time, "last": last, "files": len(files)}
 
     def partitions(self, start, end):
-        files = [f for f in _listed(self.path) if start["last"] < f <= end["last"]]
-        return [_File(f, start["files"] + i) for i, f in enumerate(files)]
+        after, until = (start["time"], start["last"]), (end["time"], end["last"])
+        files = [f for f in _stamped(self.path) if after < f <= until]
+        return [_File(f, start["files"] + i) for i, (_, f) in enumerate(files)]
 
     def read(self, partition):
         yield from _rows(partition.path, partition.number, self.lenient)
@@ -289,7 +300,8 @@ def write_capture(frames: DataFrame, path: str, variant: str | None = None, sing
     """
     register(frames.sparkSession)
     order = ["ts_secs", "ts_usecs", "file_ord", "frame_no"]
-    dealt = frames.coalesce(1) if single else frames.repartitionByRange(*order)
+    # one file is one task's; what makes the frames still runs in many
+    dealt = frames.repartition(1) if single else frames.repartitionByRange(*order)
     variant = variant or ("pcapng" if is_pcapng(path) else "pcap")
     ordered = dealt.sortWithinPartitions(*order).select("file_ord", "frame_no", "ts_secs", "ts_usecs", "orig_len", "data")
     ordered.write.format("capture").option("variant", variant).mode("append").save(path)

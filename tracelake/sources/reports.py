@@ -70,26 +70,49 @@ def read_notes(spark, path: str, n: int | None = None) -> DataFrame:
     return notes if n is None else notes.orderBy(F.desc("ts_unix_ms")).limit(n).orderBy("ts_unix_ms")
 
 
-def detect_report(alerts: DataFrame, packets: int, pack: str | None = None, suppressed: int = 0) -> DataFrame:
-    """A report object in one row: meant for alert sets of one document's size."""
-    listed = alerts.agg(F.sort_array(F.collect_list(F.struct(*ALERT_COLUMNS))).alias("alerts"))
-    return listed.select(F.lit("detect").alias("module"), F.lit(packets).cast("long").alias("packets"), F.lit(pack).cast("string").alias("rules_pack"), "alerts", F.lit(suppressed).cast("long").alias("suppressed_by_cooldown"))
+def report_lines(header: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(value): a report as JSON lines, the one row of ``header`` first and then each of ``rows`` under ``key``.
+
+    Rows are turned into text where they are, so a report may have any number of them.
+    """
+    head = header.select(F.lit(0).alias("part"), F.to_json(F.struct(*header.columns)).alias("value"))
+    return head.unionByName(rows.select(F.lit(1).alias("part"), F.to_json(F.struct(F.struct(*rows.columns).alias(key))).alias("value"))).orderBy("part", "value").select("value")
+
+
+def read_report_lines(spark, path: str, key: str, schema: str) -> DataFrame:
+    """The rows of a report written by ``report_lines``."""
+    return spark.read.text(path).select(F.from_json("value", f"struct<{key}:struct<{_flat(schema)}>>")[key].alias("r")).where("r is not null").select("r.*")
+
+
+def detect_report(alerts: DataFrame, packets: int, pack: str | None = None, cooldown_ms: int = 0) -> DataFrame:
+    """A detection's report as lines: what was read and held back, then the alerts that the cooldown lets through.
+
+    ``alerts`` come before any cooldown, so that what it holds back can be counted.
+    """
+    from tracelake.operators import detect
+
+    placed = detect.ordered_alerts(alerts)
+    through = detect.cooldown(placed, cooldown_ms).select(*ALERT_COLUMNS)
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    sizes = count(alerts, "before").join(F.broadcast(count(through, "kept")))  # one row each
+    header = sizes.select(F.lit("detect").alias("module"), F.lit(packets).cast("long").alias("packets"), F.lit(pack).cast("string").alias("rules_pack"), "kept", (F.col("before") - F.col("kept")).alias("suppressed_by_cooldown"))
+    return report_lines(header.withColumnRenamed("kept", "alerts_raised"), through, "alert")
 
 
 def import_report(converted: DataFrame, source: str, max_alerts: int | None = None, order: list[str] = ()) -> DataFrame:
-    """Counters of an import with its alerts in one row; for alert sets of one document's size."""
+    """An import's report as lines: its counters, then its alerts."""
     from tracelake.sources.eve import import_counters, kept_alerts
 
     counters = import_counters(converted, max_alerts, order)
-    listed = kept_alerts(converted, max_alerts, order).agg(F.sort_array(F.collect_list(F.struct(*ALERT_COLUMNS))).alias("alerts"))
-    return counters.join(F.broadcast(listed)).select(F.lit("import").alias("module"), F.lit(source).alias("source"), *counters.columns, "alerts")  # one row each
+    header = counters.select(F.lit("import").alias("module"), F.lit(source).alias("source"), *counters.columns)
+    return report_lines(header, kept_alerts(converted, max_alerts, order), "alert")
 
 
 def diff_report(before: DataFrame, after: DataFrame, mode: str = "full") -> DataFrame:
-    """The difference of two alert sets as one object."""
+    """The difference of two alert sets as lines: the totals, then the keys of each side."""
     from tracelake.operators.diff import diff_alerts
 
     parts = diff_alerts(before, after, mode)
-    side = lambda name: parts[name].agg(F.sort_array(F.collect_list(F.struct("key", "count", "sample"))).alias(name))
-    out = parts["totals"].join(F.broadcast(side("only_before"))).join(F.broadcast(side("only_after")))  # one row each
-    return out.select(F.lit("diff").alias("module"), F.lit(mode).alias("key_mode"), "*")
+    sides = [parts[name].select(F.lit(name).alias("side"), "key", "count", "sample") for name in ("only_before", "only_after")]
+    header = parts["totals"].select(F.lit("diff").alias("module"), F.lit(mode).alias("key_mode"), "*")
+    return report_lines(header, sides[0].unionByName(sides[1]), "change")
