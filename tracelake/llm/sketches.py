@@ -15,10 +15,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of one chunk of a bitmap (256 KB); a bitmap has at most MAX_CHUNKS of them (64 MB).
-CHUNK_BITS, MAX_CHUNKS = 21, 256
-#: Bits that a hash sets, and bits of the bitmap for each hash below the bound.
-PROBES, BITS_PER_HASH = 5, 32
+#: Bits of one chunk of a bitmap (256 KB); a bitmap has at most MAX_CHUNKS of them (128 MB).
+CHUNK_BITS, MAX_CHUNKS = 21, 512
+#: Bits that a hash sets at most, and bits of the bitmap for each hash below the bound.
+PROBES, BITS_PER_HASH = 5, 16
 #: Counters of a count table (one byte each when broadcast), and pieces in which it is added up.
 COUNT_BITS, COUNT_PIECES = 21, 16
 
@@ -34,15 +34,15 @@ def _bit(hashes: np.ndarray, i: int) -> np.ndarray:
 
 
 class Bitmap:
-    """PROBES bits a hash within one chunk."""
+    """Some bits a hash within one chunk."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits  # uint8 [chunks, bytes]
+    def __init__(self, bits: np.ndarray, probes: int):
+        self.bits, self.probes = bits, probes  # bits: uint8 [chunks, bytes]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         flat, out = self.bits.reshape(-1), np.zeros(hashes.size, bool)
         at = np.arange(hashes.size)
-        for i in range(PROBES):  # each probe looks only at what the probes before have left
+        for i in range(self.probes):  # each probe looks only at what the probes before have left
             h = hashes[at]
             bit = _bit(h, i)
             at = at[(flat[(_chunk(h, len(self.bits)) << (CHUNK_BITS - 3)) + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0]
@@ -50,11 +50,15 @@ class Bitmap:
         return out
 
 
-def bitmap(hashes: DataFrame, column: str, rows: int):
-    """Broadcast Bitmap of a long column; sized by ``rows`` up to the fixed bound."""
+def bitmap(hashes: DataFrame, column: str, rows: int, max_chunks: int = MAX_CHUNKS):
+    """Broadcast Bitmap of a long column of hashes; sized by ``rows`` up to the fixed bound.
+
+    Each hash sets as many bits as let through the fewest others at the size it got.
+    """
     chunks = 1
-    while chunks < MAX_CHUNKS and chunks << CHUNK_BITS < BITS_PER_HASH * rows:
+    while chunks < max_chunks and chunks << CHUNK_BITS < BITS_PER_HASH * rows:
         chunks *= 2
+    probes = min(PROBES, max(1, round(0.69 * (chunks << CHUNK_BITS) / max(1, rows))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -63,7 +67,7 @@ def bitmap(hashes: DataFrame, column: str, rows: int):
             chunk = _chunk(h, chunks)
             for c in np.unique(chunk).tolist():
                 bits = parts.setdefault(c, np.zeros(1 << CHUNK_BITS, bool))
-                for i in range(PROBES):
+                for i in range(probes):
                     bits[_bit(h[chunk == c], i)] = True
         for c, bits in parts.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
@@ -71,9 +75,9 @@ def bitmap(hashes: DataFrame, column: str, rows: int):
     key = F.shiftright(F.col(column), 40).bitwiseAND(F.lit(chunks - 1)).cast("int")
     dealt = hashes.select(F.col(column).alias("h"), key.alias("chunk")).repartition("chunk").select("h")
     out = np.zeros((chunks, 1 << (CHUNK_BITS - 3)), np.uint8)
-    for row in dealt.mapInArrow(fill, "chunk int, bits binary").toLocalIterator():  # at most 256 KB a chunk
+    for row in dealt.mapInArrow(fill, "chunk int, bits binary").toLocalIterator():  # 256 KB a chunk
         out[row.chunk] |= np.frombuffer(row.bits, np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(Bitmap(out))
+    return hashes.sparkSession.sparkContext.broadcast(Bitmap(out, probes))
 
 
 def count_places(hashes: np.ndarray) -> np.ndarray:

@@ -6,14 +6,14 @@ the other meets at some offset, so the blocks that two documents share lead to e
 anchors the full windows are hashed and grouped: runs of repeated windows are the maximal exact repeats,
 and a word goes if a window over it starts in a document with a smaller id as well.
 
-The index is probed in two steps.  A bitmap of fixed size, broadcast, tells which probes can have a
-partner; only these travel to be joined with the index.  At a size where the bitmap fills up, more probes
-travel, with the same result.
+Index and probes meet in hash ranges: a task sends each range the distinct hashes that it has for it as one
+array of 32-bit numbers, so a passage that a third of all documents share is sent once a task, and no summary
+of the whole index is broadcast.  The anchors found, far fewer, go into a bitmap; where it fills up, more
+windows travel, with the same result.  Windows that occur very often are dealt to several tasks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,96 +21,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Words, materialize, mix, slices, small_side, window_hashes
+from tracelake.llm.common import BROADCAST_ROWS, Words, materialize, mix, release, slices, small_side, window_hashes
 from tracelake.llm.sketches import bitmap
 
 WINDOW = 50
+#: Hash ranges in which index and probes meet (a power of two): by rows of the corpus, between these bounds.
+ROWS_PER_RANGE, RANGE_BITS = 256, (6, 16)
+#: Hashes that a task gathers before it sends them.
+GATHERED = 1 << 20
+#: Occurrences of a window for each task that it is dealt to.
+OFTEN = 10_000
+INDEX, PROBE, SHARED = range(3)
 
 
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): the starts of windows whose words also start in a document with a smaller doc_id.
+def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Range and 32 bits of each hash as one number."""
+    return hashes >> np.uint64(32 - bits)
+
+
+def _ranges(places: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Sorted places as a row for each range that they have."""
+    part = (places >> np.uint64(32)).astype(np.int32)
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if part.size else np.zeros(0, np.int64)
+    low = places.astype("<u4")
+    blobs = [low[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), part.size])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(np.full(cut.size, kind), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "places"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the places of the index that a probe or another block has too; rows come by range, its index first."""
+    part, waiting, index, shared = None, [], np.zeros(0, np.uint32), []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if part is not None and shared:
+            found = np.unique(np.concatenate(shared)).astype(np.uint64) + np.uint64(part << 32)
+            yield pa.RecordBatch.from_arrays([_long(mix(found))], names=["h"])
+
+    for batch in batches:
+        for p, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("places")):
+            if p != part:
+                yield from done()
+                part, waiting, index, shared = p, [], np.zeros(0, np.uint32), []
+            places = np.frombuffer(blob.as_buffer(), "<u4")
+            if kind == INDEX:
+                waiting.append(places.copy())
+                continue
+            if waiting:
+                index, times = np.unique(np.concatenate(waiting), return_counts=True)
+                shared.append(index[times > 1])
+                waiting = []
+            if kind == SHARED:
+                shared.append(places.copy())
+            elif index.size:
+                at = np.minimum(np.searchsorted(index, places), index.size - 1)
+                shared.append(places[index[at] == places])
+        if len(shared) > 64:
+            shared = [np.unique(np.concatenate(shared))]
+    if waiting:
+        index, times = np.unique(np.concatenate(waiting), return_counts=True)
+        shared.append(index[times > 1])
+    yield from done()
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): the tag tells rows apart that repeat a doc_id with another text; it is 0 for all others."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    return rows.join(small_side(repeated, "repeated"), "doc_id", "left").select("doc_id", F.when(F.col("again"), F.hash("text")).otherwise(0).alias("tag"), "text")
+
 
-    Windows lie within one document.  Texts that are null, empty or shorter than a window have none; rows
-    with a null doc_id take no part.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, range_bits: tuple[int, int] = RANGE_BITS, often: int = OFTEN) -> DataFrame:
+    """(doc_id, tag, at): the starts of windows whose words also start in a document with a smaller doc_id.
+
+    ``docs`` are (doc_id, tag, text).  Windows lie within one row.  Texts that are null, empty or shorter than
+    a window have none; rows with a null doc_id take no part.
     """
-    block = window // 2
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    block, gathered = window // 2, GATHERED
+    rows = docs.where("doc_id is not null and text is not null")
+    least, most = range_bits
+    bits = min(most, max(least, (docs.count() // ROWS_PER_RANGE).bit_length()))
 
     def parts(batches):
         for batch in slices(batches):
             words = Words(batch.column("text"))
             if words.counts.size and words.counts.max() >= window:
-                yield words, words.hashes(), batch.column("doc_id").to_numpy(zero_copy_only=False)
+                yield batch, words, words.hashes()
 
     def rolling(words, hashes):
         at, row = words.windows(block)
         long_enough = words.counts[row] >= window
         at, row = at[long_enough], row[long_enough]
-        return at, row, window_hashes(hashes, at, block), (at - words.begin[row]) % block == 0
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, hashes, ids in parts(batches):
-            _, row, h, aligned = rolling(words, hashes)
-            yield pa.RecordBatch.from_arrays([_long(h[aligned]), pa.array(ids[row[aligned]], pa.int64())], names=["h", "doc_id"])
-
-    blocks = materialize(rows.mapInArrow(index, "h long, doc_id long"), "blocks")
-    indexed = bitmap(blocks, "h", blocks.count())
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, hashes, ids in parts(batches):
-            _, row, h, aligned = rolling(words, hashes)
-            hit = ~aligned & indexed.value.has(h)  # a document's own blocks are in the index already
-            yield pa.RecordBatch.from_arrays([_long(h[hit]), pa.array(ids[row[hit]], pa.int64())], names=["h", "doc_id"])
-
-    probes = rows.mapInArrow(probe, "h long, doc_id long").select("h", "doc_id", F.lit(0).alias("own"))
-    met = blocks.select("h", "doc_id", F.lit(1).alias("own")).unionByName(probes).groupBy("h")
-    shared = met.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("own").alias("own"))
-    shared = materialize(shared.where("own = 1 and low < high").select("h"), "anchors")
+        return at, window_hashes(hashes, at, block), (at - words.begin[row]) % block == 0
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if size:
+                index, times = np.unique(np.concatenate(own), return_counts=True)
+                probes = np.unique(np.concatenate(other))
+                both = np.concatenate((index[times > 1], np.intersect1d(index, probes, assume_unique=True)))
+                yield _ranges(index, INDEX)
+                yield _ranges(np.setdiff1d(probes, index, assume_unique=True), PROBE)  # those of the index are known already
+                yield _ranges(np.unique(both), SHARED)
+
+        for _, words, hashes in parts(batches):
+            _, h, aligned = rolling(words, hashes)
+            places = _place(h, bits)
+            own.append(places[aligned])
+            other.append(places[~aligned])
+            size += places.size
+            if size >= gathered:
+                yield from flush()
+                own, other, size = [], [], 0
+        yield from flush()
+
+    sent = rows.select("text").mapInArrow(send, "part int, kind int, places binary")
+    shared = materialize(sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_meet, "h long"), "anchors")
     anchors = bitmap(shared, "h", shared.count())
+    release(shared)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, hashes, ids in parts(batches):
-            at, _, h, _ = rolling(words, hashes)
+        for batch, words, hashes in parts(batches):
+            at, h, _ = rolling(words, hashes)
             anchored = np.zeros(words.starts.size + window + 1, np.int64)
-            anchored[at[anchors.value.has(h)] + 1] = 1
+            anchored[at[anchors.value.has(mix(_place(h, bits)))] + 1] = 1
             np.cumsum(anchored, out=anchored)
             start, row = words.windows(window)
             near = anchored[start + window - block + 1] > anchored[start]
             start, row = start[near], row[near]
             second = window_hashes(mix(hashes + np.uint64(0x5851F42D4C957F2D)), start, window)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             yield pa.RecordBatch.from_arrays(
                 [
                     _long(window_hashes(hashes, start, window)),
                     pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()),
                     pa.array(ids[row], pa.int64()),
+                    pa.array(tags[row], pa.int32()),
                     pa.array((start - words.begin[row]).astype(np.int32), pa.int32()),
                 ],
-                names=["k1", "k2", "doc_id", "at"],
+                names=["k1", "k2", "doc_id", "tag", "at"],
             )
 
-    windows = rows.mapInArrow(extend, "k1 long, k2 int, doc_id long, at int")
-    firsts = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return windows.join(firsts.select("k1", "k2", "low"), ["k1", "k2"]).where("doc_id > low").select("doc_id", "at")
+    windows = rows.mapInArrow(extend, "k1 long, k2 int, doc_id long, tag int, at int")
+    found = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    firsts = materialize(found.select("k1", "k2", "low", (F.col("n") / often).cast("int").alias("more")), "firsts")
+    # the most frequent windows are dealt to several tasks; of these keys at most BROADCAST_ROWS are told to all
+    hot = F.broadcast(firsts.where("more > 0").orderBy(F.desc("more"), "k1", "k2").limit(BROADCAST_ROWS).select("k1", "k2", F.col("more").alias("deal")))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "at"), F.col("deal") + 1), F.lit(0)).cast("int")
+    dealt = windows.join(hot, ["k1", "k2"], "left").select("k1", "k2", salt.alias("salt"), "doc_id", "tag", "at")
+    spread = firsts.join(hot, ["k1", "k2"], "left").select("k1", "k2", "low", F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(0)))).alias("salt"))
+    return dealt.join(spread, ["k1", "k2", "salt"]).where("doc_id > low").select("doc_id", "tag", "at")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, range_bits: tuple[int, int] = RANGE_BITS, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is what stays of each row's text, words joined by one blank.
 
-    A null text has no words and an empty kept text.  Rows that repeat a doc_id share the removed places,
-    so they should repeat its text too.  Only doc_id and text are read.
+    A null or empty text has no words and an empty kept text; a row without doc_id keeps all its words.  Rows
+    that repeat a doc_id are judged each by its own text, and never against each other.  A long text is hashed
+    whole: memory for it is some fifteen times its size.  Only doc_id and text are read.
     """
-    starts = repeated_windows(docs, window)
-    sets = starts.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    rows = _tagged(docs)
+    starts = repeated_windows(rows, window, range_bits, often)
+    sets = starts.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("at")).alias("at"))
     # runs of repeated windows, by their first and last starts: the maximal repeats
     begins = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
     ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    spans = sets.select("doc_id", begins.alias("begins"), ends.alias("ends"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = rows.join(small_side(spans, "spans", weight=1 + F.size("begins")), "doc_id", "left")
+    spans = sets.select("doc_id", "tag", begins.alias("begins"), ends.alias("ends"))
+    joined = rows.join(small_side(spans, "spans", weight=1 + F.size("begins")), ["doc_id", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
