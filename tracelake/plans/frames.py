@@ -131,14 +131,14 @@ def _decoded(spark, d: str) -> DataFrame:
     return decode(event_frames(spark.read.parquet(f"{d}/events.parquet")))
 
 
-def _folder(spark) -> str:
+def new_folder(spark, name: str) -> str:
     """A new folder that all machines see; a temporary one where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    return f"{base.rstrip('/')}/captures-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _rewritten(frames: DataFrame, variant: str, **kw) -> DataFrame:
-    path = _folder(frames.sparkSession)
+    path = new_folder(frames.sparkSession, "captures")
     write_capture(frames, path, variant, **kw)
     return read_capture(frames.sparkSession, path)
 

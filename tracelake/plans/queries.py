@@ -373,21 +373,28 @@ def _eve_lines(spark, d) -> DataFrame:
     return e.select("event_id", F.when(k == 13, F.substring(line, 1, 20)).otherwise(line).alias("value"))
 
 
+def _eve_log(spark, d) -> DataFrame:
+    """The same lines from text files, as an import finds them."""
+    folder = frames.new_folder(spark, "eve")
+    _eve_lines(spark, d).select("value").repartition(16).write.text(folder)
+    return eve.read_eve(spark, folder)
+
+
 _EVE_SQL = """q AS (SELECT event_id, user_id, event_type AS et, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, epoch_us(ts) // 1000 AS ms FROM events),
 v AS (SELECT event_id, CASE WHEN k = 13 THEN 'error' WHEN et = 'view' THEN 'skipped' WHEN et <> 'error' AND k % 11 = 0 THEN 'error' ELSE 'kept' END AS outcome,
   ms + CASE k % 3 WHEN 0 THEN -3600000 WHEN 1 THEN 0 ELSE 12600000 END AS ts_unix_ms, CASE WHEN et = 'error' THEN 'suricata:anomaly:stream' ELSE 'suricata:1:' || user_id END AS rule,
   CASE WHEN et = 'error' THEN 'low' ELSE CASE k % 5 WHEN 1 THEN 'high' WHEN 3 THEN 'low' ELSE 'medium' END END AS severity, '10.1.0.' || k AS src,
   CASE WHEN et = 'error' THEN 'Suricata anomaly type=stream TCP 10.1.0.' || k || ' -> ' || CASE WHEN k % 4 > 0 THEN '8.8.8.8' ELSE '-' END
     ELSE CASE WHEN k % 2 = 0 THEN 'ET sig ' || k ELSE 'suricata signature ' || user_id END || ' | cat=- action=allowed TCP 10.1.0.' || k || ':' || k || ' -> ' || CASE WHEN k % 4 > 0 THEN '8.8.8.8' ELSE '-' END || ' app=-' END AS detail FROM q)"""
-QUERIES["eve_convert"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_lines(spark, d), ["alert", "anomaly"]))
+QUERIES["eve_convert"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_log(spark, d), ["alert", "anomaly"]))
 SQL["eve_convert"] = f"WITH {_EVE_SQL} SELECT ts_unix_ms, rule, severity, src, detail FROM v WHERE outcome = 'kept'"
 QUERIES["eve_counters"] = lambda spark, d: eve.import_counters(eve.convert_eve(_eve_lines(spark, d), ["alert", "anomaly"]), 100, ["event_id"])
 SQL["eve_counters"] = f"""WITH {_EVE_SQL}, r AS (SELECT *, sum((outcome = 'kept')::INTEGER) OVER (ORDER BY event_id) AS n FROM v),
 s AS (SELECT coalesce(min(event_id) FILTER (outcome = 'kept' AND n = 101), 9223372036854775807) AS stop FROM r)
 SELECT count(*) AS lines_read, least(count(*) FILTER (outcome = 'kept'), 100) AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, count(*) FILTER (outcome = 'kept') > 100 AS truncated FROM r, s WHERE event_id <= stop"""
-QUERIES["eve_totals"] = lambda spark, d: eve.import_counters(eve.convert_eve(_eve_lines(spark, d), ["alert", "anomaly"]))
+QUERIES["eve_totals"] = lambda spark, d: eve.import_counters(eve.convert_eve(_eve_log(spark, d), ["alert", "anomaly"]))
 SQL["eve_totals"] = f"WITH {_EVE_SQL} SELECT count(*) AS lines_read, count(*) FILTER (outcome = 'kept') AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, false AS truncated FROM v"
-QUERIES["eve_generic"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_lines(spark, d), ["DNS"]))
+QUERIES["eve_generic"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_log(spark, d), ["DNS"]))
 SQL["eve_generic"] = f"WITH {_EVE_SQL} SELECT ts_unix_ms, 'suricata:event:dns' AS rule, 'info' AS severity, src, 'Suricata event_type=dns' AS detail FROM v WHERE outcome = 'skipped'"
 
 _NOTE_FIELDS = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "proto", "note", "msg", "n"]
