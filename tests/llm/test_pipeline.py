@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, and the registered queries."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,13 @@ def test_stages(spark, sf):
     assert fill is None or fill.max() <= 4096
 
 
+def test_run_leaves_one_table(spark, sf):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*/*"))
+    rows = pipeline.run(spark, sf)
+    assert rows.count() > 0 and [p.name for p in set(shared.glob("*/*")) - before] == ["mix_sources"]
+
+
 def test_registry():
     from tracelake.llm import registry
 

@@ -212,7 +212,7 @@ def test_jaccard(docs, texts, empty, k, num, den):
 @pytest.mark.parametrize("seed,num,den", [(1, 4, 5), (2, 3, 5)])
 def test_derived_answers_lose_no_link(spark, seed, num, den, monkeypatch):
     """Groups of near copies whose sets, and not their pivots, are linked with sets of other groups; all in small parts."""
-    for name, value in (("CLOSE", 0.3), ("MEMBERS_PART", 2), ("LIST_PART", 3), ("LONG_LEVEL", 0)):
+    for name, value in (("CLOSE", 0.3), ("SHINGLES_PART", 60), ("LIST_PART", 3), ("LONG_LEVEL", 0)):
         monkeypatch.setattr(jaccard_join, name, value)
     derived, kept = [], jaccard_join._derived
     monkeypatch.setattr(jaccard_join, "_derived", lambda *a: derived.append(kept(*a)) or derived[-1])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ def workspace(spark: SparkSession) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tracelake-"))
         base = _own[0]
-    return f"{base.rstrip('/')}/tracelake-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tracelake-{uuid.uuid4().hex}"
+    for made in getattr(_made, "lists", []):
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -44,12 +49,42 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return kept
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def release(*written: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
     for df in written:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
+        _delete(df.sparkSession, df.written_at.rpartition("/")[0])
+
+
+_made = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all folders that were made in it by this thread, but those of frames given to its value.
+
+    All that reads the others has to run inside.
+    """
+    lists = _made.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_at.rpartition("/")[0])
+        return df
+
+    lists.append(made)
+    try:
+        yield keep
+    finally:
+        lists.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:

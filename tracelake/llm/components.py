@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize
+from tracelake.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, is linked to the minimum
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "round")
+        last, edges = edges, materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "round")
+        release(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
