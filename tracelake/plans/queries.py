@@ -87,6 +87,12 @@ SQL["packet_summary_text"] = _with("""SELECT frame_no, CASE WHEN flags = '' THEN
   strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((ts_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS rfc3339, CASE WHEN is_arp THEN 'ARP' ELSE 'IPv4' END AS ethertype
   FROM (SELECT *, concat_ws(',', CASE WHEN syn THEN 'SYN' END, CASE WHEN fin THEN 'FIN' END, CASE WHEN rst THEN 'RST' END, CASE WHEN psh THEN 'PSH' END, CASE WHEN psh THEN 'URG' END) AS flags FROM pkt WHERE tkind = 'tcp')""")
 QUERIES["packet_lines"] = lambda spark, d: packets(spark, d).select("frame_no", network.packet_line().alias("line"))
+_SERVICES = ", ".join(f"({p}, '{n}')" for p, n in network.SERVICES.items())
+SQL["packet_lines"] = _with(f"""SELECT frame_no, CASE WHEN is_arp THEN 'ARP reply 10.9.0.' || k || ' > 10.9.0.1' ELSE 'IP ' || src || coalesce('.' || coalesce(a.s, sport::VARCHAR), '') || ' > ' || dst || coalesce('.' || coalesce(b.s, dport::VARCHAR), '') || ': '
+  || CASE tkind WHEN 'tcp' THEN 'TCP Flags [' || CASE WHEN syn THEN 'SYN' WHEN rst THEN 'RST' WHEN psh THEN 'FIN,PSH,URG' WHEN fin THEN 'FIN' ELSE '.' END || '], seq ' || frame_no || ', length ' || k WHEN 'udp' THEN 'UDP, length ' || k
+    ELSE 'ICMP echo ' || CASE k % 2 WHEN 0 THEN 'request' ELSE 'reply' END END
+  || coalesce(' | ' || CASE app WHEN 'dns' THEN 'DNS ' || CASE k % 3 WHEN 0 THEN 'query ' ELSE 'response ' END || qname || ' A' WHEN 'http' THEN 'HTTP GET /' WHEN 'tls' THEN 'TLS ' || tls_version || ' client_hello admin.host' || k || '.example'
+    WHEN 'dhcp' THEN 'DHCP discover' END, '') END AS line FROM pkt LEFT JOIN (VALUES {_SERVICES}) a(p, s) ON a.p = sport LEFT JOIN (VALUES {_SERVICES}) b(p, s) ON b.p = dport""")
 
 # ---------------------------------------------------------------- capture filters
 _FILTERS = {
@@ -241,6 +247,13 @@ QUERIES["cooldown_suppressed"] = lambda spark, d: detect.suppressed(detect.order
 SQL["cooldown_suppressed"] = SQL["cooldown"].replace("SELECT DISTINCT ts AS ts_unix_ms, rule, src FROM st WHERE fire", "SELECT rule, src, count(*) FILTER (fire) AS kept, count(*) FILTER (NOT fire) AS suppressed FROM st GROUP BY 1, 2")
 
 QUERIES["detect_all"] = lambda spark, d: detect.detect(packets(spark, d), DetectConfig(syn_scan_ports=3, host_sweep_hosts=3, dns_unique_names=3, icmp_echo_count=2, tcp_rst_count=2, dhcp_discover_count=5, dns_nxdomain_count=3, window_ms=7 * DAY, cooldown_ms=DAY))
+_ALL = [SQL[n] for n in ("rare_port", "stealth_scan", "dns_long_name", "dns_volume", "syn_scan", "host_sweep", "icmp_flood", "rst_burst", "nxdomain_burst", "arp_conflict", "http_auth", "tls_legacy")]
+_ALL.append(_fold_sql("app = 'dhcp'", "dhcp_discover_flood", "medium", "{n} || ' DHCP discovers within 604800s'", key="mac", src="mac", window=7 * DAY, least=5))
+SQL["detect_all"] = f"""WITH RECURSIVE al AS ({" UNION ALL ".join(f"SELECT ts_unix_ms, rule, severity, src, detail FROM ({x})" for x in _ALL)}),
+ev AS (SELECT *, row_number() OVER (PARTITION BY rule, src ORDER BY ts_unix_ms, detail) AS rn FROM al),
+st AS (SELECT *, ts_unix_ms AS last, true AS fire FROM ev WHERE rn = 1
+  UNION ALL SELECT e.*, CASE WHEN e.ts_unix_ms - s.last >= {DAY} THEN e.ts_unix_ms ELSE s.last END, e.ts_unix_ms - s.last >= {DAY} FROM st s JOIN ev e ON e.rule = s.rule AND e.src = s.src AND e.rn = s.rn + 1)
+SELECT ts_unix_ms, rule, severity, src, detail FROM st WHERE fire"""
 
 # ---------------------------------------------------------------- alert sets
 _HALF = "ts_unix_ms < 1705276800000"  # 2024-01-15
