@@ -296,6 +296,13 @@ SQL["timeline"] = f"""WITH {_EVENT_SQL}, t AS (SELECT ts_unix_ms, 'alert' AS kin
   UNION ALL VALUES (1799999999999, 'note', 'Operator note', 'checked'), (1799999999998, 'system', 'IDS-lite detection complete', '7 packets processed'), (1800000000000, 'system', 'Evidence pack assembled', 'Markdown/HTML/JSON report generated'))
   SELECT * FROM t ORDER BY ts_unix_ms, kind, title, detail LIMIT 200"""
 QUERIES["timeline_full"] = lambda spark, d: timeline.build_timeline(spark, 1_800_000_000_000, alerts=_event_alerts(spark, d), capture=timeline.capture_events(stats.capture_summary(packets(spark, d)), stats.peak_bucket(stats.time_histogram(packets(spark, d))), "a.pcap", 1_800_000_000_000), limit=None)
+SQL["timeline_full"] = _with("""SELECT ts_unix_ms, 'alert' AS kind, severity || ': ' || rule AS title, 'src=' || src || ' ' || detail AS detail FROM al
+  UNION ALL VALUES (1800000000000, 'system', 'Evidence pack assembled', 'Markdown/HTML/JSON report generated')
+  UNION ALL SELECT min(ts_ms), 'capture', 'PCAP window start', 'a.pcap (first packet)' FROM pkt
+  UNION ALL SELECT max(ts_ms), 'capture', 'PCAP window end', 'a.pcap (' || count(*) || ' packets total)' FROM pkt
+  UNION ALL SELECT ts_unix_ms, 'capture', 'PCAP traffic peak', packets || ' packets in bucket (tcp=' || tcp || ' udp=' || udp || ' app=' || app || ')' FROM (SELECT * FROM h ORDER BY packets DESC, bucket DESC LIMIT 1)""").replace(
+    "FROM b)\nSELECT", f"FROM b){_HISTOGRAM}, {_EVENT_SQL}\nSELECT"
+)
 
 # ---------------------------------------------------------------- SIEM lines
 _META = siem.SiemMeta(module="detect", ticket_id="T 1", operator="a|b", hostname="h1")
