@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Words, materialize, mix, slices, small_side
+from tracelake.llm.common import Words, materialize, mix, slices, small_side, text_bytes
 from tracelake.llm.components import components
 from tracelake.llm.sketches import count_places, count_table
 
@@ -38,15 +38,14 @@ _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98
 
 
 # ---------------------------------------------------------------- sets
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def lower_ascii(column: pa.Array) -> pa.Array:
-    """A-Z lower-cased, all else unchanged."""
-    column = column.fill_null("").cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    if data is None or not len(column):
-        return column
-    body = np.frombuffer(data, np.uint8).copy()
-    body[(body >= 65) & (body <= 90)] += 32
-    return pa.LargeStringArray.from_buffers(len(column), offsets, pa.py_buffer(body), offset=column.offset)
+    """A-Z lower-cased, all else unchanged; nulls are empty."""
+    data, offsets = text_bytes(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_LOWER[data]))
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,10 +55,10 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     """
     words = Words(lower_ascii(column))
     base = words.hashes()
-    at, row = words.windows(k)
-    h = np.zeros(at.size, np.uint64)
+    at, _ = words.windows(k)
+    part = np.zeros(at.size, np.uint64)
     for j in range(k):
-        h = mix(h * _ODD + base[at + j])
+        part = mix(part * _ODD + base[at + j])
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     whole = np.empty(short.size, np.uint64)
     for n, r in enumerate(short.tolist()):
@@ -67,15 +66,26 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
         for i in range(int(words.begin[r]), int(words.begin[r + 1])):
             value = mix(value * _ODD + base[i : i + 1])
         whole[n] = value[0]
-    h, row = np.concatenate((h, whole)), np.concatenate((row, short))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    n = np.maximum(words.counts - k + 1, words.counts > 0).astype(np.int64)
+    row = np.repeat(np.arange(n.size), n)
+    of_short = (words.counts < k)[row]
+    h = np.empty(row.size, np.uint64)
+    h[~of_short], h[of_short] = part, whole
+    for a, b in _bounds(n):
+        h[a:b].sort()
     new = np.ones(h.size, bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[new], row[new]
     return h, row, np.bincount(row, minlength=len(column)).astype(np.int64)
 
 
+def _bounds(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where the rows of two or more lie."""
+    ends = np.cumsum(sizes)
+    more = np.flatnonzero(sizes > 1)
+    return zip((ends - sizes)[more].tolist(), ends[more].tolist())
+
+
 def _least_overlap(a, b, num: int, den: int):
     """The intersection from which den * intersection >= num * union."""
     return -(-num * (a + b) // (num + den))
@@ -112,7 +122,9 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     mins[i, full] = mix(one * _ODD + two)
             level = counts.value[count_places(h)]
             central = np.bincount(row, level, minlength=sizes.size) / np.maximum(sizes, 1)
-            order = np.lexsort((h, level, row))
+            order = np.arange(h.size)  # of all shingles: by level, then hash, within each row
+            for a, b in _bounds(sizes):
+                order[a:b] = a + np.argsort(level[a:b], kind="stable")
             ordered, cut = h[order], prefix_length(sizes, num, den)
             prefix = [ordered[a : a + c].tobytes() for a, c in zip(begin.tolist(), cut.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +186,8 @@ def _answered_by_pivots(rows: DataFrame, classes: DataFrame, k: int, num: int, d
     for n in range(PIVOT_ROUNDS):
         labelled = _labelled(keys, labels)
         best = F.max_by(F.struct("doc_id", "label"), F.struct("central", -F.col("doc_id"))).alias("p")
-        pivots = labelled.groupBy("j", "m").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+        grouped = labelled.groupBy("j", "m").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("j", "m", "p")
+        pivots = small_side(grouped, "pivots")  # written first, so that the sets of a large group need not meet for the join
         met = labelled.join(pivots, ["j", "m"])
         near = met.where("label <> p.label").select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b")).distinct()
         checked = _checked(rows, near, k, num, den)
