@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize, small_side, text_or_empty, word_count
+from tracelake.llm.common import WORD_PATTERN, materialize, small_side, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -135,7 +135,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     rows = rows.select("row", _name(F.col("row.source")).alias("name"), word_count(F.col("row.text")).alias("size"), sample_key(doc_id, text, seed).alias("key"))
     base = rows.select("name", F.col("row.source").alias("source"), doc_id.alias("doc_id"), "size", "key")
     plan = small_side(_plan(materialize(base, "keys"), weights, max_repeats, bins), "plan")
-    copies = _copies(F.col("key"), doc_id, F.col("size"))
+    # this second pass only asks whether there is a word
+    has_word = F.coalesce(F.col("row.text").rlike(WORD_PATTERN), F.lit(False)).cast("long")
+    copies = _copies(F.col("key"), doc_id, has_word)
     taken = rows.join(plan, "name").select("row", copies.cast("int").alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
