@@ -43,6 +43,21 @@ def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(32 - bits)
 
 
+def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, which of them came more than once)."""
+    values = np.concatenate(arrays)
+    values.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, values.size), bool), values[1:] != values[:-1])))
+    return values[first], np.diff(first, append=values.size) > 1
+
+
+def _among(places: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Which of ``places`` are in ``index`` (sorted)."""
+    if not index.size:
+        return np.zeros(places.size, bool)
+    return index[np.minimum(np.searchsorted(index, places), index.size - 1)] == places
+
+
 def _ranges(places: np.ndarray, kind: int) -> pa.RecordBatch:
     """Sorted places as a row for each range that they have."""
     part = (places >> np.uint64(32)).astype(np.int32)
@@ -58,7 +73,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         if part is not None and shared:
-            found = np.unique(np.concatenate(shared)).astype(np.uint64) + np.uint64(part << 32)
+            found = _distinct(shared)[0].astype(np.uint64) + np.uint64(part << 32)
             yield pa.RecordBatch.from_arrays([_long(mix(found))], names=["h"])
 
     for batch in batches:
@@ -71,19 +86,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting.append(places.copy())
                 continue
             if waiting:
-                index, times = np.unique(np.concatenate(waiting), return_counts=True)
-                shared.append(index[times > 1])
+                index, again = _distinct(waiting)
+                shared.append(index[again])
                 waiting = []
             if kind == SHARED:
                 shared.append(places.copy())
-            elif index.size:
-                at = np.minimum(np.searchsorted(index, places), index.size - 1)
-                shared.append(places[index[at] == places])
+            else:
+                shared.append(places[_among(places, index)])
         if len(shared) > 64:
-            shared = [np.unique(np.concatenate(shared))]
+            shared = [_distinct(shared)[0]]
     if waiting:
-        index, times = np.unique(np.concatenate(waiting), return_counts=True)
-        shared.append(index[times > 1])
+        index, again = _distinct(waiting)
+        shared.append(index[again])
     yield from done()
 
 
@@ -122,12 +136,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, range_bits: tuple[in
 
         def flush() -> Iterator[pa.RecordBatch]:
             if size:
-                index, times = np.unique(np.concatenate(own), return_counts=True)
-                probes = np.unique(np.concatenate(other))
-                both = np.concatenate((index[times > 1], np.intersect1d(index, probes, assume_unique=True)))
+                index, again = _distinct(own)
+                probes, _ = _distinct(other)
+                met = _among(probes, index)
                 yield _ranges(index, INDEX)
-                yield _ranges(np.setdiff1d(probes, index, assume_unique=True), PROBE)  # those of the index are known already
-                yield _ranges(np.unique(both), SHARED)
+                yield _ranges(probes[~met], PROBE)  # those of the index are known already
+                yield _ranges(_distinct([index[again], probes[met]])[0], SHARED)
 
         for _, words, hashes in parts(batches):
             _, h, aligned = rolling(words, hashes)
