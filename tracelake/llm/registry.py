@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality, substring_dedup, token_counts, token_files, warc
+from tracelake.llm import exact_dedup, jaccard_join, language_id, merkle, mixing, packing, quality, substring_dedup, token_counts, token_files, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+    return {
+        "op1_jaccard_join": jaccard_join.OP1_SQL,
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op11_merkle": merkle.OP11_SQL,
+    }
