@@ -172,12 +172,17 @@ def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 class Words:
-    """The words of a batch of texts as arrays: byte spans, row of each word, words of each row."""
+    """The words of a batch of texts as arrays: byte spans, row of each word, words of each row.
 
-    def __init__(self, column: pa.Array):
+    ``separator`` says which bytes stand between words, ``fold`` what each byte is read as.
+    """
+
+    def __init__(self, column: pa.Array, separator: np.ndarray = _SEPARATOR, fold: np.ndarray | None = None):
         self.data, self.offsets = text_bytes(column)
+        if fold is not None:
+            self.data = fold[self.data]
         data, n = self.data, self.data.size
-        inside = ~_SEPARATOR[data]
+        inside = ~separator[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]

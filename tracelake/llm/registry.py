@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, jaccard_join, language_id, merkle, mixing, packing, quality, substring_dedup, token_counts, token_files, warc
+from tracelake.llm import exact_dedup, jaccard_join, language_id, licenses, merkle, mixing, packing, quality, substring_dedup, token_counts, token_files, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
         "op11_merkle": merkle.op11_merkle,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_licenses": licenses.op13_licenses,
     }
 
 
