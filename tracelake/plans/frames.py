@@ -6,16 +6,15 @@ find in them is held against SQL over the fields that they were made from.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.filter_language import capture_filter
 from tracelake.functions.network import flag_label, question_text
+from tracelake.operators.captures import slice_capture
 from tracelake.sources.captures import read_capture, write_capture
 from tracelake.sources.decode import decode
+from tracelake.sources.folders import shared_folder
 
 
 def _number(value: Column | int, size: int) -> Column:
@@ -131,14 +130,8 @@ def _decoded(spark, d: str) -> DataFrame:
     return decode(event_frames(spark.read.parquet(f"{d}/events.parquet")))
 
 
-def new_folder(spark, name: str) -> str:
-    """A new folder that all machines see; a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _rewritten(frames: DataFrame, variant: str, **kw) -> DataFrame:
-    path = new_folder(frames.sparkSession, "captures")
+    path = shared_folder(frames.sparkSession, "captures")
     write_capture(frames, path, variant, **kw)
     return read_capture(frames.sparkSession, path)
 
@@ -230,11 +223,25 @@ def filtered(spark, d: str) -> DataFrame:
 FILTERED_SQL = f"""WITH {FRAME_SQL} SELECT us AS ts_us, {_SIX.format("2001:db8::", "u", "u", "'10.0.' || (u // 256) || '.' || (u % 256)")} AS src, tk AS tkind, ({_LENGTH})::INTEGER AS frame_len
   FROM f WHERE NOT bad AND NOT is_arp AND (six AND et = 'click' OR six AND tk = 'icmp' OR app = 'dns' AND NOT six)"""
 
+def in_splits(spark, d: str) -> DataFrame:
+    """One capture file read in splits, its frames numbered as they stand in it; a window of time and a length are pushed down."""
+    path = shared_folder(spark, "captures")
+    write_capture(event_frames(spark.read.parquet(f"{d}/events.parquet")), path, "pcapng", single=True)
+    frames = read_capture(spark, path, split_bytes=64 << 10, lengths=True)
+    return slice_capture(frames, *_HALF).where("frame_len >= 80").select("frame_no", F.expr("ts_secs * 1000000 + ts_usecs").alias("ts_us"), "orig_len", "frame_len")
+
+
+#: The middle of the month that the events lie in, in seconds.
+_HALF = (1_704_585_600, 1_706_054_400)
+SPLITS_SQL = f"""WITH {FRAME_SQL}, n AS (SELECT *, {_LENGTH} AS length, row_number() OVER (ORDER BY us, frame_no) AS place FROM f)
+SELECT place AS frame_no, us AS ts_us, (length + k)::BIGINT AS orig_len, (CASE WHEN bad THEN 30 ELSE length END)::INTEGER AS frame_len
+FROM n WHERE us >= {_HALF[0] * 1_000_000} AND us < {_HALF[1] * 1_000_000} AND CASE WHEN bad THEN 30 ELSE length END >= 80"""
+
 QUERIES = {
     "decode_headers": headers, "decode_dns": dns, "decode_dhcp": dhcp, "decode_http": http, "decode_ssh": ssh, "decode_tls": tls, "decode_arp": arp,
-    "capture_pcap": _written("pcap"), "capture_pcapng": _written("pcapng"), "capture_single": _written("pcap", single=True), "capture_filtered": filtered,
+    "capture_pcap": _written("pcap"), "capture_pcapng": _written("pcapng"), "capture_single": _written("pcap", single=True), "capture_filtered": filtered, "capture_splits": in_splits,
 }
 SQL = {
     "decode_headers": HEADERS_SQL, "decode_dns": DNS_SQL, "decode_dhcp": DHCP_SQL, "decode_http": HTTP_SQL, "decode_ssh": SSH_SQL, "decode_tls": TLS_SQL, "decode_arp": ARP_SQL,
-    "capture_pcap": WRITTEN_SQL, "capture_pcapng": WRITTEN_SQL, "capture_single": WRITTEN_SQL, "capture_filtered": FILTERED_SQL,
+    "capture_pcap": WRITTEN_SQL, "capture_pcapng": WRITTEN_SQL, "capture_single": WRITTEN_SQL, "capture_filtered": FILTERED_SQL, "capture_splits": SPLITS_SQL,
 }

@@ -14,6 +14,7 @@ from tracelake.operators import captures, detect, diff, lookup, siem, stats, tim
 from tracelake.plans import frames
 from tracelake.schema import ALERT_COLUMNS, PACKET_SQL, packet_view
 from tracelake.sources import eve, zeek
+from tracelake.sources.folders import shared_folder
 
 DAY = 86_400_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,7 +396,7 @@ def _eve_lines(spark, d) -> DataFrame:
 
 def _eve_log(spark, d) -> DataFrame:
     """The same lines from text files, as an import finds them."""
-    folder = frames.new_folder(spark, "eve")
+    folder = shared_folder(spark, "eve")
     _eve_lines(spark, d).select("value").repartition(16).write.text(folder)
     return eve.read_eve(spark, folder)
 

@@ -125,4 +125,5 @@ pkt AS (
 def raw_packets(frames: DataFrame) -> DataFrame:
     """Time columns of frames (FRAME) as packets have them."""
     ms = F.col("ts_secs") * 1000 + F.expr("ts_usecs div 1000")
-    return frames.select("*", ms.alias("ts_ms"), (F.col("ts_secs") * 1000000 + F.col("ts_usecs")).alias("ts_us"), F.length("data").alias("frame_len"))
+    length = F.col("frame_len") if "frame_len" in frames.columns else F.length("data").alias("frame_len")
+    return frames.select(*[c for c in frames.columns if c != "frame_len"], ms.alias("ts_ms"), (F.col("ts_secs") * 1000000 + F.col("ts_usecs")).alias("ts_us"), length)

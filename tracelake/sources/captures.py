@@ -1,119 +1,41 @@
 """PCAP and PCAPNG captures as a Spark data source: batch read, stream read and write.
 
-``spark.read.format("capture").load(folder or file)`` yields FRAME rows; a file is one partition, since its
-records can't be found from the middle.  ``option("lenient", "true")`` ends a damaged file at its last sound
-record instead of failing.  Paths may be any URI that pyarrow's file systems know.
+``spark.read.format("capture").load(folder or file)`` yields FRAME rows, a task a file.  ``read_capture`` cuts large
+files into splits by an index (sources/splits.py), so that one file is read in many tasks, with the same rows and
+numbers.  Filters on times, lengths and numbers are pushed into the source: records are judged by their headers
+before their bytes are taken, and splits whose times lie outside a filter are not opened.  ``option("lenient",
+"true")`` ends a damaged file at its last sound record instead of failing.  Paths may be any URI that pyarrow's file
+systems know.
 """
 
 from __future__ import annotations
 
+import operator
 import struct
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from tracelake.schema import FRAME
+from tracelake.sources.folders import shared_folder
+from tracelake.sources.splits import BATCH_BYTES, BATCH_ROWS, EPB, IDB, MICROS, ORDER_MAGIC, SHB, SPLIT_BYTES, CLASSIC_MAGIC, CaptureError, Layout, Records, Walk, filesystem, index_captures, layout
 
-SHB, IDB, SPB, EPB = 0x0A0D0D0A, 1, 3, 6
-ORDER_MAGIC, CLASSIC_MAGIC, ETHERNET = 0x1A2B3C4D, 0xA1B2C3D4, 1
-MAX_BLOCK, MAX_PACKET = 64 << 20, 16 << 20
-
-
-class CaptureError(ValueError):
-    """A capture breaks its format."""
-
-
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+ETHERNET = 1
 
 
 # ---------------------------------------------------------------- reading
-def _exactly(stream, n: int, what: str) -> bytes:
-    data = stream.read(n)
-    if len(data) != n:
-        raise CaptureError(f"{what} cut short")
-    return data
-
-
 def read_frames(stream) -> Iterator[tuple[int, int, int, bytes]]:
-    """(seconds, microseconds, original length, bytes) of each packet; the format is told by the magic."""
-    magic = stream.read(4)
-    if len(magic) < 4:
-        raise CaptureError("no capture")
-    if struct.unpack("<I", magic)[0] == SHB:
-        yield from _blocks(stream)
-        return
-    for order in "<>":
-        if struct.unpack(order + "I", magic)[0] == CLASSIC_MAGIC:
-            yield from _records(stream, order)
-            return
-    raise CaptureError(f"unknown magic {magic.hex()}")
-
-
-def _records(stream, order: str) -> Iterator[tuple[int, int, int, bytes]]:
-    _exactly(stream, 20, "file header")
-    head = struct.Struct(order + "IIII")
-    while len(raw := stream.read(16)) == 16:
-        secs, usecs, size, original = head.unpack(raw)
-        if size > MAX_PACKET:
-            raise CaptureError(f"implausible packet length {size}")
-        yield secs, usecs, original, _exactly(stream, size, "packet")
-
-
-def _resolution(options: bytes, order: str) -> int:
-    """Ticks a second of an interface: option 9, a power of ten or of two; a million without it."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 0:
-            break
-        if code == 9 and size >= 1:
-            v = options[at + 4]
-            return 1 << (v & 0x7F) if v & 0x80 else 10**v
-        at += 4 + (size + 3) // 4 * 4
-    return 1_000_000
-
-
-def _blocks(stream) -> Iterator[tuple[int, int, int, bytes]]:
-    size, magic = _exactly(stream, 4, "section"), _exactly(stream, 4, "section")
-    order = next((o for o in "<>" if struct.unpack(o + "I", magic)[0] == ORDER_MAGIC), None)
-    if order is None:
-        raise CaptureError("unknown byte order")
-    (size,) = struct.unpack(order + "I", size)
-    if not 28 <= size <= MAX_BLOCK:
-        raise CaptureError(f"implausible section length {size}")
-    _exactly(stream, size - 12, "section")
-    ticks: list[int] = []
-    while head := stream.read(8):
-        if len(head) < 8:
-            raise CaptureError("block cut short")
-        kind, size = struct.unpack(order + "II", head)
-        if size < 12 or size > MAX_BLOCK or size % 4:
-            raise CaptureError(f"implausible block length {size}")
-        body = _exactly(stream, size - 12, "block")
-        if struct.unpack(order + "I", _exactly(stream, 4, "block"))[0] != size:
-            raise CaptureError("block lengths differ")
-        if kind == IDB and len(body) >= 8:
-            ticks.append(_resolution(body[8:], order))
-        elif kind == EPB:
-            if len(body) < 20:
-                raise CaptureError("packet block cut short")
-            interface, high, low, captured, original = struct.unpack_from(order + "IIIII", body)
-            if captured > MAX_PACKET or captured > len(body) - 20:
-                raise CaptureError(f"implausible packet length {captured}")
-            per_second = ticks[interface] if interface < len(ticks) else 1_000_000
-            secs, rest = divmod(high << 32 | low, per_second)
-            yield secs, rest * 1_000_000 // per_second, original, body[20 : 20 + captured]
-        elif kind == SPB:
-            if len(body) < 4:
-                raise CaptureError("simple packet block cut short")
-            (original,) = struct.unpack_from(order + "I", body)
-            yield 0, 0, original, body[4 : 4 + min(original, len(body) - 4)]
+    """(seconds, microseconds, original length, bytes) of each packet of an open file; the format is told by the magic."""
+    of = layout(stream)
+    for run in Walk(stream, of, of.first, 1 << 62):
+        for secs, usecs, original, begin, stop in zip(run.secs, run.usecs, run.original, run.begin, run.stop):
+            yield secs, usecs, original, run.buffer[begin:stop]
 
 
 # ---------------------------------------------------------------- writing
@@ -146,57 +68,160 @@ def is_pcapng(path: str) -> bool:
 
 
 # ---------------------------------------------------------------- data source
-def _listed(path: str) -> list[str]:
-    """The capture files at a path, in order of name."""
+def listed(path: str) -> list[tuple[str, int]]:
+    """The capture files at a path with their sizes, in order of name."""
     from pyarrow import fs
 
-    system, at = _filesystem(path)
+    system, at = filesystem(path)
     info = system.get_file_info(at)
     if info.type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(at))
-        names = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
         prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
-        return [prefix + n for n in names]
+        return [(prefix + n, size) for n, size in files]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return [path]
+    return [(path, info.size)]
 
 
-def _rows(path: str, number: int, lenient: bool) -> Iterator[tuple]:
-    system, at = _filesystem(path)
-    with system.open_input_stream(at, compression=None) as stream:
+@dataclass
+class _Split(InputPartition):
+    """Records that begin in [start, end) of a file; ``before`` of them precede.  Without a start, the whole file."""
+
+    path: str
+    number: int
+    start: int | None = None
+    end: int = 1 << 62
+    before: int = 0
+    ticks: list[int] = field(default_factory=list)
+
+
+_COMPARED: dict[type, Callable] = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+#: Columns that are judged from a record's header, and how.
+_JUDGED: dict[str, Callable] = {
+    "file_ord": lambda run, i, split, n: split.number, "frame_no": lambda run, i, split, n: n, "ts_secs": lambda run, i, split, n: run.secs[i], "ts_usecs": lambda run, i, split, n: run.usecs[i],
+    "orig_len": lambda run, i, split, n: run.original[i], "frame_len": lambda run, i, split, n: run.stop[i] - run.begin[i],
+}
+
+
+@dataclass
+class Pushed:
+    """Comparisons of header columns with constants, all of which have to hold."""
+
+    tests: list[tuple[str, Callable, object]] = field(default_factory=list)
+
+    def take(self, f: Filter) -> bool:
+        """Whether the source answers for the filter; no column of a record is null."""
+        name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+        if name not in _JUDGED:
+            return isinstance(f, IsNotNull) and name == "data"
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, In) and None not in f.value:
+            self.tests.append((name, lambda x, values: x in values, frozenset(f.value)))
+        elif type(f) in _COMPARED and f.value is not None:
+            self.tests.append((name, _COMPARED[type(f)], f.value))
+        else:
+            return False
+        return True
+
+    def may_hold(self, name: str, low: int, high: int) -> bool:
+        """Whether some value in [low, high] of a column passes."""
+        for column, test, value in self.tests:
+            if column != name:
+                continue
+            if test is operator.eq:
+                passes = low <= value <= high
+            elif test in (operator.gt, operator.ge):
+                passes = test(high, value)
+            elif test in (operator.lt, operator.le):
+                passes = test(low, value)
+            else:
+                passes = any(low <= v <= high for v in value)
+            if not passes:
+                return False
+        return True
+
+    def chosen(self, run: Records, split: _Split, before: int) -> list[int]:
+        """Places in a run of the records that pass."""
+        n = len(run.secs)
+        if not self.tests:
+            return list(range(n))
+        return [i for i in range(n) if all(test(_JUDGED[c](run, i, split, before + i + 1), v) for c, test, v in self.tests)]
+
+
+def _batches(split: _Split, pushed: Pushed, lenient: bool, lengths: bool) -> Iterator[pa.RecordBatch]:
+    """The frames of a split, a batch a few megabytes."""
+    names = [c.split()[0] for c in FRAME.split(", ")] + ["frame_len"] * lengths
+
+    def batch(run: Records, places: list[int], before: int) -> pa.RecordBatch:
+        arrays = [
+            pa.array([split.number] * len(places), pa.int32()), pa.array([before + i + 1 for i in places], pa.int64()), pa.array([run.secs[i] for i in places], pa.int64()),
+            pa.array([run.usecs[i] for i in places], pa.int32()), pa.array([run.original[i] for i in places], pa.int64()), pa.array([run.buffer[run.begin[i] : run.stop[i]] for i in places], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays + [pa.array([run.stop[i] - run.begin[i] for i in places], pa.int32())] * lengths, names=names)
+
+    system, at = filesystem(split.path)
+    with system.open_input_file(at) as source:
+        before = split.before
         try:
-            for n, (secs, usecs, original, data) in enumerate(read_frames(stream), 1):
-                yield number, n, secs, usecs, original, bytearray(data)
+            of = layout(source)
+            for run in Walk(source, of, of.first if split.start is None else split.start, split.end, list(split.ticks)):
+                places, held, size = pushed.chosen(run, split, before), [], 0
+                for i in places:
+                    held.append(i)
+                    size += run.stop[i] - run.begin[i]
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch(run, held, before)
+                        held, size = [], 0
+                if held:
+                    yield batch(run, held, before)
+                before += len(run.secs)
         except CaptureError:
             if not lenient:
                 raise
 
 
-@dataclass
-class _File(InputPartition):
-    path: str
-    number: int
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("paths", "").split("\n") if p] or [options["path"]]
-        self.lenient = options.get("lenient", "false").lower() == "true"
+        self.paths = [p for p in options.get("paths", "").split("\n") if p] or ([options["path"]] if "path" in options else [])
+        self.lenient, self.lengths = (options.get(k, "false").lower() == "true" for k in ("lenient", "lengths"))
+        self.index, self.pushed = options.get("index"), Pushed()
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.pushed.take(f):
+                yield f
 
     def partitions(self):
-        files = [f for p in self.paths for f in _listed(p)]
-        return [_File(f, i) for i, f in enumerate(files)] or [_File("", -1)]
+        """Splits of the index, or files, that may hold what the filters ask for."""
+        if self.index:
+            splits = [_Split(r["path"], r["file_ord"], r["start"], r["end"], r["before"], r["ticks"]) for r in self._indexed() if self._wanted(r)]
+        else:
+            files = [f for p in self.paths for f, _ in listed(p)]
+            splits = [_Split(f, i) for i, f in enumerate(files) if self.pushed.may_hold("file_ord", i, i)]
+        return splits or [_Split("", -1)]
+
+    def _indexed(self) -> Iterator[dict]:
+        from pyarrow import dataset, fs
+
+        system, at = filesystem(self.index)
+        files = [f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
+        rows = dataset.dataset(files, filesystem=system, format="parquet").to_table().sort_by([("file_ord", "ascending"), ("start", "ascending")]) if files else None
+        for batch in rows.to_batches() if files else ():
+            yield from batch.to_pylist()
+
+    def _wanted(self, r: dict) -> bool:
+        if r["damaged"]:
+            return True  # read to its damage, so that it is not passed over
+        if not r["records"]:
+            return False
+        spans = {"file_ord": (r["file_ord"], r["file_ord"]), "frame_no": (r["before"] + 1, r["before"] + r["records"]), "ts_secs": (r["first_us"] // MICROS, r["last_us"] // MICROS)}
+        return all(self.pushed.may_hold(c, low, high) for c, (low, high) in spans.items())
 
     def read(self, partition):
         if partition.number >= 0:
-            yield from _rows(partition.path, partition.number, self.lenient)
-
-
-def _stamped(path: str) -> list[tuple[int, str]]:
-    """(modification time in ns, path) of the capture files at a path, the oldest first."""
-    system, _ = _filesystem(path)
-    return sorted((system.get_file_info(_filesystem(f)[1]).mtime_ns or 0, f) for f in _listed(path))
+            yield from _batches(partition, self.pushed, self.lenient, self.lengths)
 
 
 class _Stream(DataSourceStreamReader):
@@ -207,22 +232,35 @@ class _Stream(DataSourceStreamReader):
 
     def __init__(self, options):
         self.path, self.lenient = options["path"], options.get("lenient", "false").lower() == "true"
+        self.lengths = options.get("lengths", "false").lower() == "true"
+        self.listing: list[tuple[int, str]] = []  # of the last offset
 
     def initialOffset(self):
         return {"time": -1, "last": "", "files": 0}
 
+    def _stamped(self) -> list[tuple[int, str]]:
+        """(modification time in ns, path) of the capture files, the oldest first: one listing."""
+        from pyarrow import fs
+
+        system, at = filesystem(self.path)
+        prefix = self.path[: len(self.path) - len(at)] if self.path.endswith(at) else ""
+        found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        return sorted((f.mtime_ns or 0, prefix + f.path) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+
     def latestOffset(self):
-        files = _stamped(self.path)
-        time, last = files[-1] if files else (-1, "")
-        return {"time": time, "last": last, "files": len(files)}
+        self.listing = self._stamped()
+        time, last = self.listing[-1] if self.listing else (-1, "")
+        return {"time": time, "last": last, "files": len(self.listing)}
 
     def partitions(self, start, end):
         after, until = (start["time"], start["last"]), (end["time"], end["last"])
-        files = [f for f in _stamped(self.path) if after < f <= until]
-        return [_File(f, start["files"] + i) for i, (_, f) in enumerate(files)]
+        if not self.listing or self.listing[-1] < until:  # a restarted query plans the batch that it had begun
+            self.listing = self._stamped()
+        files = [f for f in self.listing if after < f <= until]
+        return [_Split(f, start["files"] + i) for i, (_, f) in enumerate(files)]
 
     def read(self, partition):
-        yield from _rows(partition.path, partition.number, self.lenient)
+        yield from _batches(partition, Pushed(), self.lenient, self.lengths)
 
 
 @dataclass
@@ -241,7 +279,7 @@ class _Writer(DataSourceWriter):
     def write(self, rows):
         from pyspark import TaskContext
 
-        system, at = _filesystem(self.path)
+        system, at = filesystem(self.path)
         system.create_dir(at, recursive=True)
         number, ending = TaskContext.get().partitionId(), ".pcapng" if self.ng else ".pcap"
         temporary, n = f"{at}/.part-{number:05d}-{uuid.uuid4().hex}", 0
@@ -253,13 +291,13 @@ class _Writer(DataSourceWriter):
         return _Written(temporary, f"{at}/part-{number:05d}{ending}", n)
 
     def commit(self, messages):
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         for m in messages:
             if m is not None:
                 system.move(m.temporary, m.final)
 
     def abort(self, messages):
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         for m in messages:
             if m is not None:
                 system.delete_file(m.temporary)
@@ -271,7 +309,7 @@ class CaptureSource(DataSource):
         return "capture"
 
     def schema(self):
-        return FRAME
+        return FRAME + (", frame_len int" if self.options.get("lengths", "false").lower() == "true" else "")
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -284,13 +322,29 @@ class CaptureSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known; filters are pushed into it only where the session allows it, so it is allowed."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CaptureSource)
 
 
-def read_capture(spark: SparkSession, *paths: str, lenient: bool = False) -> DataFrame:
-    """Frames (FRAME) of files or folders, numbered in the order given."""
+def capture_index(spark: SparkSession, *paths: str, folder: str | None = None, split_bytes: int = SPLIT_BYTES) -> str:
+    """Writes the index of all files at ``paths``, numbered in the order given, for ``read_capture``."""
+    files = [f for p in paths for f in listed(p)]
+    return index_captures(spark, [(f, i, size) for i, (f, size) in enumerate(files)], folder or shared_folder(spark, "captures"), split_bytes)
+
+
+def read_capture(spark: SparkSession, *paths: str, lenient: bool = False, index: str | None = None, split_bytes: int = SPLIT_BYTES, lengths: bool = False) -> DataFrame:
+    """Frames (FRAME) of files or folders, numbered in the order given.
+
+    ``index`` is one that ``capture_index`` wrote, over the same files: they are read by their splits, and splits
+    outside a filter's times are not opened.  Without it, one is made where a file is larger than ``split_bytes``;
+    smaller files are read whole.  ``lengths`` adds frame_len, the bytes captured, to filter by.
+    """
     register(spark)
-    return spark.read.format("capture").option("paths", "\n".join(paths)).option("lenient", str(lenient).lower()).load()
+    if index is None and any(size > split_bytes for p in paths for _, size in listed(p)):
+        index = capture_index(spark, *paths, split_bytes=split_bytes)
+    reader = spark.read.format("capture").option("lenient", str(lenient).lower()).option("lengths", str(lengths).lower())
+    return reader.option("index", index).load() if index else reader.option("paths", "\n".join(paths)).load()
 
 
 def write_capture(frames: DataFrame, path: str, variant: str | None = None, single: bool = False) -> None:
