@@ -98,6 +98,18 @@ def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, we
     return F.broadcast(kept) if size <= rows else kept
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of wide values go to Python in batches of ``rows`` at most, in jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

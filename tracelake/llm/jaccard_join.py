@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Words, materialize, mix, slices, small_side, text_bytes
+from tracelake.llm.common import Words, arrow_rows, materialize, mix, slices, small_side, text_bytes
 from tracelake.llm.components import components
 from tracelake.llm.sketches import count_places, count_table
 
 #: Entries of an inverted list in one block.
 LIST_BLOCK = 64
+#: Pairs of one set in a part, and sets that go to Python at once, in the exact check.
+HUB_PAIRS, CHECK_ROWS = 2000, 500
 #: Rounds in which pivots answer for sets like them.
 PIVOT_ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -136,8 +138,24 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- exact check
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` as (a, b, part, parts): b is the end in more of them, and its pairs are dealt to parts of HUB_PAIRS or so."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ends = small_side(ends, "ends")
+    known = pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    turned = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    hub, most = F.when(turned, F.col("a")).otherwise(F.col("b")), F.greatest("na", "nb")
+    parts = F.ceil(most / HUB_PAIRS).cast("int")
+    other = F.when(turned, F.col("b")).otherwise(F.col("a"))
+    return known.select(other.alias("a"), hub.alias("b"), F.pmod(F.xxhash64(other), parts).cast("int").alias("part"), parts.alias("parts"))
+
+
 def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are within the threshold."""
+    """Those of ``pairs`` (a, b) whose sets are within the threshold.
+
+    The sets of all ``a`` of one ``b`` follow the set of ``b``, which is sent once to each part of its pairs, so
+    that many sets near one are held against it in many tasks, one at a time.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,28 +165,38 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
                 [batch.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(begin, begin[1:])], pa.binary())], names=["doc_id", "shingles"]
             )
 
+    def within(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")  # merges two sorted runs
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return den * common >= num * (both.size - common)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, of_hub = None, []
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")  # merges two sorted runs
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(den * common >= num * (both.size - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    pairs = materialize(pairs, "pairs")
-    needed = small_side(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
+            found = []
+            for b, part, a, raw in zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), batch.column("a").to_pylist(), batch.column("shingles")):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if key != (b, part):
+                    key, of_hub = (b, part), []
+                if a is None:
+                    if not any(np.array_equal(x, y) for y in of_hub):  # a doc_id may have several texts
+                        of_hub.append(x.copy())
+                elif any(within(x, y) for y in of_hub):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = materialize(_dealt(pairs), "pairs")
+    needed = small_side(dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct(), "needed")
     full = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
-    full = materialize(full, "sets")
-    joined = (
-        pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-    )
-    return materialize(joined.mapInArrow(check, "a long, b long").distinct(), "checked")
+    with arrow_rows(docs.sparkSession, CHECK_ROWS):
+        full = materialize(full, "sets")
+        hubs = dealt.groupBy("b").agg(F.max("parts").alias("parts")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        first = hubs.join(full.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
+        members = dealt.join(full.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
+        rows = first.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+        return materialize(rows.mapInArrow(check, "a long, b long").distinct(), "checked")
 
 
 # ---------------------------------------------------------------- pivots
