@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FIRST, EVERY, REARM = 0, 1, 2
+from tracelake.operators.ordered import checked_broadcast
+from tracelake.operators.segments import EVERY, FIRST, REARM, anchored_in_segments
+
+#: Rows of a group from which it is cut into segments.
+HOT_ROWS = 1_000_000
 FOREVER = (1 << 62) - 1
 
 
@@ -77,12 +82,27 @@ def advance(state: Window, ts: np.ndarray, values: list, ends: np.ndarray, windo
         i = stop
 
 
-def anchored(rows: DataFrame, *, group: list[str], order: list[str]) -> DataFrame:
+def anchored(rows: DataFrame, *, group: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows that fire, with n, uniq and opening.
 
     ``rows`` has ``ts`` (long), ``val`` (string), ``fires`` (boolean), ``window``, ``least``, ``least_unique`` (long) and
-    ``mode`` (int); the last four are the same within a group.  ``order`` sorts the events of a group.
+    ``mode`` (int); the last four are the same within a group.  ``order`` sorts the events of a group, by ``ts`` first.
+    Groups of more than ``hot_rows`` rows are cut into segments and answered in many tasks, with the same rows.
     """
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"), F.min("fires").alias("__steady"), *[F.first(c).alias(f"__{c}") for c in ("least", "least_unique", "mode")])
+    able = (F.col("__mode") != REARM) | (F.col("__steady") & ((F.col("__least") <= 1) | (F.col("__least_unique") <= 0)))
+    found = counts.where(F.col("__rows") > hot_rows).where(able).select(*[F.col(g).alias(f"__{g}") for g in group], "__rows")
+    hot = checked_broadcast(found, "hot")
+    size = hot.agg(F.sum("__rows")).first()[0] or 0
+    if not size:
+        return folded(rows, group=group, order=order)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    cold = folded(rows.join(hot, same, "left_anti"), group=group, order=order)
+    return cold.unionByName(anchored_in_segments(rows.join(hot, same, "left_semi"), group=group, order=order, segments=max(2, size // hot_rows)))
+
+
+def folded(rows: DataFrame, *, group: list[str], order: list[str]) -> DataFrame:
+    """``anchored`` by a fold, a group a task."""
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("uniq", T.LongType()), T.StructField("opening", T.StringType())])
 

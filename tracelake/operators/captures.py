@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import placed, ranged
+
 MERGE_ORDER = ["ts_secs", "ts_usecs", "file_ord", "frame_no"]
 
 
@@ -26,6 +28,13 @@ def merge_captures(captures: list[DataFrame]) -> DataFrame:
     return concatenate(captures).orderBy(*MERGE_ORDER)
 
 
+def merge_places(captures: list[DataFrame]) -> DataFrame:
+    """The frames of ``merge_captures`` with ``place``, from 1, in the merged capture; no range of time is one task's alone."""
+    if len(captures) < 2:
+        raise ValueError("merging needs two captures or more")
+    return placed(ranged(concatenate(captures), MERGE_ORDER)).drop("__row").withColumn("place", F.col("place") + 1)
+
+
 def slice_capture(frames: DataFrame, after: int | None = None, before: int | None = None) -> DataFrame:
     """Frames with after <= whole seconds < before."""
     if after is None and before is None:

@@ -1,10 +1,11 @@
 """Detection: packets to alerts.
 
-Each packet is turned into the signals of the enabled rules, by three ways.  Rules without state fire by
-themselves, without a shuffle; rules that fire at the first packet of a key take a grouped minimum, combined
-before the shuffle; the others are dealt by (rule, key) and folded.  A further step, over the few alerts,
-applies once-per-source limits of correlated rules and the cooldown.  Rules are judged in event time, and
-nothing is capped.
+Each packet is turned into the signals of the enabled rules, in one pass whose narrow result is written, and
+then judged by three ways.  Rules without state fire by themselves, without a shuffle; rules that fire at the
+first packet of a key take a grouped minimum, combined before the shuffle; the others are dealt by (rule, key)
+and folded, or cut into segments where a key has very many.  A further step, over the few alerts, applies
+once-per-source limits of correlated rules and the cooldown.  Rules are judged in event time, and nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.network import flag_label, question_text
 from tracelake.functions.rule_language import CustomRule, DetectConfig, compile_predicate, detail_column, display, field_column, limited_detail
-from tracelake.operators.anchored import EVERY, FIRST, FOREVER, REARM, anchored, first_per_key
+from tracelake.operators.anchored import EVERY, FIRST, FOREVER, HOT_ROWS, REARM, anchored, first_per_key
 from tracelake.schema import ALERT, ALERT_COLUMNS
+from tracelake.sources.folders import written
 
 #: Built-in rules in the order in which one packet's alerts come.
 BUILT_IN = (
@@ -55,6 +57,13 @@ def _way(window=FOREVER, least=0, least_unique=0, mode=FIRST, **_) -> str:
     return ONCE if mode == FIRST and window == FOREVER and least == 1 and not least_unique else FOLDED
 
 
+def _way_column() -> Column:
+    """``_way`` of signals."""
+    c = F.col
+    once = (c("mode") == FIRST) & (c("window") == FOREVER) & (c("least") == 1) & (c("least_unique") == 0)
+    return F.when((c("mode") == EVERY) & (c("least") <= 1) & (c("least_unique") == 0), ALONE).when(once, ONCE).otherwise(FOLDED)
+
+
 def signals(cfg: DetectConfig, *ways: str) -> Column | None:
     """An array of the signals that one packet gives to the enabled rules (judged in one of ``ways``, if given).
 
@@ -145,25 +154,27 @@ ORDER = ["ts", "file_ord", "frame_no", "rule_ord", "sub_ord"]
 _PLACE = "ts long, file_ord int, frame_no long, rule_ord int, sub_ord int"
 
 
-def detect(packets: DataFrame, cfg: DetectConfig | None = None, with_order: bool = False) -> DataFrame:
-    """Alerts (ALERT) of decoded packets; ``with_order`` keeps the columns that order them."""
-    cfg = cfg or DetectConfig()
-
-    def given(way: str) -> DataFrame | None:
-        found = signals(cfg, way)
-        if found is None:
-            return None
-        rows = packets.where("decode_ok").select(F.col("ts_ms").alias("ts"), "file_ord", "frame_no", F.explode(found).alias("s"))
-        return rows.select("ts", "file_ord", "frame_no", "s.*")
+def detect(packets: DataFrame, cfg: DetectConfig | None = None, with_order: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Alerts (ALERT) of decoded packets; ``with_order`` keeps the columns that order them.
 
+    Keys with more than ``hot_rows`` signals of a rule are answered in segments.
+    """
+    cfg = cfg or DetectConfig()
+    ways = [way for way in (ALONE, ONCE, FOLDED) if signals(cfg, way) is not None]
     first = lambda rows: rows.select("*", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("uniq"), F.col("val").alias("opening"))
     order = ["ts", "file_ord", "frame_no", "sub_ord"]
     judged = {
         ALONE: first,
         ONCE: lambda rows: first(first_per_key(rows, ["rule", "key"], order)),
-        FOLDED: lambda rows: anchored(rows, group=["rule", "key"], order=order),
+        FOLDED: lambda rows: anchored(rows, group=["rule", "key"], order=order, hot_rows=hot_rows),
     }
-    parts = [judge(rows) for way, judge in judged.items() if (rows := given(way)) is not None]
+    parts = []
+    if ways:
+        found = packets.where("decode_ok").select(F.col("ts_ms").alias("ts"), "file_ord", "frame_no", F.explode(signals(cfg)).alias("s"))
+        found = found.select("ts", "file_ord", "frame_no", "s.*").withColumn("way", _way_column())
+        if ways != [ALONE] and ways != [ONCE]:
+            found = written(found, "signals")  # packets are read and decoded once, whatever the ways
+        parts = [judged[way](found.where(F.col("way") == way).drop("way")) for way in ways]
     if not parts:
         return packets.sparkSession.createDataFrame([], ALERT if not with_order else f"{_PLACE}, {ALERT}")
     fired = parts[0]
@@ -195,7 +206,7 @@ def _judged(alerts: DataFrame, key: Column, window: int) -> DataFrame:
         *names, key.alias("__key"), F.lit(None).cast("string").alias("val"), F.lit(True).alias("fires"), F.lit(window).cast("long").alias("window"),
         F.lit(1).cast("long").alias("least"), F.lit(0).cast("long").alias("least_unique"), F.lit(FIRST).alias("mode"),
     )
-    return anchored(rows, group=["rule", "__key"], order=ORDER).select(*names)
+    return anchored(written(rows, "alerts"), group=["rule", "__key"], order=ORDER).select(*names)
 
 
 def _first(alerts: DataFrame, key: Column) -> DataFrame:

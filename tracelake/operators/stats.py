@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import ranged, with_previous
+
 APPS = ("dns", "http", "ssh", "tls", "arp", "dhcp")
 TOP = 10
 
@@ -106,17 +108,11 @@ def packet_rate(packets: DataFrame, every_ms: int = 1000) -> DataFrame:
 def delta_time(packets: DataFrame) -> DataFrame:
     """Microseconds since the packet before, never below 0; null for the first.
 
-    Days are ranged first, so that the window runs within a day and only its first packet looks further back.
+    Packets are ranged by time; only the first one of a range looks at another range's last.
     """
-    day = F.expr("ts_us div 86400000000")
-    order = ["ts_us", "file_ord", "frame_no"]
-    rows = packets.select("frame_no", "file_ord", "ts_us", day.alias("day"))
-    lasts = rows.groupBy("day").agg(F.max("ts_us").alias("last"))
-    lasts = lasts.select((F.lead("day").over(Window.orderBy("day"))).alias("day"), "last")  # one row a day
-    inside = F.lag("ts_us").over(Window.partitionBy("day").orderBy(*order))
-    since = F.col("ts_us") - F.coalesce("before", "last")
-    placed = rows.withColumn("before", inside).join(lasts, "day", "left")
-    return placed.select("frame_no", "file_ord", F.when(since.isNotNull(), F.greatest(since, F.lit(0))).alias("delta_us"))
+    rows = ranged(packets.select("frame_no", "file_ord", "ts_us"), ["ts_us", "file_ord", "frame_no"])
+    since = F.col("ts_us") - F.col("before")
+    return with_previous(rows, "ts_us", "before").select("frame_no", "file_ord", F.when(since.isNotNull(), F.greatest(since, F.lit(0))).alias("delta_us"))
 
 
 def session_presence(members: DataFrame, now_ms: int, stale_ms: int = 120_000) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import network, text
 from tracelake.functions.filter_language import capture_filter
 from tracelake.functions.rule_language import DetectConfig, compile_predicate, compile_rules
 from tracelake.operators import captures, detect, diff, lookup, siem, stats, timeline
+from tracelake.operators.anchored import EVERY, FOREVER, anchored
 from tracelake.plans import frames
 from tracelake.schema import ALERT_COLUMNS, PACKET_SQL, packet_view
 from tracelake.sources import eve, zeek
@@ -219,6 +220,26 @@ SQL["corr_per_src"] = f"SELECT * FROM ({_base}) QUALIFY row_number() OVER (PARTI
 _alerts("corr_pair", _rule("none", {"field": "ip.src", "exists": True}, "{count}", {"window_secs": 86_400, "track": "by_pair", "count": 1}), _fold_sql("src IS NOT NULL", "r1", "low", "{n}::VARCHAR", key="src || '->' || dst", window=_WINDOW, least=1, mode="rearm"))
 
 
+def _all_hot(correlate: dict):
+    """A rule over all packets as one key, which is hot from a hundredth of the rows it has here."""
+    rule = _rule("none", _SYN, "{count} {unique}", {"window_secs": 3600, "track": "all", **correlate})
+    return lambda spark, d: detect.detect(packets(spark, d), rule(), hot_rows=100)
+
+
+QUERIES["corr_all_segments"] = _all_hot({"count": 3})
+SQL["corr_all_segments"] = _fold_sql("syn", "r1", "low", "{n} || ' 0'", key="'*'", window=3_600_000, least=3, mode="rearm")
+QUERIES["corr_all_unique_segments"] = _all_hot({"unique_field": "tcp.dst_port", "unique_count": 4})
+SQL["corr_all_unique_segments"] = _fold_sql("syn", "r1", "low", "{n} || ' ' || {u}", key="'*'", val="dport", window=3_600_000, unique=4, mode="rearm")
+
+
+@_query("running_distinct", "SELECT event_id AS frame_no, row_number() OVER o AS n, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER o::BIGINT AS uniq FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) = 1 AS f FROM events) WINDOW o AS (ORDER BY epoch_ms(ts), event_id)")
+def _(spark, d):
+    """Users seen up to each event, all events in one window: exact, without a set."""
+    limits = {"fires": F.lit(True), "window": F.lit(FOREVER), "least": F.lit(1).cast("long"), "least_unique": F.lit(1).cast("long"), "mode": F.lit(EVERY)}
+    rows = _table(spark, d, "events").select(F.lit("all").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("frame_no"), F.col("user_id").cast("string").alias("val")).withColumns(limits)
+    return anchored(rows, group=["key"], order=["ts", "frame_no"], hot_rows=100).select("frame_no", "n", "uniq")
+
+
 def _event_alerts(spark, d) -> DataFrame:
     """An alert for each event."""
     e = _table(spark, d, "events")
@@ -367,13 +388,7 @@ def _frames(spark, d) -> DataFrame:
 @_query("merge_sorted", "SELECT row_number() OVER (ORDER BY epoch_us(ts), event_id % 2, event_id) AS place, event_id AS frame_no FROM events")
 def _(spark, d):
     f = _frames(spark, d)
-    merged = captures.merge_captures([f.where("frame_no % 2 = 0"), f.where("frame_no % 2 = 1")])
-    day = F.expr("ts_secs div 86400")
-    # places by day: rows of a day are numbered in its own task, days are added up
-    days = merged.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("day").orderBy(*captures.MERGE_ORDER))
-    return merged.withColumn("day", day).withColumn("i", inside).join(days.select("day", before.alias("before")), "day").select((F.col("before") + F.col("i")).alias("place"), "frame_no")
+    return captures.merge_places([f.where("frame_no % 2 = 0"), f.where("frame_no % 2 = 1")]).select("place", "frame_no")
 
 
 QUERIES["slice_window"] = lambda spark, d: captures.slice_capture(_frames(spark, d), 1_704_844_800, 1_705_276_800).select("frame_no", "ts_secs", "ts_usecs")
