@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side is broadcast; its size is read from the written table first.
 BROADCAST_ROWS = 400_000
+#: Files a core, at most, of a table of ids or counts.
+FILES_A_CORE = 2
 
 
 # ---------------------------------------------------------------- shared folder
@@ -39,10 +41,15 @@ def workspace(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "step", narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    A ``narrow`` table, of ids or counts, is written in a few files a core, however many partitions it comes in.
+    """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}"
+    if narrow:
+        df = df.coalesce(FILES_A_CORE * max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.written_at = path
@@ -93,7 +100,7 @@ def small_side(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, we
     ``weight`` is what one row counts, for rows that hold arrays.  Beyond ``rows`` the same join runs as a
     shuffle join, so nothing depends on the side being small.
     """
-    kept = materialize(df, name)
+    kept = materialize(df, name, narrow=True)
     size = kept.count() if weight is None else kept.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     return F.broadcast(kept) if size <= rows else kept
 

@@ -19,8 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select("a", "b").where("a is not null and b is not null")
     ids = links.select(F.col("a").alias("id")).union(links.select("b"))
-    nodes = materialize(ids.distinct(), "nodes")
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    nodes = materialize(ids.distinct(), "nodes", narrow=True)
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
     before = None
     while True:
         # a > b throughout; large star: every larger neighbour of a node is linked to the node's minimum
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, is linked to the minimum
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        last, edges = edges, materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "round")
+        last, edges = edges, materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "round", narrow=True)
         release(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

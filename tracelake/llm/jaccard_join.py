@@ -187,7 +187,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    dealt = materialize(_dealt(pairs), "pairs")
+    dealt = materialize(_dealt(materialize(pairs, "found", narrow=True)), "pairs", narrow=True)
     needed = small_side(dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct(), "needed")
     full = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
     with arrow_rows(docs.sparkSession, CHECK_ROWS):
@@ -196,7 +196,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
         first = hubs.join(full.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
         members = dealt.join(full.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
         rows = first.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
-        return materialize(rows.mapInArrow(check, "a long, b long").distinct(), "checked")
+        return materialize(rows.mapInArrow(check, "a long, b long").distinct(), "checked", narrow=True)
 
 
 # ---------------------------------------------------------------- pivots
@@ -225,7 +225,7 @@ def _answered_by_pivots(rows: DataFrame, classes: DataFrame, k: int, num: int, d
             group = pivots.select("j", "m", F.col("p.doc_id").alias("doc_id"))
             reached = _labelled(group, labels).select("j", "m", F.col("label").alias("pivot_label"))
             left = _labelled(keys, labels).join(reached, ["j", "m"]).where("label <> pivot_label")
-            keys = materialize(left.select("doc_id", "central", "j", "m"), "open")
+            keys = materialize(left.select("doc_id", "central", "j", "m"), "open", narrow=True)
     return links, labels
 
 
@@ -348,7 +348,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     )
     classes = materialize(classes, "classes")
     member = usable.join(classes.select(*same, F.col("doc_id").alias("b")), same).where("doc_id <> b")
-    equal = materialize(member.select(F.col("doc_id").alias("a"), "b").distinct(), "equal")
+    equal = materialize(member.select(F.col("doc_id").alias("a"), "b").distinct(), "equal", narrow=True)
 
     answered, labels = _answered_by_pivots(rows, classes, k, num, den)
     across = _checked(rows, _candidates(classes, labels, num, den), k, num, den)
