@@ -297,8 +297,8 @@ def test_quality_verdict_by_brute_force(spark, sf):
 
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
     counted = {lang: Counter(w for r in rows if r.lang == lang for w in words(r.text)) for lang in {r.lang for r in rows} - {None}}
-    counted = {lang: c for lang, c in counted.items() if sum(r.lang == lang for r in rows) >= 20}
-    learned = {w for c in counted.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:12]}
+    common_ = {lang for lang in counted if sum(r.lang == lang for r in rows) >= 20}
+    learned = {w for lang in common_ for w, _ in sorted(counted[lang].items(), key=lambda x: (-x[1], x[0]))[:12]}
     classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", quality.SPACE, ".,;:!?'\"()-", quality.SYMBOLS]
 
     def histograms(text):
@@ -322,7 +322,7 @@ def test_quality_verdict_by_brute_force(spark, sf):
         g = got[r.doc_id]
         if not n:
             continue
-        far, near = min((distance(c, q[0]) + distance(w, q[1]), lang) for lang, q in shares.items())
+        far, near = min((distance(c, q[0]) + distance(w, q[1]), lang) for lang, q in shares.items() if lang in common_ or lang == r.lang)
         assert g.character_distance + g.word_distance == pytest.approx(far, abs=1e-9)
         a, b = distance(c, shares[g.language][0]), distance(w, shares[g.language][1])
         assert (g.character_distance, g.word_distance) == (pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
@@ -357,7 +357,22 @@ def test_quality_of_any_language(spark):
             rows.append((len(rows), text, lang if i else None))
     got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert all(r.kept for r in got) and {r.language for r in got} == {"xx", "yy", "zz"}
-    assert quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least=1000).where("not kept or language is not null").count() == 0
+    own = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least=1000)  # each by its own alone
+    assert own.where("not kept and not base_failed").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 5, 19, 20])
+def test_quality_of_a_rare_language(spark, sf, size):
+    """Good documents of a language with few of them, beside the common ones, are judged by their own language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id", "left_semi")
+    letters = str.maketrans("aeiourstnlbcdfghm", "áéíóúřšťňľbčďfghm")
+    good = [r for r in docs.where("lang = 'en' and length(text) > 600").orderBy("doc_id").limit(size).collect()]
+    rare = [(10**6 + r.doc_id, r.text.translate(letters), "xx") for r in good]
+    found = quality.quality(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rare, "doc_id long, text string, lang string")))
+    mine = found.where("doc_id >= 1000000").collect()
+    assert len(mine) == len(rare) > 0 and all(r.kept or r.base_failed for r in mine)
+    alone = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert {r.doc_id: r.kept for r in found.where("doc_id < 1000000").collect()} == alone or size == 20
 
 
 # ---------------------------------------------------------------- 3

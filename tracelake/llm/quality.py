@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize, text_or_empty
+from tracelake.llm.common import materialize, small_side, text_or_empty
 
-#: Most frequent words of each language that are counted, and documents from which a language is a reference.
+#: Most frequent words of each language that are counted, and documents from which a language is a reference for all.
 COMMON_WORDS, LEAST_DOCUMENTS = 12, 20
 #: Where the words of a histogram that are not common are counted.
 OTHER = ""
@@ -143,19 +143,30 @@ def _divergence(entries: Column, total: Column, share) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(found, F.lit(0.0)))).otherwise(F.lit(0.5**0.5))
 
 
+def rare_references(counted: DataFrame, languages: list[str]) -> DataFrame:
+    """(lang, own: language, c, w) of all languages but ``languages``, by the same vocabulary; nothing comes to the driver."""
+    known = counted.where(F.col("lang").isNotNull() & ~F.col("lang").isin(languages))
+    total = F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + x)
+    classes = known.groupBy("lang").agg(F.array(*[F.sum(F.get("characters", i)) for i in range(8)]).alias("sums"))
+    classes = classes.select("lang", F.transform("sums", lambda x: x / F.greatest(total, F.lit(1))).alias("c"))
+    words = known.select("lang", F.explode("common").alias("e")).groupBy("lang", "e.word").agg(F.sum("e.n").alias("n"))
+    entries = words.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("entries"), F.greatest(F.sum("n"), F.lit(1)).alias("all"))  # a vocabulary at most
+    shares = entries.select("lang", F.map_from_entries(F.transform("entries", lambda e: F.struct(e["word"], e["n"] / F.col("all")))).alias("w"))
+    return classes.join(shares, "lang").select("lang", F.struct(F.col("lang").alias("language"), "c", "w").alias("own"))
+
+
+def _judged_by(r: Column) -> Column:
+    """(far, language, c, w): both distances to a reference, and together."""
+    c = _divergence(F.col("classes"), F.col("n_characters"), lambda e: F.get(r["c"], e["i"]))
+    w = _divergence(F.col("common"), F.col("n_words"), lambda e: F.coalesce(F.try_element_at(r["w"], e["word"]), F.lit(0.0)))
+    return F.struct((c + w).alias("far"), r["language"].alias("language"), c.alias("c"), w.alias("w"))
+
+
 def _nearest(known: list[tuple[str, list[float], dict[str, float]]]) -> Column:
-    """(far, language, c, w) of the reference nearest by both distances together; the references are one constant."""
+    """``_judged_by`` the nearest of the common languages' references, which are one constant."""
     numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     constant = F.array(*[F.struct(F.lit(name).alias("language"), numbers(c).alias("c"), F.map_from_arrays(F.array(*map(F.lit, w)), numbers(w.values())).alias("w")) for name, c, w in known])
-    classes = F.transform("characters", lambda n, i: F.struct(n.alias("n"), i.alias("i")))
-    n_characters = F.aggregate("characters", F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def judged(r: Column) -> Column:
-        c = _divergence(F.col("classes"), F.col("n_characters"), lambda e: F.get(r["c"], e["i"]))
-        w = _divergence(F.col("common"), F.col("n_words"), lambda e: F.element_at(r["w"], e["word"]))
-        return F.struct((c + w).alias("far"), r["language"].alias("language"), c.alias("c"), w.alias("w"))
-
-    return classes.alias("classes"), n_characters.alias("n_characters"), F.array_min(F.transform(constant, judged))
+    return F.array_min(F.transform(constant, _judged_by))
 
 
 def _word_limit(n_words: Column, limit: float) -> Column:
@@ -166,11 +177,12 @@ def _word_limit(n_words: Column, limit: float) -> Column:
 def quality(docs: DataFrame, character_limit: float = CHARACTER_LIMIT, word_limit: float = WORD_LIMIT, k: int = COMMON_WORDS, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(doc_id, counts, base_failed, kept, language, character_distance, word_distance) for each row.
 
-    language is the reference nearest by both distances together, of equal ones the first by code point.  A
-    null or empty text has zero counts and fails the base rule.  Where no language has ``least`` documents, only
-    the base rule decides.  Repeated rows are judged each on its own, and a null doc_id makes no difference; a
-    long text is held whole, as the array of its words.  Only doc_id, text and lang are read (lang for the
-    references alone).
+    language is the reference nearest by both distances together, of equal ones the first by code point.  Languages
+    of ``least`` documents or more give the vocabulary, and all documents are held against them; those of a rarer
+    language are held against their own, too, so a language's size decides nothing but that.  A null or empty text
+    has zero counts and fails the base rule.  Without any reference only the base rule decides.  Repeated rows are
+    judged each on its own, and a null doc_id makes no difference; a long text is held whole, as the array of its
+    words.  Only doc_id, text and lang are read (lang for the references alone).
     """
     rows = docs.select("doc_id", "text", "lang")
     learned = common_words(rows, k, least)
@@ -178,11 +190,13 @@ def quality(docs: DataFrame, character_limit: float = CHARACTER_LIMIT, word_limi
     counted = materialize(features(rows, vocabulary), "features")
     known = references(counted, sorted(learned), vocabulary)
     judged = counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    if known:
-        classes, n_characters, near = _nearest(known)
-        judged = judged.select("*", classes, n_characters).withColumn("near", near)
-    else:
-        judged = judged.withColumns({"near": F.lit(None).cast("struct<far:double,language:string,c:double,w:double>"), "n_characters": F.lit(0)})
+    classes = F.transform("characters", lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    judged = judged.select("*", classes.alias("classes"), F.aggregate("characters", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_characters"))
+    near = _nearest(known) if known else F.lit(None).cast("struct<far:double,language:string,c:double,w:double>")
+    if not counted.where(F.col("lang").isNotNull() & ~F.col("lang").isin(sorted(learned))).select("lang").isEmpty():
+        judged = judged.join(small_side(rare_references(counted, sorted(learned)), "rare"), "lang", "left")
+        near = F.array_min(F.array(near, F.when(F.col("own").isNotNull(), _judged_by(F.col("own")))))
+    judged = judged.withColumn("near", near)
     fits = ((F.col("near.c") <= character_limit) | (F.col("n_characters") < LEAST_CHARACTERS)) & (F.col("near.w") <= _word_limit(F.col("n_words"), word_limit))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
