@@ -64,10 +64,14 @@ class Scope:
         four, six = ([t for t in names if ipaddress.ip_network(t, strict=False).version == v] for names, v in ((self.targets, 4), (self.targets, 6)))
         out4, out6 = ([t for t in self.exclude if ipaddress.ip_network(t, strict=False).version == v] for v in (4, 6))
         hosts = expand_hosts(cidr_ranges(spark, four), cidr_ranges(spark, out4), self.max_hosts)
-        # IPv6 networks can't be filed as ranges of longs; the cap bounds what is listed
+        # IPv6 networks can't be filed as ranges of longs; exclusions are cut out of them first, and the cap bounds what is listed
         gone = [ipaddress.ip_network(n, strict=False) for n in out6]
-        listed = (a for t in six for a in ipaddress.ip_network(t, strict=False).hosts() if not any(a in g for g in gone))
-        few = sorted(set(itertools.islice(listed, self.max_hosts + 1)))
+        few: set = set()
+        for target in (ipaddress.ip_network(t, strict=False) for t in six):
+            anycast = target.network_address if target.prefixlen < 127 else None  # a router's, no host's
+            listed = (a for n in remaining(target, gone) for a in n if a != anycast and a not in few)
+            few.update(itertools.islice(listed, self.max_hosts + 1 - len(few)))
+        few = sorted(few)
         total = len(few) + hosts.count()
         if total > self.max_hosts:
             raise ValueError(f"the scope has more than {self.max_hosts} hosts")
@@ -79,6 +83,14 @@ class Scope:
 
 
 
+def remaining(network, gone: list) -> list:
+    """What is left of a network without others, as networks in order."""
+    left = [network]
+    for g in gone:
+        left = [part for n in left if not n.subnet_of(g) for part in (n.address_exclude(g) if g.subnet_of(n) else [n])]
+    return sorted(left)
+
+
 @dataclass
 class Session:
     """Members of an engagement, and its notes and alerts as JSON lines, in one folder."""

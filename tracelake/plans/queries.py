@@ -428,6 +428,19 @@ QUERIES["eve_counters"] = lambda spark, d: eve.import_counters(eve.convert_eve(_
 SQL["eve_counters"] = f"""WITH {_EVE_SQL}, r AS (SELECT *, sum((outcome = 'kept')::INTEGER) OVER (ORDER BY event_id) AS n FROM v),
 s AS (SELECT coalesce(min(event_id) FILTER (outcome = 'kept' AND n = 101), 9223372036854775807) AS stop FROM r)
 SELECT count(*) AS lines_read, least(count(*) FILTER (outcome = 'kept'), 100) AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, count(*) FILTER (outcome = 'kept') > 100 AS truncated FROM r, s WHERE event_id <= stop"""
+
+
+def _eve_files(spark, d) -> DataFrame:
+    """The lines in files whose names are in the order of the events, read in small splits."""
+    folder = shared_folder(spark, "eve")
+    _eve_lines(spark, d).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(folder)
+    return eve.convert_eve(eve.read_eve(spark, folder), ["alert", "anomaly"])
+
+
+QUERIES["eve_cap_counters"] = lambda spark, d: eve.import_counters(_eve_files(spark, d), 100)
+SQL["eve_cap_counters"] = SQL["eve_counters"]
+QUERIES["eve_cap_alerts"] = lambda spark, d: eve.kept_alerts(_eve_files(spark, d), 300)
+SQL["eve_cap_alerts"] = f"WITH {_EVE_SQL} SELECT ts_unix_ms, rule, severity, src, detail FROM (SELECT * FROM v WHERE outcome = 'kept' ORDER BY event_id LIMIT 300)"
 QUERIES["eve_totals"] = lambda spark, d: eve.import_counters(eve.convert_eve(_eve_log(spark, d), ["alert", "anomaly"]))
 SQL["eve_totals"] = f"WITH {_EVE_SQL} SELECT count(*) AS lines_read, count(*) FILTER (outcome = 'kept') AS alerts_kept, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS parse_errors, false AS truncated FROM v"
 QUERIES["eve_generic"] = lambda spark, d: eve.kept_alerts(eve.convert_eve(_eve_log(spark, d), ["DNS"]))

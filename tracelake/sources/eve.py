@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import suricata_severity, truncated, with_eve_millis
@@ -84,13 +84,48 @@ def convert_eve(lines: DataFrame, event_types: list[str] = ("alert",)) -> DataFr
     return rows.select(*[c("row").getField(n).alias(n) for n in lines.columns], "outcome", F.when(c("outcome") == "kept", made).alias("alert"))
 
 
+#: Where a line stands: its file, the start of its split in it, and its number in the task.
+PLACE = ["file", "block", "line"]
+
+
+def read_eve(spark, path: str) -> DataFrame:
+    """Lines (value) with their PLACE, whose order is that of the files by name and of the lines in them."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    return spark.read.text(path).select("value", *place)
+
+
+def stopping_line(converted: DataFrame, max_alerts: int) -> Column | None:
+    """Whether a line stands at or before the first alert beyond the cap; None if there are no more alerts.
+
+    Splits' counts are added up, a row a split, and only the split in which the cap falls is looked through.
+    """
+    kept = converted.where("outcome = 'kept'")
+    counts = kept.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    so_far = counts.withColumn("upto", F.sum("n").over(Window.orderBy("file", "block")))
+    split = so_far.where(F.col("upto") > max_alerts).orderBy("file", "block").first()
+    if split is None:
+        return None
+    within = kept.where((F.col("file") == split.file) & (F.col("block") == split.block)).select("line")
+    line = within.orderBy("line").offset(max_alerts - (split.upto - split.n)).first().line
+    return F.struct(*PLACE) <= F.struct(F.lit(split.file).alias("file"), F.lit(split.block).alias("block"), F.lit(line).alias("line"))
+
+
+def _placed(converted: DataFrame) -> bool:
+    return set(PLACE) <= set(converted.columns)
+
+
 def kept_alerts(converted: DataFrame, max_alerts: int | None = None, order: list[str] = ()) -> DataFrame:
-    """The alerts (ALERT); with a cap, the first by ``order``."""
+    """The alerts (ALERT); with a cap, the first by ``order``, or as the lines stand in their files."""
     kept = converted.where("outcome = 'kept'")
     if max_alerts is not None:
         if max_alerts < 1:
             raise ValueError("the cap must be above 0")
-        kept = kept.orderBy(*(order or ["value"])).limit(max_alerts)
+        if not order and _placed(converted):
+            stop = stopping_line(converted, max_alerts)
+            # the stopping line is an alert, the first that is not kept
+            kept = kept if stop is None else kept.where(stop).orderBy(*PLACE).limit(max_alerts)
+        else:
+            kept = kept.orderBy(*(order or ["value"])).limit(max_alerts)
     return kept.select(*[F.col(f"alert.{c}").alias(c) for c in ALERT_COLUMNS])
 
 
@@ -101,7 +136,10 @@ def import_counters(converted: DataFrame, max_alerts: int | None = None, order:
     """
     kept = F.col("outcome") == "kept"
     rows = converted
-    if max_alerts is not None:
+    if max_alerts is not None and not order and _placed(converted):
+        stop = stopping_line(converted, max_alerts)
+        rows = converted if stop is None else converted.where(stop)
+    elif max_alerts is not None:
         beyond = converted.where(kept).select(*order).orderBy(*order).offset(max_alerts).limit(1)
         stop = beyond.select(F.struct(*order).alias("__stop"))
         rows = converted.join(F.broadcast(stop), F.lit(True), "left").where(F.col("__stop").isNull() | (F.struct(*order) <= F.col("__stop")))
@@ -113,9 +151,6 @@ def import_counters(converted: DataFrame, max_alerts: int | None = None, order:
     )
 
 
-def read_eve(spark, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
-def import_eve(spark, path: str, event_types: list[str] = ("alert",)) -> DataFrame:
-    return kept_alerts(convert_eve(read_eve(spark, path), event_types))
+def import_eve(spark, path: str, event_types: list[str] = ("alert",), max_alerts: int | None = None) -> DataFrame:
+    """The alerts of a log, at most ``max_alerts``, the first in its files."""
+    return kept_alerts(convert_eve(read_eve(spark, path), event_types), max_alerts)

@@ -70,13 +70,18 @@ def read_notes(spark, path: str, n: int | None = None) -> DataFrame:
     return notes if n is None else notes.orderBy(F.desc("ts_unix_ms")).limit(n).orderBy("ts_unix_ms")
 
 
-def report_lines(header: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def report_lines(header: DataFrame, rows: DataFrame, key: str, order: list[str] = (), hidden: list[str] = ()) -> DataFrame:
     """(value): a report as JSON lines, the one row of ``header`` first and then each of ``rows`` under ``key``.
 
-    Rows are turned into text where they are, so a report may have any number of them.
+    Rows come by ``order``, or as their columns stand; ``hidden`` columns only order them.  They are turned into
+    text where they are, so a report may have any number of them.
     """
-    head = header.select(F.lit(0).alias("part"), F.to_json(F.struct(*header.columns)).alias("value"))
-    return head.unionByName(rows.select(F.lit(1).alias("part"), F.to_json(F.struct(F.struct(*rows.columns).alias(key))).alias("value"))).orderBy("part", "value").select("value")
+    order = list(order) or rows.columns
+    shown = [c for c in rows.columns if c not in hidden]
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    body = rows.select(F.lit(1).alias("part"), place.alias("place"), F.to_json(F.struct(F.struct(*shown).alias(key))).alias("value"))
+    head = header.select(F.lit(0).alias("part"), F.lit(None).cast(body.schema["place"].dataType).alias("place"), F.to_json(F.struct(*header.columns)).alias("value"))
+    return head.unionByName(body).orderBy("part", "place", "value").select("value")
 
 
 def read_report_lines(spark, path: str, key: str, schema: str) -> DataFrame:
@@ -96,7 +101,7 @@ def detect_report(alerts: DataFrame, packets: int, pack: str | None = None, cool
     count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     sizes = count(alerts, "before").join(F.broadcast(count(through, "kept")))  # one row each
     header = sizes.select(F.lit("detect").alias("module"), F.lit(packets).cast("long").alias("packets"), F.lit(pack).cast("string").alias("rules_pack"), "kept", (F.col("before") - F.col("kept")).alias("suppressed_by_cooldown"))
-    return report_lines(header.withColumnRenamed("kept", "alerts_raised"), through, "alert")
+    return report_lines(header.withColumnRenamed("kept", "alerts_raised"), through, "alert", ALERT_COLUMNS)
 
 
 def import_report(converted: DataFrame, source: str, max_alerts: int | None = None, order: list[str] = ()) -> DataFrame:
@@ -105,7 +110,7 @@ def import_report(converted: DataFrame, source: str, max_alerts: int | None = No
 
     counters = import_counters(converted, max_alerts, order)
     header = counters.select(F.lit("import").alias("module"), F.lit(source).alias("source"), *counters.columns)
-    return report_lines(header, kept_alerts(converted, max_alerts, order), "alert")
+    return report_lines(header, kept_alerts(converted, max_alerts, order), "alert", ALERT_COLUMNS)
 
 
 def diff_report(before: DataFrame, after: DataFrame, mode: str = "full") -> DataFrame:
@@ -115,4 +120,4 @@ def diff_report(before: DataFrame, after: DataFrame, mode: str = "full") -> Data
     parts = diff_alerts(before, after, mode)
     sides = [parts[name].select(F.lit(name).alias("side"), "key", "count", "sample") for name in ("only_before", "only_after")]
     header = parts["totals"].select(F.lit("diff").alias("module"), F.lit(mode).alias("key_mode"), "*")
-    return report_lines(header, sides[0].unionByName(sides[1]), "change")
+    return report_lines(header, sides[0].unionByName(sides[1]), "change", ["side", "key"])
