@@ -32,7 +32,7 @@ from tracelake.llm.sketches import count_places, count_table
 #: Entries of an inverted list in one block.
 LIST_BLOCK = 64
 #: Pairs of one set in a part, and sets that go to Python at once, in the exact check.
-HUB_PAIRS, CHECK_ROWS = 2000, 500
+HUB_PAIRS, CHECK_ROWS = 250, 500
 #: Rounds in which pivots answer for sets like them.
 PIVOT_ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
