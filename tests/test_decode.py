@@ -84,6 +84,24 @@ def test_filters_on_frames(spark):
     assert hits("ip and udp dst portrange 53000-53001") == [1] and hits("less 60") == [1]
 
 
+def test_a_filter_given_to_the_decoder(spark):
+    """Headers leave out only what the whole filter leaves out, and leave it out before applications are parsed."""
+    raws = [
+        f.eth(f.ip4(f.udp(f.dns()), 17), tags=(100,)), f.eth(f.ip6(f.tcp(dport=443), 6), 0x86DD), b"\xff" * 8, f.eth(f.arp(), 0x0806), f.eth(f.arp()), f.eth(f.arp(), 0x0806, (5,)), f.eth(f.ip4(f.tcp(f.client_hello()), 6)),
+        f.eth(f.ip6(f.udp(f.dns()), 17), 0x86DD), f.eth(f.ip4(bytes(8), 1)), f.eth(f.ip4(f.tcp(flags=2), 6, "9.9.9.9")), f.eth(f.ip4(f.udp(f.dhcp(), 68, 67), 17)), f.eth(bytes(60), 0x88CC),
+    ]
+    frames = table(spark, raws)
+    packets = decode(frames)
+    texts = ["", "arp", "not arp", "host ::1", "not host ::1", "src host 9.9.9.9 or arp", "not (net 10.0.0.0/8 or arp)", "not (arp and less 60)", "ip6 and not dst net 2001:db8::/32", "! vlan && !(src host ::1 or tcp)", "udp port 53 and greater 70", "tcp-syn or not ip"]
+    for text in texts:
+        want = sorted(r.frame_no for r in packets.where(capture_filter(text)).collect())
+        assert sorted(r.frame_no for r in decode(frames, text).collect()) == want, text
+    plan = decode(frames, "udp port 53 and greater 70")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan.split("MapInArrow")[-1]
+    with pytest.raises(FilterError):
+        decode(frames, "udp or")
+
+
 @pytest.mark.parametrize("text", ["port", "port x", "port 70000", "udp or", "(udp", "udp)", "portrange 9-3", "vlan 5000", "host 1.2.3", "net 1.2.3.4/99", "bogus", "less", "&"])
 def test_bad_filters(spark, text):
     with pytest.raises(FilterError):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,10 +44,46 @@ def _either(side: str | None, src: Column, dst: Column) -> Column:
     return _sure(src) | _sure(dst) if side is None else _sure(src if side == "src" else dst)
 
 
+@dataclass(frozen=True)
+class _Bounds:
+    """What surely matches and what may match, where a packet's headers alone are known."""
+
+    low: Column
+    high: Column
+
+    def __and__(self, other: _Bounds) -> _Bounds:
+        return _Bounds(self.low & other.low, self.high & other.high)
+
+    def __or__(self, other: _Bounds) -> _Bounds:
+        return _Bounds(self.low | other.low, self.high | other.high)
+
+    def __invert__(self) -> _Bounds:
+        return _Bounds(~self.high, ~self.low)
+
+
+def _by_length(predicate: Column, length: bool = False, **_) -> _Bounds:
+    """Bounds of a primitive where only the length is known."""
+    return _Bounds(predicate, predicate) if length else _Bounds(F.lit(False), F.lit(True))
+
+
+def _by_headers(predicate: Column, app: bool = False, address: bool = False, **_) -> _Bounds:
+    """Bounds of a primitive: an application isn't known yet, nor the text of an IPv6 address."""
+    if app:
+        return _Bounds(_sure(F.col("eth.ethertype") == 0x0806), _sure(F.col("eth.ethertype") == 0x0806) | _sure(F.col("is_arp")))
+    if address:
+        four = _sure(F.col("ip.version") == 4) & predicate
+        return _Bounds(four, four | _sure(F.col("ip.version") == 6))
+    return _Bounds(predicate, predicate)
+
+
 class _Reader:
-    """Recursive descent over the tokens; ``or`` binds least, then ``and``, then ``not``."""
+    """Recursive descent over the tokens; ``or`` binds least, then ``and``, then ``not``.
+
+    ``leaf`` turns the predicate of a primitive into what is put together.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, leaf: Callable = lambda predicate, **_: predicate):
+        self.leaf = leaf
         self.tokens, at = [], 0
         text = text.strip()
         while at < len(text):
@@ -102,19 +140,20 @@ class _Reader:
         if word in ("less", "greater"):
             self.take()
             n = self.number("length")
-            return F.col("frame_len") < n if word == "less" else F.col("frame_len") > n
+            return self.leaf(F.col("frame_len") < n if word == "less" else F.col("frame_len") > n, length=True)
         if word in _FLAG_WORDS:
             self.take()
             wanted = [F.col(f"tcp.flags.{f}") == v for f, v in _FLAG_WORDS[word].items()]
-            return _sure(reduce(lambda a, b: a & b, wanted))
+            return self.leaf(_sure(reduce(lambda a, b: a & b, wanted)))
         if word == "vlan":
             self.take()
             if self.next.isascii() and self.next.isdigit() and int(self.next) < 1 << 16:
-                return _sure(F.col("vlan") == self.number("VLAN id", 4095))
-            return F.col("vlan").isNotNull()
+                return self.leaf(_sure(F.col("vlan") == self.number("VLAN id", 4095)))
+            return self.leaf(F.col("vlan").isNotNull())
         parts = []
         while self.next in _PROTOCOLS:
-            parts.append(_protocol(_PROTOCOLS[self.take().lower()]))
+            name = _PROTOCOLS[self.take().lower()]
+            parts.append(self.leaf(_protocol(name), app=name == "arp"))
         side = self.take().lower() if self.next in ("src", "dst") else None
         if self.next in ("port", "portrange", "host", "net"):
             parts.append(self.keyed(self.take().lower(), side))
@@ -132,25 +171,38 @@ class _Reader:
                     raise FilterError("a portrange is N-M with N <= M")
                 low, high = int(low_), int(high_)
             src, dst = F.coalesce("tcp.src_port", "udp.src_port"), F.coalesce("tcp.dst_port", "udp.dst_port")
-            return _either(side, src.between(low, high), dst.between(low, high))
+            return self.leaf(_either(side, src.between(low, high), dst.between(low, high)))
         raw = self.take(word)
         try:
             if word == "host":
                 text = str(ipaddress.ip_address(raw))
-                return _either(side, F.col("ip.src") == text, F.col("ip.dst") == text)
+                return self.leaf(_either(side, F.col("ip.src") == text, F.col("ip.dst") == text), address=True)
             ipaddress.ip_network(raw, strict=False)
         except ValueError as e:
             raise FilterError(f"invalid {word} {raw!r}") from e
-        return _either(side, in_network(F.col("ip.src"), [raw]), in_network(F.col("ip.dst"), [raw]))
+        return self.leaf(_either(side, in_network(F.col("ip.src"), [raw]), in_network(F.col("ip.dst"), [raw])), address=True)
 
 
-def capture_filter(text: str) -> Column:
-    """A predicate over packets; a frame that could not be decoded never matches, not even the empty filter."""
-    decoded = F.coalesce(F.col("decode_ok"), F.lit(False))
-    if not text.strip():
-        return decoded
-    reader = _Reader(text)
+def _parsed(text: str, *leaf: Callable):
+    reader = _Reader(text, *leaf)
     found = reader.any_of()
     if reader.tokens:
         raise FilterError(f"unexpected {reader.tokens[-1]!r}")
-    return decoded & found
+    return found
+
+
+def capture_filter(text: str) -> Column:
+    """A predicate over packets; a frame that could not be decoded never matches, not even the empty filter."""
+    decoded = F.coalesce(F.col("decode_ok"), F.lit(False))
+    return decoded & _parsed(text) if text.strip() else decoded
+
+
+def length_filter(text: str) -> Column:
+    """What may match ``capture_filter(text)``, by the length (frame_len) alone."""
+    return _parsed(text, _by_length).high if text.strip() else F.lit(True)
+
+
+def header_filter(text: str) -> Column:
+    """What may match ``capture_filter(text)``, by the headers of a packet whose application isn't parsed yet."""
+    decoded = F.coalesce(F.col("decode_ok"), F.lit(False))
+    return decoded & _parsed(text, _by_headers).high if text.strip() else decoded

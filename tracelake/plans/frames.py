@@ -223,6 +223,20 @@ def filtered(spark, d: str) -> DataFrame:
 FILTERED_SQL = f"""WITH {FRAME_SQL} SELECT us AS ts_us, {_SIX.format("2001:db8::", "u", "u", "'10.0.' || (u // 256) || '.' || (u % 256)")} AS src, tk AS tkind, ({_LENGTH})::INTEGER AS frame_len
   FROM f WHERE NOT bad AND NOT is_arp AND (six AND et = 'click' OR six AND tk = 'icmp' OR app = 'dns' AND NOT six)"""
 
+_PREFILTER = "greater 90 and (ip6 and tcp-syn or icmp6 or udp port 53 and not ip6)"
+
+
+def prefiltered(spark, d: str) -> DataFrame:
+    """``filtered`` with the filter given to the decoder: lengths go to the source, headers before applications."""
+    path = shared_folder(spark, "captures")
+    write_capture(event_frames(spark.read.parquet(f"{d}/events.parquet")), path, "pcapng")
+    packets = decode(read_capture(spark, path, lengths=True), _PREFILTER)
+    return packets.select("ts_us", F.col("ip.src").alias("src"), "tkind", "frame_len")
+
+
+PREFILTERED_SQL = f"SELECT * FROM ({FILTERED_SQL}) WHERE frame_len > 90"
+
+
 def in_splits(spark, d: str) -> DataFrame:
     """One capture file read in splits, its frames numbered as they stand in it; a window of time and a length are pushed down."""
     path = shared_folder(spark, "captures")
@@ -239,9 +253,9 @@ FROM n WHERE us >= {_HALF[0] * 1_000_000} AND us < {_HALF[1] * 1_000_000} AND CA
 
 QUERIES = {
     "decode_headers": headers, "decode_dns": dns, "decode_dhcp": dhcp, "decode_http": http, "decode_ssh": ssh, "decode_tls": tls, "decode_arp": arp,
-    "capture_pcap": _written("pcap"), "capture_pcapng": _written("pcapng"), "capture_single": _written("pcap", single=True), "capture_filtered": filtered, "capture_splits": in_splits,
+    "capture_pcap": _written("pcap"), "capture_pcapng": _written("pcapng"), "capture_single": _written("pcap", single=True), "capture_filtered": filtered, "capture_splits": in_splits, "capture_prefiltered": prefiltered,
 }
 SQL = {
     "decode_headers": HEADERS_SQL, "decode_dns": DNS_SQL, "decode_dhcp": DHCP_SQL, "decode_http": HTTP_SQL, "decode_ssh": SSH_SQL, "decode_tls": TLS_SQL, "decode_arp": ARP_SQL,
-    "capture_pcap": WRITTEN_SQL, "capture_pcapng": WRITTEN_SQL, "capture_single": WRITTEN_SQL, "capture_filtered": FILTERED_SQL, "capture_splits": SPLITS_SQL,
+    "capture_pcap": WRITTEN_SQL, "capture_pcapng": WRITTEN_SQL, "capture_single": WRITTEN_SQL, "capture_filtered": FILTERED_SQL, "capture_splits": SPLITS_SQL, "capture_prefiltered": PREFILTERED_SQL,
 }

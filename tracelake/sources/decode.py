@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracelake.functions.filter_language import capture_filter, header_filter, length_filter
 from tracelake.schema import PACKET, raw_packets
 
 #: Bytes of a frame in which headers are looked for.
@@ -324,10 +325,15 @@ def _summary(kind: Column, code: Column, names: dict[int, str], other: str) -> C
     return F.concat(name, F.lit(" type="), kind.cast("string"), F.lit(" code="), code.cast("string"))
 
 
-def decode(frames: DataFrame) -> DataFrame:
-    """Packets (PACKET) of frames (FRAME), one each; decode_ok is false for those that are damaged."""
+def decode(frames: DataFrame, where: str | None = None) -> DataFrame:
+    """Packets (PACKET) of frames (FRAME), one each; decode_ok is false for those that are damaged.
+
+    ``where`` is a capture filter.  What it can't match by the headers alone is left out before applications are
+    parsed, and its limits of length reach the source of the frames.
+    """
     c = F.col
-    df = raw_packets(frames).select("frame_no", "file_ord", "ts_ms", "ts_us", "frame_len", "orig_len", "data", F.hex(F.substring("data", 1, HEADER_BYTES)).alias("h"))
+    raw = raw_packets(frames)
+    df = (raw if where is None else raw.where(length_filter(where))).select("frame_no", "file_ord", "ts_ms", "ts_us", "frame_len", "orig_len", "data", F.hex(F.substring("data", 1, HEADER_BYTES)).alias("h"))
     df = df.withColumn("t0", _u(12, 2))
     df = df.withColumn("tags", F.when(c("t0").isin(*VLAN_TYPES), F.when(_u(16, 2).isin(*VLAN_TYPES), 2).otherwise(1)).otherwise(0))
     df = df.withColumns({"l3": 14 + 4 * c("tags"), "vlan": F.when(c("tags") > 0, _u(14, 2).bitwiseAND(F.lit(0xFFF)))})
@@ -387,6 +393,9 @@ def decode(frames: DataFrame) -> DataFrame:
         s(is_arp, operation=operation, sender_mac=_mac(arp_at + 8), sender_ip=_dotted(arp_at + 14), target_mac=_mac(arp_at + 18), target_ip=_dotted(arp_at + 24)).alias("arp"),
         F.coalesce("size", F.lit(0)).alias("size"), payload.alias("payload"), "sp", "dp", six(8).alias("src6"), six(24).alias("dst6"), is_arp.alias("is_arp"),
     )
+    if where is not None:
+        # a field that is made anew keeps the filter from being pushed into the header expressions, which would repeat them
+        headers = headers.withColumn("made", F.monotonically_increasing_id()).where((F.col("made") >= 0) & header_filter(where)).drop("made")
     found = _with_applications(headers)
     address = F.when(c("a.src").isNull(), c("ip")).otherwise(c("ip").withField("src", c("a.src")).withField("dst", c("a.dst")))
     arp = c("a.app") == "arp"
@@ -395,4 +404,5 @@ def decode(frames: DataFrame) -> DataFrame:
         c("a.app").alias("app"), "a.dns", "a.http", "a.ssh", "a.tls", F.when(arp, c("arp")).alias("arp"), "a.dhcp", F.when(arp, F.greatest("size", F.lit(28))).otherwise(c("size")).alias("payload_len"),
     )
     want = T.StructType.fromDDL(PACKET)
-    return made.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in want])
+    packets = made.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in want])
+    return packets if where is None else packets.where(capture_filter(where))
