@@ -175,6 +175,44 @@ def test_watch_carries_over(spark, sf, tmp_path, limits):
     assert seen[-1]["by_rule"] == [r.asDict() for r in alerts_by(want, "rule", 8).collect()]
 
 
+def test_frequent_keys_within_their_error():
+    from tracelake.streaming.detect import Frequent
+
+    rng = random.Random(4)
+    for size in (1, 3, 10, 1000):
+        keys = [min(int(rng.expovariate(0.2)), 60) for _ in range(3000)]
+        parts, whole = [Frequent(size=size) for _ in range(4)], Frequent(size=size)
+        for i, k in enumerate(keys):
+            parts[i % 4].add({k: 1})
+        for p in parts:
+            whole.add(p.counts, p.error)
+        assert len(whole.counts) <= size and (whole.error == 0) == (size > 60)
+        assert all(0 <= keys.count(k) - whole.counts.get(k, 0) <= whole.error for k in set(keys))
+
+
+@pytest.mark.parametrize("size", [1024, 6])
+def test_watch_tells_frequent_keys(spark, sf, tmp_path, size):
+    from tracelake.operators.stats import top_addresses, top_ports
+    from tracelake.streaming.detect import watch
+
+    packets = packet_view(spark.read.parquet(f"{sf}/events.parquet")).where("frame_no < 400")
+    for i in range(3):
+        packets.where(f"frame_no >= {i * 134} and frame_no < {(i + 1) * 134}").coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+    seen, beats = [], []
+    cfg = rl.DetectConfig(disabled=frozenset(BUILT_IN) - {"rare_port"})
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    query = watch(stream, seen.append, cfg, checkpoint=str(tmp_path / "ck"), heartbeat=lambda: beats.append(1), summary_keys=size, availableNow=True)
+    query.awaitTermination(240)
+    assert query.exception() is None and len(beats) == len(seen) >= 2 and all(s["pps"] > 0 for s in seen)
+    ports, sources = ({r["key"]: r["count"] for r in top.collect()} for top in (top_ports(packets, limit=None), top_addresses(packets, limit=None)))
+    for name, of in (("ports", ports), ("sources", sources)):
+        told, error = seen[-1][f"top_{name}"], seen[-1]["top_error"][name]
+        assert all(0 <= of[r["key"]] - r["count"] <= error for r in told) and (error == 0) == (len(of) <= size)
+    if size > len(ports):
+        assert seen[-1]["top_ports"] == [r.asDict() for r in top_ports(packets).collect()]
+        assert seen[-1]["top_sources"] == [r.asDict() for r in top_addresses(packets).collect()]
+
+
 def test_capture_stream(spark, tmp_path):
     from tracelake.sources.captures import register, write_capture
 

@@ -2,6 +2,7 @@
 
 import ipaddress
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,35 @@ def test_scope_of_ipv6_with_large_exclusions(spark):
     assert {a for n in remaining(whole, gone[:3]) for a in n} == {a for a in whole if not any(a in g for g in gone[:3])} and remaining(whole, gone) == []
 
 
+def test_ranges_of_both_versions(spark):
+    from tracelake.operators.lookup import address_prefixes, in_address_ranges, network_ranges
+
+    r = random.Random(6)
+    ends = [(a, a + r.randrange(3 ** r.randrange(1, 40))) for a in (r.randrange(2**100) << r.randrange(28) for _ in range(40))]
+    ranges = [(str(ipaddress.IPv6Address(a)), str(ipaddress.IPv6Address(min(b, 2**128 - 1)))) for a, b in ends]
+    ranges += [("10.0.0.7", "10.0.3.200"), ("0.0.0.0", "0.0.0.0"), ("255.255.255.250", "255.255.255.255"), ("::", "::3"), ("10.9.0.5", "10.9.0.1"), ("10.0.0.0", "::1"), ("x", "y"), (None, "::5")]
+    sound = [(ipaddress.ip_address(a), ipaddress.ip_address(b)) for a, b in ranges[:44]]
+    near = [x for a, b in sound for e in (a, b) for x in (e, *(type(e)(int(e) + k) for k in (-1, 1) if 0 <= int(e) + k < 2 ** e.max_prefixlen))]
+    texts = [str(x) for x in near] + [x.exploded.upper() for x in near if x.version == 6][:30] + ["", "none", "10.0.1", None, "0000:0::2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, address string")
+    table = spark.createDataFrame(ranges, "low string, high string")
+
+    def inside(text):
+        try:
+            x = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        return any(x.version == a.version and a <= x <= b for a, b in sound)
+
+    want = {i for i, t in enumerate(texts) if inside(t)}
+    assert {x.id for x in in_address_ranges(rows, "address", table).collect()} == want and 40 < len(want) < len(texts)
+    assert {x.id for x in in_address_ranges(rows, "address", table, "left_anti").collect()} == set(range(len(texts))) - want
+    assert in_address_ranges(rows, "address", table.limit(0)).count() == 0 and in_address_ranges(rows, "address", table.limit(0), "left_anti").count() == len(texts)
+    assert address_prefixes(table).groupBy("size").count().count() <= 162
+    nets = network_ranges(spark, ["10.0.0.0/30", "2001:db8::/127"]).collect()
+    assert [tuple(n) for n in nets] == [("10.0.0.0/30", "10.0.0.0", "10.0.0.3"), ("2001:db8::/127", "2001:db8::", "2001:db8::1")]
+
+
 def test_report_lines_in_order(spark):
     rows = spark.createDataFrame([(30, "z"), (4, "b"), (100, "a"), (4, "a")], "ts long, detail string")
     header = spark.createDataFrame([("m",)], "module string")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable, Iterator
 
-from collections.abc import Callable
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +56,74 @@ def in_ranges(rows: DataFrame, address: str, ranges: DataFrame, how: str = "left
     return in_number_ranges(rows, v4_number(F.col(address)), ranges, how)
 
 
+# ---------------------------------------------------------------- addresses of both versions
+_PREFIX = "size int, prefix binary"
+
+
+def _size(version: int, bits: int) -> int:
+    return version << 8 | bits
+
+
+def address_prefixes(ranges: DataFrame) -> DataFrame:
+    """The prefixes (size: version and length, prefix: its bytes) that ranges of addresses (low, high, as text) are made of.
+
+    Two of each length at most for a range, whatever its size.  A range that is no range of one version has none.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for low, high in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist()):
+                first, last = _address(low), _address(high)
+                if first is not None and last is not None and first.version == last.version and first <= last:
+                    found += [(_size(n.version, n.prefixlen), n.network_address.packed) for n in ipaddress.summarize_address_range(first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["size", "prefix"])
+
+    return ranges.select("low", "high").mapInArrow(cut, _PREFIX).distinct()
+
+
+def _address(text: str | None):
+    try:
+        return None if text is None else ipaddress.ip_address(text)
+    except ValueError:
+        return None
+
+
+def in_address_ranges(rows: DataFrame, address: str, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of IPv4 and IPv6 addresses with a table of ranges (low, high, as text) of either version.
+
+    The distinct addresses are probed, as a trie is walked, at the prefix lengths that occur among the ranges, by
+    equality of bytes; then rows are joined by address.  Text that is no address lies in no range.
+    """
+    prefixes = address_prefixes(ranges)
+    sizes = sorted(r["size"] for r in prefixes.select("size").distinct().collect())  # 162 at most
+    if not sizes:
+        return rows if how == "left_anti" else rows.where("false")
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("__a").to_pylist():
+                if (a := _address(text)) is not None:
+                    whole, n = int(a), a.max_prefixlen
+                    for s in sizes:
+                        if s >> 8 == a.version:
+                            rest = n - (s & 255)
+                            found.append((text, s, (whole >> rest << rest).to_bytes(n // 8)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else ([], [], []), (pa.string(), pa.int32(), pa.binary()))], names=["__a", "size", "prefix"])
+
+    keyed = rows.withColumn("__a", F.col(address))
+    filed = keyed.select("__a").where("__a is not null").distinct().mapInArrow(probes, f"__a string, {_PREFIX}")
+    found = filed.join(prefixes, ["size", "prefix"], "left_semi").select("__a").distinct()
+    return keyed.join(found, "__a", how).select(*rows.columns)
+
+
+def network_ranges(spark, networks: list[str]) -> DataFrame:
+    """Networks of either version as ranges (cidr, low, high) of addresses as text."""
+    nets = [ipaddress.ip_network(n, strict=False) for n in networks]
+    return spark.createDataFrame([(n.with_prefixlen, str(n.network_address), str(n.broadcast_address)) for n in nets], "cidr string, low string, high string")
+
+
 def cidr_ranges(spark, networks: list[str]) -> DataFrame:
     """IPv4 networks as ranges; IPv6 networks have no numbers here (``allowed_addresses`` takes both)."""
     nets = [ipaddress.ip_network(n, strict=False) for n in networks]

@@ -365,6 +365,30 @@ QUERIES["range_anti_join"] = lambda spark, d: lookup.in_ranges(packets(spark, d)
 SQL["range_anti_join"] = _with(f"SELECT frame_no FROM pkt WHERE src IS NULL OR NOT EXISTS {_RANGE_SQL}")
 
 
+def _mixed_addresses(spark, d) -> DataFrame:
+    """An address an event: IPv4 of even users, IPv6 of odd ones, and text that is none."""
+    u = F.col("user_id")
+    four = F.concat_ws(".", F.lit("10"), F.expr("user_id div 65536").cast("string"), F.expr("user_id div 256 % 256").cast("string"), (u % 256).cast("string"))
+    six = F.concat(F.lit("2001:db8::"), F.when(u >= 65536, F.concat(F.lower(F.hex(F.expr("user_id div 65536"))), F.lit(":"))).otherwise(F.lit("")), F.lower(F.hex(u % 65536)))
+    return _table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 97 == 0, F.lit("none")).when(u % 2 == 0, four).otherwise(six).alias("address"))
+
+
+def _mixed_ranges(spark, d) -> DataFrame:
+    """Ranges from each user's address to six further, of its own version."""
+    ends = _table(spark, d, "events").select("user_id").distinct().where("user_id % 5 < 2")
+    four = lambda n: F.concat_ws(".", F.lit("10"), F.expr(f"({n}) div 65536").cast("string"), F.expr(f"({n}) div 256 % 256").cast("string"), F.expr(f"({n}) % 256").cast("string"))
+    six = lambda n: F.concat(F.lit("2001:db8:0:0:0:0:"), F.lower(F.hex(F.expr(f"({n}) div 65536"))), F.lit(":"), F.lower(F.hex(F.expr(f"({n}) % 65536"))))
+    end = lambda n: F.when(F.col("user_id") % 2 == 0, four(n)).otherwise(six(n))
+    return ends.select(end("user_id").alias("low"), end("user_id + 6").alias("high"))
+
+
+_MIXED_SQL = "(event_id % 97 <> 0 AND EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 5 < 2) WHERE u % 2 = user_id % 2 AND user_id BETWEEN u AND u + 6))"
+QUERIES["address_semi_join"] = lambda spark, d: lookup.in_address_ranges(_mixed_addresses(spark, d), "address", _mixed_ranges(spark, d)).select("event_id")
+SQL["address_semi_join"] = f"SELECT event_id FROM events WHERE {_MIXED_SQL}"
+QUERIES["address_anti_join"] = lambda spark, d: lookup.in_address_ranges(_mixed_addresses(spark, d), "address", _mixed_ranges(spark, d), "left_anti").select("event_id")
+SQL["address_anti_join"] = f"SELECT event_id FROM events WHERE NOT {_MIXED_SQL}"
+
+
 @_query("cidr_expand")
 def _(spark, d):
     users = _table(spark, d, "events").select("user_id").distinct()

@@ -190,7 +190,8 @@ def markdown_to_html(text: str) -> str:
 def board(snapshot: dict, source: str = "-", pack: str | None = None, elapsed_secs: float = 0.0, status: str = "running", top_ports: list[dict] = (), session: dict | None = None) -> str:
     """A snapshot of ``streaming.detect.watch`` as text for a terminal."""
     t = snapshot["traffic"]
-    rate = t.get("packets", 0) / elapsed_secs if elapsed_secs > 0 else 0.0
+    rate = snapshot.get("pps", t.get("packets", 0) / elapsed_secs if elapsed_secs > 0 else 0.0)
+    top_ports = top_ports or snapshot.get("top_ports", ())
     counts = lambda rows: "  ".join(f"{r['key']}={r['count']}" for r in rows)
     lines = [
         "Tracelake live board",
