@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import rfc3339
+from tracelake.sources.batch_files import register_lines, write_stream
 
 PRODUCT, VERSION = "tracelake", "0.1.0"
 UDP_BYTES = 1200
@@ -80,6 +81,12 @@ def export_file(alerts: DataFrame, path: str, fmt: str = "jsonl", meta: SiemMeta
     siem_lines(alerts, fmt, meta).write.mode(mode).text(path)
 
 
+def export_stream(alerts: DataFrame, path: str, checkpoint: str, fmt: str = "jsonl", meta: SiemMeta | None = None, **trigger):
+    """Starts a query that appends the lines of a stream of alerts to a folder, each once, also over restarts."""
+    register_lines(alerts.sparkSession)
+    return write_stream(siem_lines(alerts, fmt, meta), "lines", path, checkpoint, **trigger)
+
+
 def export_udp(alerts: DataFrame, host: str, port: int, fmt: str = "jsonl", meta: SiemMeta | None = None) -> int:
     """Send each line, cut to UDP_BYTES, from the tasks; the number sent.  A retried task sends again."""
 

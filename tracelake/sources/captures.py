@@ -1,4 +1,4 @@
-"""PCAP and PCAPNG captures as a Spark data source: batch read, stream read and write.
+"""PCAP and PCAPNG captures as a Spark data source: batch and stream, read and written.
 
 ``spark.read.format("capture").load(folder or file)`` yields FRAME rows, a task a file.  ``read_capture`` cuts large
 files into splits by an index (sources/splits.py), so that one file is read in many tasks, with the same rows and
@@ -15,6 +15,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql.datasource import (
 )
 
 from tracelake.schema import FRAME
+from tracelake.sources.batch_files import BatchFiles, write_stream
 from tracelake.sources.folders import shared_folder
 from tracelake.sources.splits import BATCH_BYTES, BATCH_ROWS, EPB, IDB, MICROS, ORDER_MAGIC, SHB, SPLIT_BYTES, CLASSIC_MAGIC, CaptureError, Layout, Records, Walk, filesystem, index_captures, layout
 
@@ -320,6 +322,16 @@ class CaptureSource(DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options, overwrite)
 
+    def streamWriter(self, schema, overwrite):
+        ng = self.options.get("variant", "pcap") == "pcapng"
+        return BatchFiles(self.options["path"], ".pcapng" if ng else ".pcap", partial(_encode_frames, ng))
+
+
+def _encode_frames(ng: bool, stream, rows) -> None:
+    writer = FrameWriter(stream, ng)
+    for r in rows:
+        writer.write(r.ts_secs, r.ts_usecs, r.orig_len, bytes(r.data))
+
 
 def register(spark: SparkSession) -> None:
     """Makes the format known; filters are pushed into it only where the session allows it, so it is allowed."""
@@ -359,3 +371,13 @@ def write_capture(frames: DataFrame, path: str, variant: str | None = None, sing
     variant = variant or ("pcapng" if is_pcapng(path) else "pcap")
     ordered = dealt.sortWithinPartitions(*order).select("file_ord", "frame_no", "ts_secs", "ts_usecs", "orig_len", "data")
     ordered.write.format("capture").option("variant", variant).mode("append").save(path)
+
+
+def write_capture_stream(frames: DataFrame, path: str, checkpoint: str, variant: str = "pcap", **trigger):
+    """Starts a query that writes the frames of a stream to a folder, each once, a file a task and batch.
+
+    The columns of FRAME are taken; frames of a file come in the order in which they come in their task.
+    """
+    register(frames.sparkSession)
+    rows = frames.select("file_ord", "frame_no", "ts_secs", "ts_usecs", "orig_len", "data")
+    return write_stream(rows, "capture", path, checkpoint, {"variant": variant}, **trigger)
