@@ -1,6 +1,7 @@
 """Rules against a sequential model, and the stream against the batch."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -246,3 +247,65 @@ def test_state_expires(spark, sf, tmp_path):
     query = stream.writeStream.format("memory").queryName("brief").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(240)
     assert query.exception() is None and sorted(map(tuple, spark.table("brief").collect())) == sorted(map(tuple, detect(packets).collect()))
+
+
+@pytest.mark.parametrize("limits", [False, True])
+def test_event_time(spark, sf, tmp_path, limits):
+    """Packets out of order over batches give the alerts of the batch; late ones are counted and left out."""
+    from pyspark.sql import functions as F
+
+    from tracelake.streaming.detect import LateRows, detect_stream
+
+    packets = packet_view(spark.read.parquet(f"{sf}/events.parquet")).where("frame_no < 400").cache()
+    first, last = packets.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    cut = [first + (last - first) * i // 4 for i in range(5)]
+    ages = (last - first) // 4  # a quarter: what comes a batch late is within it
+    part = F.when(F.col("ts_ms") < cut[1], 0).when(F.col("ts_ms") < cut[2], 1).when(F.col("ts_ms") < cut[3], 2).otherwise(3)
+    swapped = F.when((part < 3) & (F.col("frame_no") % 5 == 0) & (F.col("ts_ms") >= F.lit(cut[0]) + (part + 0.5) * ages), part + 1).otherwise(part)
+    harmless = packets.where("tkind = 'icmp' and icmp.type = 0").orderBy("frame_no").limit(1)  # an answer to an echo: no rule asks for it
+    flush = harmless.withColumn("ts_ms", F.lit(last + 90 * 86_400_000))
+    late = packets.where("app = 'http' or tcp.flags.syn").withColumn("ts_ms", F.lit(first))
+    for i in range(4):
+        packets.where(swapped == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for more in (flush, late, flush.withColumn("ts_ms", F.col("ts_ms") + 1)):
+        more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rule = {"id": "pairs", "once": "per_src" if limits else "none", "detail": "{count} {unique}", "when": {"field": "tcp.flags.syn", "eq": True}, "correlate": {"window_secs": 86400, "unique_field": "tcp.dst_port", "unique_count": 2}}
+    cfg = rl.DetectConfig(syn_scan_ports=2, host_sweep_hosts=2, dns_unique_names=2, icmp_echo_count=1, tcp_rst_count=2, dhcp_discover_count=2, dns_nxdomain_count=1, window_ms=5 * 86_400_000, cooldown_ms=86_400_000 if limits else 0, custom_rules=tuple(rl.compile_rules([rule])))
+    missed = LateRows()
+    spark.streams.addListener(missed)
+    name = f"timed_{limits}"
+    stream = detect_stream(spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), cfg, lateness=f"{ages + 1} milliseconds")
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(400)
+    assert query.exception() is None
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(detect(packets, cfg))
+    assert rows(spark.table(name)) == want and len(want) > 50
+    for _ in range(50):  # progress is told a moment later
+        if missed.counts.get(name):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(missed)
+    assert missed.counts[name] >= late.count()
+
+
+def test_event_time_state_ends(spark, tmp_path):
+    """An idle key's window goes when the watermark has passed it."""
+    from tracelake.streaming.detect import detect_stream
+
+    def scan(at, src):
+        return decode(table(spark, f.syn_scan(3, src), at)).withColumn("frame_no", F.col("frame_no") + at)
+
+    from pyspark.sql import functions as F
+
+    cfg = rl.DetectConfig(syn_scan_ports=3, window_ms=10_000, disabled=frozenset(BUILT_IN) - {"tcp_syn_scan"})
+    parts = [scan(100, "10.0.0.9"), scan(200, "10.0.0.8"), scan(300, "10.0.0.7"), scan(400, "10.0.0.6")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = detect_stream(spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), cfg, lateness="1 second")
+    query = stream.writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None and [r.ts_unix_ms for r in spark.table("ended").orderBy("ts_unix_ms").collect()] == [102_123, 202_123, 302_123]
+    windows = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "ck"))
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "ck"))
+    assert {r.key.key for r in windows.collect()} == {r.key.key for r in held.collect()} == {"10.0.0.6"}
