@@ -13,7 +13,9 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.functions.filter_language import capture_filter, header_filter, length_filter
 from tracelake.schema import PACKET, raw_packets
+from tracelake.sources.columnar import Found, Payloads, dns_columns, texts_of
 
 #: Bytes of a frame in which headers are looked for.
 HEADER_BYTES = 192
@@ -259,22 +262,29 @@ def tls_info(m: bytes) -> dict | None:
 _TLS_PORTS = {443, 8443, 9443, 993, 995, 465, 636}
 
 
-def app_info(kind: str | None, sport: int, dport: int, m: bytes) -> dict:
-    """The first application that a payload is, by port and look."""
-    ports = {sport, dport}
-    if kind == "udp":
-        if 53 in ports and (found := dns_info(m)):
-            return {"dns": found}
-        if ports & {67, 68} and (found := dhcp_info(m)):
-            return {"dhcp": found}
-    elif kind == "tcp":
-        if found := ssh_info(m):
-            return {"ssh": found}
-        if found := tls_info(m):
-            return {"tls": found}
-        if found := http_info(m):
-            return {"http": found}
-    return {}
+_HTTP_STARTS = frozenset(b"GPHDOCT")  # first bytes of the methods and of a status line
+
+
+def applications(payload: pa.Array, kind: pa.Array, sport: pa.Array, dport: pa.Array, out: pa.StructType) -> dict[str, Found]:
+    """The first application that each payload is, by port and look: a row is in one of them at most."""
+    p = Payloads(payload)
+    held = p.ends > p.starts
+    is_kind = lambda k: pc.fill_null(pc.equal(kind, k), False).to_numpy(zero_copy_only=False)
+    ports = [x.fill_null(-1).to_numpy(zero_copy_only=False) for x in (sport, dport)]
+    between = lambda *wanted: np.isin(ports[0], wanted) | np.isin(ports[1], wanted)
+    udp, tcp, first = held & is_kind("udp"), held & is_kind("tcp"), p.first()
+    found = {name: Found(out.field(name).type) for name in ("dns", "dhcp", "ssh", "tls", "http")}
+
+    rows = np.flatnonzero(udp & between(53))
+    common, structs = dns_columns(p, rows, found["dns"].kind, lambda k: _TYPES.get(k, f"TYPE{k}"))
+    found["dns"].add(common, structs)
+    found["dns"].add_rows(np.setdiff1d(rows, common), lambda i: dns_info(p.bytes(i)))
+    asked = udp & between(67, 68)
+    asked[found["dns"].places()] = False
+    found["dhcp"].add_rows(np.flatnonzero(asked), lambda i: dhcp_info(p.bytes(i)))
+    for name, starts, parse in (("ssh", b"S", ssh_info), ("tls", b"\x16", tls_info), ("http", bytes(_HTTP_STARTS), http_info)):  # their first bytes differ
+        found[name].add_rows(np.flatnonzero(tcp & np.isin(first, list(starts))), lambda i, parse=parse: parse(p.bytes(i)))
+    return found
 
 
 def _with_applications(headers: DataFrame) -> DataFrame:
@@ -289,13 +299,19 @@ def _with_applications(headers: DataFrame) -> DataFrame:
     arrow, names = to_arrow_type(out), [f.name for f in kept]  # made here: workers have no session to read DDL with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = lambda raw: None if raw is None else str(ipaddress.ip_address(raw))
+        address = lambda raw: str(ipaddress.ip_address(raw))
         for batch in batches:
-            rows = []
-            for m, k, s, d, a, b, is_arp in zip(*(batch.column(c).to_pylist() for c in inputs)):
-                found = app_info(k, s, d, m) if m else {}
-                rows.append(found | {"app": next(iter(found), "arp" if is_arp else None), "src": text(a), "dst": text(b)})
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, arrow)], names=[*names, "a"])
+            n, column = batch.num_rows, batch.column
+            found = applications(column("payload"), column("tkind"), column("sp"), column("dp"), arrow)
+            app = np.full(n, -1)
+            app[np.flatnonzero(column("is_arp").fill_null(False).to_numpy(zero_copy_only=False))] = len(found)
+            for i, x in enumerate(found.values()):
+                app[x.places()] = i
+            parts = {name: x.column(n) for name, x in found.items()}
+            parts |= {"app": pa.array([*found, "arp"]).take(pa.array(app, mask=app < 0)), "src": texts_of(column("src6"), address), "dst": texts_of(column("dst6"), address)}
+            fields = [arrow.field(i) for i in range(arrow.num_fields)]
+            whole = pa.StructArray.from_arrays([parts[x.name] for x in fields], fields=fields)
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in names), whole], names=[*names, "a"])
 
     return headers.mapInArrow(run, T.StructType([*kept, T.StructField("a", out)]))
 
