@@ -12,9 +12,9 @@ from tracelake.functions.filter_language import capture_filter
 from tracelake.functions.rule_language import DetectConfig, compile_predicate, compile_rules
 from tracelake.operators import captures, detect, diff, lookup, siem, stats, timeline
 from tracelake.operators.anchored import EVERY, FOREVER, anchored
-from tracelake.plans import frames
-from tracelake.schema import ALERT_COLUMNS, PACKET_SQL, packet_view
-from tracelake.sources import eve, zeek
+from tracelake.plans import frames, streams
+from tracelake.schema import ALERT, ALERT_COLUMNS, PACKET_SQL, packet_view
+from tracelake.sources import eve, reports, zeek
 from tracelake.sources.folders import shared_folder
 
 DAY = 86_400_000
@@ -241,8 +241,11 @@ def _(spark, d):
 
 
 def _event_alerts(spark, d) -> DataFrame:
+    return _alerts_of(_table(spark, d, "events"))
+
+
+def _alerts_of(e: DataFrame) -> DataFrame:
     """An alert for each event."""
-    e = _table(spark, d, "events")
     level = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "purchase", "medium").when(F.col("event_type") == "view", "info").otherwise("low")
     return e.select(
         F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_unix_ms"), F.concat(F.lit("ev_"), "event_type").alias("rule"), level.alias("severity"),
@@ -511,3 +514,21 @@ SQL["escape_text"] = r"""SELECT page_id, md5(replace(replace(replace(replace(htm
 # ---------------------------------------------------------------- frames
 QUERIES.update(frames.QUERIES)
 SQL.update(frames.SQL)
+
+
+# ---------------------------------------------------------------- streams, report files
+QUERIES["stream_captures"] = streams.captures
+SQL["stream_captures"] = SQL["capture_pcapng"]
+QUERIES["stream_lines"] = lambda spark, d: streams.lines(spark, d, _alerts_of, "cef", _META)
+SQL["stream_lines"] = SQL["siem_cef"]
+QUERIES["stream_event_time"] = lambda spark, d: streams.event_time(spark, d, _only("tcp_syn_scan", "tcp_rst_burst", "rare_port", syn_scan_ports=3, tcp_rst_count=2, **_W))
+SQL["stream_event_time"] = " UNION ALL ".join(f"SELECT ts_unix_ms, rule, severity, src, detail FROM ({SQL[n]})" for n in ("syn_scan", "rst_burst", "rare_port"))
+
+
+@_query("report_file", f"WITH {_EVENT_SQL} SELECT ts_unix_ms, rule, severity, src, detail FROM al")
+def _(spark, d):
+    """A detection's report written as JSON lines, and its alerts read back."""
+    path = shared_folder(spark, "report")
+    alerts = _event_alerts(spark, d).select(*ALERT_COLUMNS)
+    reports.detect_report(alerts, packets(spark, d).count()).write.text(path)
+    return reports.read_report_lines(spark, path, "alert", ALERT)

@@ -54,7 +54,8 @@ def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def dns_columns(p: Payloads, rows: np.ndarray, kind: pa.StructType, type_name: Callable[[int], str]) -> tuple[np.ndarray, pa.Array]:
     """(rows that are of the common shape, their structs)."""
-    data, starts, ends = p.data, p.starts[rows], p.ends[rows]
+    own = Payloads(p.column.take(pa.array(rows)))  # their bytes alone
+    data, starts, ends = own.data, own.starts, own.ends
     number, flags, questions, answers = (_number(data, starts + k) for k in (0, 2, 4, 6))
     records = answers + _number(data, starts + 8) + _number(data, starts + 10)
     sound = (ends - starts >= 12) & (questions == 1) & (records <= MOST_RECORDS)
