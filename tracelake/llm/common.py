@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side is broadcast; its size is read from the written table first.
 BROADCAST_ROWS = 400_000
+#: Rows with whole texts that go to Python at once, in jobs that run inside an operator.
+TEXT_ROWS = 1000
 #: Files a core, at most, of a table of ids or counts.
 FILES_A_CORE = 2
 
@@ -117,6 +120,51 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+# ---------------------------------------------------------------- Python workers
+_kept: list[dict] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def kept_in_worker(cache: dict) -> dict:
+    """``cache``, which tasks leave to the next ones of their kind in the same Python worker."""
+    _kept.append(cache)
+    return cache
+
+
+def forget() -> None:
+    for cache in _kept:
+        cache.clear()
+
+
+def give_back() -> None:
+    """Memory that Arrow's pool and the C library keep unused, some tens of MB, goes to the system; takes a few ms."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[_Batches], _Batches], keeps: bool = False) -> Callable[[_Batches], _Batches]:
+    """``run``, for mapInArrow, in workers that Spark goes on using for other stages.
+
+    Its start drops the caches of other operators' tasks, unless it ``keeps`` them because they are its own.
+    Unused memory is handed back at its start, when the last task's batches are gone, and at its end.
+    """
+
+    def task(batches: _Batches) -> _Batches:
+        if not keeps:
+            forget()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from tracelake.llm.common import kept_in_worker
+
 #: Unicode White_Space.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters, numbers and all characters of texts that are cut finely; none of them is changed by NFC.
@@ -37,7 +39,7 @@ _KIND = np.full(0x3002, OTHER, np.uint8)
 for _kind, _class in ((SPACE, _SPACE), (LETTER, _L), (NUMBER, _N)):
     _KIND[[i for i in range(_KIND.size) if re.match(f"[{_class}]", chr(i))]] = _kind
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = kept_in_worker({})
 
 
 def encoder(path: str, special: bool = True) -> ChunkEncoder:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Words, arrow_rows, materialize, mix, slices, small_side, text_bytes
+from tracelake.llm.common import TEXT_ROWS, Words, arrow_rows, frugal, materialize, mix, slices, small_side, text_bytes
 from tracelake.llm.components import components
 from tracelake.llm.sketches import count_places, count_table
 
@@ -134,7 +134,8 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 names=[c.split()[0] for c in _RECORD.split(", ")],
             )
 
-    return materialize(docs.mapInArrow(describe, _RECORD), "records")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return materialize(docs.mapInArrow(frugal(describe), _RECORD), "records")
 
 
 # ---------------------------------------------------------------- exact check
@@ -189,14 +190,14 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
 
     dealt = materialize(_dealt(materialize(pairs, "found", narrow=True)), "pairs", narrow=True)
     needed = small_side(dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct(), "needed")
-    full = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+    full = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(frugal(sets), "doc_id long, shingles binary")
     with arrow_rows(docs.sparkSession, CHECK_ROWS):
         full = materialize(full, "sets")
         hubs = dealt.groupBy("b").agg(F.max("parts").alias("parts")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         first = hubs.join(full.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
         members = dealt.join(full.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
         rows = first.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
-        return materialize(rows.mapInArrow(check, "a long, b long").distinct(), "checked", narrow=True)
+        return materialize(rows.mapInArrow(frugal(check), "a long, b long").distinct(), "checked", narrow=True)
 
 
 # ---------------------------------------------------------------- pivots
@@ -326,9 +327,9 @@ def _candidates(records: DataFrame, labels: DataFrame, num: int, den: int) -> Da
 
     labelled = records.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"), "prefix")
-    lists = labelled.mapInArrow(entries, "token long, rep long, n int, pos int, label long")
+    lists = labelled.mapInArrow(frugal(entries), "token long, rep long, n int, pos int, label long")
     lists = lists.repartition("token").sortWithinPartitions("token", "n", "pos", "rep")
-    return lists.mapInArrow(pairs, "a long, b long").distinct()
+    return lists.mapInArrow(frugal(pairs), "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

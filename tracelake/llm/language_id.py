@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import mix, slices, text_bytes
+from tracelake.llm.common import TEXT_ROWS, arrow_rows, frugal, mix, slices, text_bytes
 
 #: Labelled rows a language that are fitted, at most.
 FIT_ROWS = 200
@@ -207,7 +207,8 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
                 times.append(total[found].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(places, pa.binary()), pa.array(times, pa.binary())], names=["lang", "n", "place", "times"])
 
-    rows = sample.mapInArrow(count, "lang string, n int, place binary, times binary").collect()  # fit_rows a language, sparse
+    with arrow_rows(labelled.sparkSession, TEXT_ROWS):
+        rows = sample.mapInArrow(frugal(count), "lang string, n int, place binary, times binary").collect()  # fit_rows a language, sparse
     rows.sort(key=lambda r: (r.n, r.lang))
     return fit([(np.frombuffer(r.place, "<u2"), np.frombuffer(r.times, "<u4")) for r in rows], [r.lang for r in rows])
 
@@ -238,7 +239,7 @@ def _judged(docs: DataFrame, model: Model | None, result: Callable, schema: Call
             score = np.where(letters, score, 0.0)
             yield result(batch, said, score, letters & (score < AMBIGUOUS))
 
-    return plain.mapInArrow(run, T.StructType(schema(plain.schema.fields)))
+    return plain.mapInArrow(frugal(run), T.StructType(schema(plain.schema.fields)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

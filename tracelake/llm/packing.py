@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import slices
+from tracelake.llm.common import frugal, give_back, slices
 from tracelake.llm.encoding import encoder
 
 WINDOW = 4096
@@ -100,12 +100,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
                     sizes.append(ids.size)
             if pieces:
                 yield _batch(*zip(*pieces))
+            give_back()
         if doc_ids:
             rest, size = np.array(rests, np.int64), np.array(sizes, np.int64)
             place, offset, _ = best_fit(rest, window)
             yield _batch(doc_ids, size - rest, rest, crcs, size, high + 2 * place + 1, offset)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run, keeps=True), _PIECES)
 
 
 def _batch(*columns) -> pa.RecordBatch:

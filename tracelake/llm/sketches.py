@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import TEXT_ROWS, arrow_rows, frugal
+
 #: Bits of one chunk of a bitmap (256 KB); a bitmap has at most MAX_CHUNKS of them (128 MB).
 CHUNK_BITS, MAX_CHUNKS = 21, 512
 #: Bits that a hash sets at most, and bits of the bitmap for each hash below the bound.
@@ -110,8 +112,9 @@ def count_table(batches_of_hashes, source: DataFrame):
             level = np.minimum(255, np.round(16 * np.log2(1 + part.astype(np.float64)))).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": [level.tobytes()]})
 
-    counted = source.mapInArrow(count, "piece int, counts binary").repartition(COUNT_PIECES, "piece")
+    counted = source.mapInArrow(frugal(count), "piece int, counts binary").repartition(COUNT_PIECES, "piece")
     table = np.zeros(1 << COUNT_BITS, np.uint8)
-    for row in counted.mapInArrow(add, "piece int, counts binary").toLocalIterator():
-        table[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.counts, np.uint8)
+    with arrow_rows(source.sparkSession, TEXT_ROWS):
+        for row in counted.mapInArrow(frugal(add), "piece int, counts binary").toLocalIterator():
+            table[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.counts, np.uint8)
     return source.sparkSession.sparkContext.broadcast(table)
