@@ -47,6 +47,16 @@ def test_captures_once(spark, tmp_path, variant):
     assert rows(read_capture(spark, out)) == rows(frames)
 
 
+def test_captures_of_tasks_without_rows(spark, tmp_path):
+    frames = table(spark, f.syn_scan(6))
+    frames.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    for name, rows in (("some", stream.where("frame_no = 2")), ("none", stream.where("frame_no > 99"))):
+        out = str(tmp_path / name)
+        _run(lambda: write_capture_stream(rows.repartition(4), out, str(tmp_path / f"ck-{name}"), "pcapng", availableNow=True))
+        assert read_capture(spark, out).count() == (name == "some")
+
+
 def test_lines_once(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
     alerts = spark.createDataFrame([(1000 + i, "rare_port", "low", f"10.0.0.{i}", f"ü {i}\n") for i in range(9)], ALERT)

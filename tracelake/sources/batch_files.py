@@ -17,10 +17,14 @@ COMMITTED = "_committed"
 
 @dataclass
 class _Part(WriterCommitMessage):
-    temporary: str
+    temporary: str | None  # None of a task without rows, which leaves no file; Spark wants a message of it too
     number: int
 
 
+def _files(messages: list[_Part | None]) -> list[_Part]:
+    return [m for m in messages if m is not None and m.temporary is not None]
+
+
 class BatchFiles(DataSourceStreamWriter):
     """A file a task and batch, named by both.
 
@@ -37,16 +41,16 @@ class BatchFiles(DataSourceStreamWriter):
         from pyspark import TaskContext
 
         system, at = filesystem(self.path)
+        number = TaskContext.get().partitionId()
         first = next(iterator, None)
         if first is None:
-            return None  # a task without rows leaves no file
+            return _Part(None, number)
 
         def rows():
             yield first
             yield from iterator
 
         system.create_dir(at, recursive=True)
-        number = TaskContext.get().partitionId()
         temporary = f"{at}/.part-{number:05d}-{uuid.uuid4().hex}"
         with system.open_output_stream(temporary, compression=None) as stream:
             self.encode(stream, rows())
@@ -57,7 +61,7 @@ class BatchFiles(DataSourceStreamWriter):
 
         system, at = filesystem(self.path)
         marker, prefix = f"{at}/{COMMITTED}/{batchId}", f"batch-{batchId:010d}-"
-        parts = [m for m in messages if m is not None]
+        parts = _files(messages)
         if system.get_file_info(marker).type != fs.FileType.NotFound:
             self._drop(parts)
             return
@@ -71,7 +75,7 @@ class BatchFiles(DataSourceStreamWriter):
             pass
 
     def abort(self, messages, batchId):
-        self._drop([m for m in messages if m is not None])
+        self._drop(_files(messages))
 
     def _drop(self, parts: list[_Part]) -> None:
         from pyarrow import fs
