@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_detect import model
+from tracelake.operators import anchored as module
 from tracelake.operators import ordered
 from tracelake.operators.anchored import EVERY, FIRST, FOREVER, REARM, anchored
 from tracelake.operators.segments import anchored_in_segments
@@ -60,3 +61,13 @@ def test_places_and_neighbours(spark):
     chain = {x.id: x.before for x in ordered.with_previous(ordered.ranged(spark.createDataFrame(rows, "g string, x int, id long"), ["id"], 7), "id", "before").collect()}
     assert chain == {i: i - 1 if i else None for i in range(500)}
     assert ordered.placed(ordered.ranged(spark.createDataFrame([], "x int"), ["x"])).count() == 0
+
+
+@pytest.mark.parametrize("rows,segments", [(8, 2), (500, 4), (5000, 5)])
+def test_segments_follow_partitions_and_size(spark, monkeypatch, rows, segments):
+    asked = []
+    monkeypatch.setattr(module, "HOT_ROWS", 1000)
+    monkeypatch.setattr(module, "anchored_in_segments", lambda df, *, segments, **_: asked.append(segments) or anchored_in_segments(df, segments=segments, **_))
+    df = spark.range(rows).selectExpr("'r' AS rule", "'k' AS key", "id AS ts", "id AS i", "'v' AS val", "true AS fires", "50L AS window", "3L AS least", "0L AS least_unique", f"{REARM} AS mode")
+    assert anchored(df, group=["rule", "key"], order=["ts", "i"], hot_rows=3).count() == rows // 3
+    assert asked == [segments]  # not a segment for each three rows

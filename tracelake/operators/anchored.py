@@ -87,7 +87,8 @@ def anchored(rows: DataFrame, *, group: list[str], order: list[str], hot_rows: i
 
     ``rows`` has ``ts`` (long), ``val`` (string), ``fires`` (boolean), ``window``, ``least``, ``least_unique`` (long) and
     ``mode`` (int); the last four are the same within a group.  ``order`` sorts the events of a group, by ``ts`` first.
-    Groups of more than ``hot_rows`` rows are cut into segments and answered in many tasks, with the same rows.
+    Groups of more than ``hot_rows`` rows are cut into segments and answered in many tasks, with the same rows.  There are
+    as many segments as a shuffle has partitions, or more, so that none has many more than ``HOT_ROWS`` rows.
     """
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"), F.min("fires").alias("__steady"), *[F.first(c).alias(f"__{c}") for c in ("least", "least_unique", "mode")])
     able = (F.col("__mode") != REARM) | (F.col("__steady") & ((F.col("__least") <= 1) | (F.col("__least_unique") <= 0)))
@@ -98,7 +99,8 @@ def anchored(rows: DataFrame, *, group: list[str], order: list[str], hot_rows: i
         return folded(rows, group=group, order=order)
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
     cold = folded(rows.join(hot, same, "left_anti"), group=group, order=order)
-    return cold.unionByName(anchored_in_segments(rows.join(hot, same, "left_semi"), group=group, order=order, segments=max(2, size // hot_rows)))
+    many = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // HOT_ROWS)
+    return cold.unionByName(anchored_in_segments(rows.join(hot, same, "left_semi"), group=group, order=order, segments=max(2, min(many, size // hot_rows))))
 
 
 def folded(rows: DataFrame, *, group: list[str], order: list[str]) -> DataFrame:

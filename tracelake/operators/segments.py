@@ -192,16 +192,23 @@ def _fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while opens < len(ts):
             chain.append(opens)
             opens = int(nexts[opens])
-        out, g = [], limits["__g"]
+        g = limits["__g"]
         if limits["mode"] == EVERY:
             bounds = [*([(0, at, entry["opened"], entry["opening"])] if entry["opened"] >= 0 else []), *((a, b, first + a, values[a]) for a, b in zip(chain, [*chain[1:], len(ts)]))]
-            for a, b, opened, opening in bounds:
-                out += [(g, first + i, NEVER, first + i - opened + 1, 0, opening) for i in range(a, b)]
+            size = np.array([b - a for a, b, _, _ in bounds], np.int64)
+            place = first + np.concatenate([np.arange(a, b) for a, b, _, _ in bounds] or [np.zeros(0, np.int64)])
+            n = place - np.repeat(np.array([opened for _, _, opened, _ in bounds], np.int64), size) + 1
+            opening = pa.array([x for *_, x in bounds], pa.string()).take(pa.array(np.repeat(np.arange(len(bounds)), size)))
+            until, unique = np.full(len(place), NEVER, np.int64), np.zeros(len(place), np.int64)
         else:
-            unique = max(0, limits["least_unique"])
-            out = [(g, int(fires_at[i]), int(late[i]), int(fires_at[i]) - first - i + 1, unique, values[i]) for i in chain if fires_at[i] < NEVER]
-        for a in range(0, len(out), 10_000):
-            yield _batch(out[a : a + 10_000], _FIRED)
+            fires = np.array([i for i in chain if fires_at[i] < NEVER], np.int64)
+            place, until = fires_at[fires], late[fires]
+            n, unique = place - first - fires + 1, np.full(len(fires), max(0, limits["least_unique"]), np.int64)
+            opening = pa.array([values[i] for i in fires.tolist()], pa.string())
+        arrays = [pa.array(np.full(len(place), g, np.int64)), *(pa.array(x.astype(np.int64)) for x in (place, until, n, unique)), opening]
+        fired = pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _FIRED.split(", ")])
+        for a in range(0, fired.num_rows, 10_000):
+            yield fired.slice(a, 10_000)
 
 
 def _distinct(events: DataFrame, fired: DataFrame) -> DataFrame:
