@@ -5,13 +5,14 @@ import os
 import random
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tracelake.operators.captures import slice_capture
-from tracelake.sources import splits
-from tracelake.sources.captures import CaptureError, FrameWriter, capture_index, read_capture, read_frames
+from tracelake.sources import captures, splits
+from tracelake.sources.captures import _Split, CaptureError, FrameWriter, capture_index, read_capture, read_frames
 
 
 def _capture(ng: bool, packets) -> bytes:
@@ -174,3 +175,68 @@ def test_empty_files_and_folders(spark, tmp_path):
     assert read_capture(spark, str(tmp_path / "zero.cap"), lenient=True).count() == 0
     with pytest.raises(FileNotFoundError):
         read_capture(spark, str(tmp_path / "gone.cap"))
+
+
+def _plain_index(tmp_path, size: int):
+    """A capture of one file with the splits that an index would have."""
+    path = tmp_path / "a.pcapng"
+    path.write_bytes(_capture(True, _packets(3000, 3)))
+    with open(path, "rb") as source:
+        of = splits.layout(source)
+        (run,) = splits.Walk(source, of, of.first, 1 << 62)
+    starts, out = [of.first + b - 28 for b in run.begin], []
+    for a in range(0, path.stat().st_size, size):
+        if own := [i for i, x in enumerate(starts) if a <= x < a + size]:
+            out.append(_Split(str(path), 0, starts[own[0]] if out else of.first, a + size, own[0], [splits.MICROS] * bool(out)))
+    return path, out
+
+
+def test_small_splits_share_tasks(tmp_path, monkeypatch):
+    path, each = _plain_index(tmp_path, 4096)
+    monkeypatch.setattr(captures, "SPLIT_TASKS", 20)
+    monkeypatch.setattr(splits, "SPLIT_TASKS", 20)  # both names are of one number
+    rows = lambda parts: [r for s in parts for b in captures._batches(s, captures.Pushed(), False, False) for r in b.to_pylist()]
+    wanted = [(i % 50 != 49, s) for i, s in enumerate(each)]
+    expected = rows(s for yes, s in wanted if yes)
+    joined = captures._Reader._joined([(yes, _Split(**vars(s))) for yes, s in wanted])
+    assert len(each) > 150 and 20 <= len(joined) < 45 and rows(joined) == expected
+    assert splits.split_tasks(55_000, 55_000 << 16) == 26 and splits.split_tasks(9, 10**6) == 9
+
+
+def test_small_splits_read_little(tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "EDGE", 8192)
+    path, each = _plain_index(tmp_path, 4096)
+    taken = []
+
+    class Counted(io.BytesIO):
+        def read(self, n=-1):
+            got = super().read(n)
+            taken.append(len(got))
+            return got
+
+    source = Counted(path.read_bytes())
+    of = splits.layout(source)
+    for s in each:
+        splits.guess(source, of, s.start, s.end, path.stat().st_size)
+        assert sum(len(run.secs) for run in splits.Walk(source, of, s.start, s.end, list(s.ticks)))
+    assert sum(taken) < 8 * path.stat().st_size
+
+
+def test_wrong_guesses_are_measured_again_together():
+    row = lambda i, start, reached: {"path": "a", "file_ord": 0, "begin": 100 * i, "end": 100 * i + 100, "size": 1000, "start": start, "reached": reached, "records": 3, "damaged": False}
+    given = [row(0, 24, 110), row(1, 150, 205), row(2, 205, 320), row(3, 360, 410), row(4, None, None), row(5, 508, 700), row(6, 640, 700), row(7, 700, 800)]
+    judged = splits._judged(pd.DataFrame(given))
+    assert [(int(b), int(e)) for b, e, again in zip(judged["begin"], judged["expected"], judged["again"]) if again] == [(100, 110), (300, 320), (400, 410)]
+    right = {1: (110, 205), 3: (320, 410), 4: (410, 508)}
+    judged = splits._judged(pd.DataFrame([g | dict(zip(("start", "reached"), right.get(i, (g["start"], g["reached"])))) for i, g in enumerate(given)]))
+    assert not judged["again"].any() and judged["void"].tolist() == [False] * 6 + [True, False]
+
+
+def test_an_interface_number_is_no_block(tmp_path):
+    """Interface 0 and the upper half of a time look like a block that ends beyond what is read."""
+    raw = _capture(True, [(1_705_000_000 + i, 5, 60, bytes([i % 251]) * 60) for i in range(12_000)])
+    source, size = io.BytesIO(raw), len(raw)
+    of = splits.layout(source)
+    for begin in range(1 << 16, 6 << 16, 1 << 16):
+        at = splits.guess(source, of, begin, begin + (1 << 16), size)
+        assert struct.unpack_from("<II", raw, at) == (splits.EPB, 92) and at - begin < 92

@@ -10,6 +10,7 @@ systems know.
 
 from __future__ import annotations
 
+import io
 import operator
 import struct
 import uuid
@@ -26,7 +27,7 @@ from pyspark.sql.datasource import (
 from tracelake.schema import FRAME
 from tracelake.sources.batch_files import BatchFiles, write_stream
 from tracelake.sources.folders import shared_folder
-from tracelake.sources.splits import BATCH_BYTES, BATCH_ROWS, EPB, IDB, MICROS, ORDER_MAGIC, SHB, SPLIT_BYTES, CLASSIC_MAGIC, CaptureError, Layout, Records, Walk, filesystem, index_captures, layout
+from tracelake.sources.splits import BATCH_BYTES, BATCH_ROWS, CHUNK, EPB, IDB, MICROS, ORDER_MAGIC, SHB, SPLIT_BYTES, CLASSIC_MAGIC, CaptureError, Layout, Records, Walk, SPLIT_TASKS, filesystem, index_captures, layout, split_tasks
 
 ETHERNET = 1
 
@@ -198,12 +199,29 @@ class _Reader(DataSourceReader):
     def partitions(self):
         """Splits of the index, or files, that may hold what the filters ask for."""
         if self.index:
-            splits = [_Split(r["path"], r["file_ord"], r["start"], r["end"], r["before"], r["ticks"]) for r in self._indexed() if self._wanted(r)]
+            splits = self._joined([(self._wanted(r), _Split(r["path"], r["file_ord"], r["start"], r["end"], r["before"], r["ticks"])) for r in self._indexed()])
         else:
             files = [f for p in self.paths for f, _ in listed(p)]
             splits = [_Split(f, i) for i, f in enumerate(files) if self.pushed.may_hold("file_ord", i, i)]
         return splits or [_Split("", -1)]
 
+    @staticmethod
+    def _joined(splits: list[tuple[bool, _Split]]) -> list[_Split]:
+        """The wanted ones; where they are very many, those that follow each other in a file are read as one."""
+        wanted = [s for yes, s in splits if yes]
+        most = -(-sum(s.end - s.start for s in wanted) // split_tasks(len(wanted), sum(s.end - s.start for s in wanted)))
+        if len(wanted) <= SPLIT_TASKS:
+            return wanted
+        out: list[_Split] = []
+        follows = False
+        for yes, s in splits:
+            if yes and follows and out[-1].number == s.number and s.end - out[-1].start <= max(most, 1):
+                out[-1].end = s.end
+            elif yes:
+                out.append(s)
+            follows = yes
+        return out
+
     def _indexed(self) -> Iterator[dict]:
         from pyarrow import dataset, fs
 
@@ -362,15 +380,47 @@ def read_capture(spark: SparkSession, *paths: str, lenient: bool = False, index:
 def write_capture(frames: DataFrame, path: str, variant: str | None = None, single: bool = False) -> None:
     """Frames in order of time to a folder: a file for each range of time, or a ``single`` one.
 
-    Files are named by range, so that in order of name they hold the frames in order.
+    Files are named by range, so that in order of name they hold the frames in order.  A single file is written in
+    ranges too, by all tasks; one task then puts their bytes together.
     """
-    register(frames.sparkSession)
+    spark = frames.sparkSession
+    register(spark)
     order = ["ts_secs", "ts_usecs", "file_ord", "frame_no"]
-    # one file is one task's; what makes the frames still runs in many
-    dealt = frames.repartition(1) if single else frames.repartitionByRange(*order)
     variant = variant or ("pcapng" if is_pcapng(path) else "pcap")
-    ordered = dealt.sortWithinPartitions(*order).select("file_ord", "frame_no", "ts_secs", "ts_usecs", "orig_len", "data")
-    ordered.write.format("capture").option("variant", variant).mode("append").save(path)
+    ordered = frames.repartitionByRange(*order).sortWithinPartitions(*order).select("file_ord", "frame_no", "ts_secs", "ts_usecs", "orig_len", "data")
+    folder = shared_folder(spark, "ranges") if single else path
+    ordered.write.format("capture").option("variant", variant).mode("append").save(folder)
+    if single:
+        _concatenate(spark, folder, path, variant == "pcapng")
+
+
+def _concatenate(spark: SparkSession, folder: str, path: str, ng: bool) -> None:
+    """Makes one file at ``path`` of the files in ``folder``, in order of name, which go then."""
+    head = io.BytesIO()
+    FrameWriter(head, ng)
+    head = head.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                system, at = filesystem(path)
+                system.create_dir(at, recursive=True)
+                temporary = f"{at}/.part-00000-{uuid.uuid4().hex}"
+                with system.open_output_stream(temporary, compression=None) as out:
+                    out.write(head)
+                    for name, _ in listed(folder):
+                        source, place = filesystem(name)
+                        with source.open_input_file(place) as part:
+                            part.seek(len(head))
+                            while piece := part.read(CHUNK):
+                                out.write(piece)
+                yield pa.RecordBatch.from_pydict({"temporary": [temporary]})
+
+    (row,) = spark.range(0, 1, 1, 1).mapInArrow(run, "temporary string").collect()
+    system, at = filesystem(path)
+    system.move(row.temporary, f"{at}/part-00000{'.pcapng' if ng else '.pcap'}")
+    source, place = filesystem(folder)
+    source.delete_dir(place)
 
 
 def write_capture_stream(frames: DataFrame, path: str, checkpoint: str, variant: str = "pcap", **trigger):

@@ -25,6 +25,10 @@ ORDER_MAGIC, CLASSIC_MAGIC = 0x1A2B3C4D, 0xA1B2C3D4
 MAX_BLOCK, MAX_PACKET = 64 << 20, 16 << 20
 #: Bytes of a split, of a read, records or blocks of a chain, seconds between two records of one.
 SPLIT_BYTES, CHUNK, CHAIN, APART = 128 << 20, 4 << 20, 8, 30 * 86_400
+#: Bytes read beyond a small split, for its last record and for a chain that begins in it.
+EDGE = 256 << 10
+#: Tasks over the splits of a read: more small splits than these share tasks, up to SPLIT_BYTES each.
+SPLIT_TASKS = 1000
 #: Records of a batch at most, and their bytes.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 MICROS = 1_000_000
@@ -117,7 +121,7 @@ class Walk:
 
     def __iter__(self) -> Iterator[Records]:
         step = self._block if self.layout.ng else self._record
-        buffer, base, want = b"", self.at, CHUNK
+        buffer, base, want = b"", self.at, self._room()
         while self.at < self.end:
             self.source.seek(self.at)
             buffer, base = self.source.read(want), self.at
@@ -141,7 +145,11 @@ class Walk:
             if ended:
                 self._last(size - position)
                 return
-            want = max(CHUNK, after - position + CHUNK)
+            want = max(self._room(), after - position + EDGE)
+
+    def _room(self) -> int:
+        """Bytes to read next: not much more than a small split has left."""
+        return max(1, min(CHUNK, self.end - self.at + EDGE))
 
     def _last(self, left: int) -> None:
         """What is left at the end of the file is no whole record."""
@@ -223,7 +231,7 @@ def candidates(buffer: bytes, base: int, size: int, of: Layout) -> np.ndarray:
     here = np.arange(n)
     if of.ng:
         length = words[1 : n + 1]
-        sound = (length >= 12) & (length <= MAX_BLOCK) & (length % 4 == 0) & (base + skip + 4 * here + length <= size)
+        sound = (words[:n] != 0) & (length >= 12) & (length <= MAX_BLOCK) & (length % 4 == 0) & (base + skip + 4 * here + length <= size)
         after = here + np.maximum(length, 4) // 4
         inside = sound & (after - 1 < words.size)
         sound[inside] &= words[after[inside] - 1] == length[inside]
@@ -248,7 +256,7 @@ def guess(source, of: Layout, begin: int, end: int, size: int) -> int | None:
     at = begin
     while at < end:
         source.seek(at)
-        buffer = source.read(min(CHUNK, size - at))
+        buffer = source.read(min(CHUNK, size - at, end - at + EDGE))
         found = candidates(buffer, at, size, of)
         if found.size and at + int(found[0]) < end:
             return at + int(found[0])
@@ -259,6 +267,11 @@ def guess(source, of: Layout, begin: int, end: int, size: int) -> int | None:
 
 
 # ---------------------------------------------------------------- index
+def split_tasks(splits: int, size: int) -> int:
+    """Tasks for so many splits of ``size`` bytes together."""
+    return max(1, min(splits, max(SPLIT_TASKS, size // SPLIT_BYTES)))
+
+
 _SPLIT = "path string, file_ord int, begin long, end long, size long, start long"
 INDEX = f"{_SPLIT}, reached long, records long, first_us long, last_us long, ticks array<long>, damaged boolean"
 #: What the index holds in the end: only splits with records (or damage), numbered.
@@ -310,20 +323,23 @@ def _judged(splits: pd.DataFrame) -> pd.DataFrame:
     """Of one file's splits in order: where each has to start (``expected``), and whether it has to be measured again.
 
     Nothing follows damage.  A split that does not start where the one before it has ended is measured again from
-    there, once that one is sure.
+    there.  What comes after a wrong one is judged as if that one had ended where it should, which it mostly has; so
+    the wrong ones of a file are measured together, and the first of them is right for sure after that.
     """
     splits = splits.sort_values("begin").reset_index(drop=True)
     expected, again, void, reached, sure, broken = [], [], [], 0, True, False
     for s in splits.itertuples():
-        known = s.begin == 0 or (s.start is not None and s.start == s.start and int(s.start) == reached)
-        passed = s.begin != 0 and reached >= s.end
+        there = s.start is not None and s.start == s.start
+        passed = s.begin != 0 and reached is not None and reached >= s.end
+        right = passed or s.begin == 0 or (there and reached is not None and int(s.start) == reached)
         void.append(broken or (sure and passed))
         expected.append(reached)
-        right = broken or (sure and (known or passed))
-        again.append(sure and not right)
-        if right and not broken and not passed:
-            broken, reached = bool(s.damaged), int(s.reached)
-        sure = right
+        again.append(not broken and not right and reached is not None)
+        if broken or passed:
+            continue
+        broken = sure and right and bool(s.damaged)
+        reached = int(s.reached) if right or (there and not s.damaged) else None
+        sure = sure and right
     splits["expected"], splits["again"], splits["void"] = expected, again, void
     return splits
 
@@ -331,11 +347,11 @@ def _judged(splits: pd.DataFrame) -> pd.DataFrame:
 def index_captures(spark: SparkSession, files: list[tuple[str, int, int]], folder: str, split_bytes: int = SPLIT_BYTES) -> str:
     """Writes the index of ``files`` (path, number, size) under ``folder``, and returns its place.
 
-    One job over all splits, and one more over those whose guess was wrong; no round has ever more to do than the
-    one before.  Only rows a split large go to the driver, as a listing of the files does.
+    One job over all splits, and one more over those whose guess was wrong, again while some are; very small splits share
+    tasks.  Only rows a split large go to the driver, as a listing of the files does.
     """
     splits = [(p, o, a, min(a + split_bytes, size), size, None) for p, o, size in files for a in range(0, max(size, 1), split_bytes)]
-    state = _measure(spark.createDataFrame(splits, _SPLIT).repartition(max(1, len(splits)), "path", "begin"))
+    state = _measure(spark.createDataFrame(splits, _SPLIT).repartition(split_tasks(len(splits), sum(s for *_, s in files)), "path", "begin"))
     judged_type = f"{INDEX}, expected long, again boolean, void boolean"
     while True:
         at = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
@@ -345,7 +361,7 @@ def index_captures(spark: SparkSession, files: list[tuple[str, int, int]], folde
         n = wrong.count()
         if not n:
             break
-        state = judged.where("not again").select(*_NAMES).unionByName(_measure(wrong.repartition(n, "path", "begin")))
+        state = judged.where("not again").select(*_NAMES).unionByName(_measure(wrong.repartition(split_tasks(n, n * split_bytes), "path", "begin")))
     final = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
     kept = judged.where("not void and (records > 0 or damaged or size(ticks) > 0)")
     kept.groupBy("path", "file_ord").applyInPandas(_numbered, NUMBERED).write.parquet(final)
