@@ -70,6 +70,14 @@ def test_lines_once(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(out + "/*.log").collect()) == want
 
 
+def test_lines_of_tasks_without_rows(spark, tmp_path):
+    alerts = spark.createDataFrame([(1000, "rare_port", "low", "10.0.0.1", "x")], ALERT)
+    alerts.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(alerts.schema).parquet(str(tmp_path / "in")).repartition(3)
+    _run(lambda: export_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), "cef", availableNow=True))
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/*.log").collect()] == [r.value for r in siem_lines(alerts, "cef").collect()]
+
+
 def test_commit_replaces_what_broke_off(tmp_path):
     sink = BatchFiles(str(tmp_path), ".log", _encode_lines)
     (tmp_path / "batch-0000000003-00007.log").write_text("half\n")  # of a commit of batch 3 that broke off
